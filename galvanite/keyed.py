@@ -135,24 +135,32 @@ class Ordered:
     def _blocks(self) -> DataFrame:
         return self.positions("_i").withColumn("_b", F.floor(F.col("_i") / F.lit(self.limit)))
 
-    def frame(self, cols: dict[str, Callable[[WindowSpec], Column]], halo: int = 1) -> DataFrame:
-        """Window columns that look at most `halo` rows back or ahead."""
+    def spread_blocks(self, halo: int) -> DataFrame:
+        """Rows with a block `_t` and a flag `_home`; a block also holds copies
+        of up to `halo` rows of its neighbours. For kernels that need little
+        context beyond their block."""
         if not self.split:
-            w = self._plain()
-            return self.df.select("*", *[f(w).alias(n) for n, f in cols.items()])
+            return self.positions("_i").select("*", F.lit(0).cast("long").alias("_t"), F.lit(True).alias("_home"))
         at = F.col("_i") % F.lit(self.limit)
-        copies = F.filter(
+        copies = F.array_compact(
             F.array(
                 F.col("_b"),
                 F.when((at < halo) & (F.col("_b") > 0), F.col("_b") - 1),
                 F.when(at >= self.limit - halo, F.col("_b") + 1),
-            ),
-            lambda x: x.isNotNull(),
+            )
         )
         spread = self._blocks().withColumn("_t", F.explode(copies))
+        return spread.withColumn("_home", F.col("_t") == F.col("_b")).drop("_b")
+
+    def frame(self, cols: dict[str, Callable[[WindowSpec], Column]], halo: int = 1) -> DataFrame:
+        """Window columns that look at most `halo` rows back or ahead."""
+        if not self.split:
+            w = self._plain()
+            return self.df.select("*", *[f(w).alias(n) for n, f in cols.items()])
+        spread = self.spread_blocks(halo)
         w = Window.partitionBy(*self.keys, "_t").orderBy("_i")
         out = spread.select("*", *[f(w).alias(n) for n, f in cols.items()])
-        return out.where(F.col("_t") == F.col("_b")).drop("_i", "_b", "_t")
+        return out.where("_home").select(*self.df.columns, *cols)
 
     def running(
         self,

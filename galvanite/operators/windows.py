@@ -343,14 +343,19 @@ def best_flags(df: DataFrame, keys: Sequence[str], tie: Sequence[str], lowest: S
 def normalise_weights(
     df: DataFrame, weight: str, modes: Sequence[Sequence[str]], min_weight: float = 0.0, name: str = "norm_weight"
 ) -> DataFrame:
-    """Min-max to [min_weight, 1] inside each grouping, then the mean of them."""
+    """Min-max, clipped to [min_weight, 1], inside each grouping; then the mean.
+
+    Weights that are not positive count as 1e-32; a grouping with one value
+    gets `min_weight`.
+    """
     parts = []
+    x = F.when(F.col(weight) > 0, F.col(weight)).otherwise(1e-32)
     rows = df
     for k, keys in enumerate(modes):
-        rows = with_group(rows, list(keys), F.min(weight).alias(f"_lo{k}"), F.max(weight).alias(f"_hi{k}"))
+        rows = with_group(rows, list(keys), F.min(x).alias(f"_lo{k}"), F.max(x).alias(f"_hi{k}"))
         span = F.col(f"_hi{k}") - F.col(f"_lo{k}")
-        unit = F.when(span == 0, 1.0).otherwise(F.try_divide(F.col(weight) - F.col(f"_lo{k}"), span))
-        parts.append(min_weight + (1 - min_weight) * unit)
+        unit = F.least(F.greatest(F.try_divide(x - F.col(f"_lo{k}"), span), F.lit(float(min_weight))), F.lit(1.0))
+        parts.append(F.when(span == 0, float(min_weight)).otherwise(unit))
     mean = reduce(lambda a, b: a + b, parts) / len(parts)
     return rows.select(*df.columns, mean.alias(name))
 
