@@ -78,7 +78,7 @@ def decode_bytes(data: Column) -> Column:
 def typed_value(text: Column) -> Column:
     """Text read as a value: struct(kind, number, flag, items)."""
     t = F.trim(text)
-    num = F.try_to_number(t, F.lit("S999999999999D999999")) if False else t.try_cast("double")
+    num = t.try_cast("double")
     low = F.lower(t)
     flag = F.when(low == "true", True).when(low == "false", False)
     inner = F.regexp_extract(t, r"^[\[\(](.*)[\]\)]$", 1)
@@ -200,6 +200,10 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def _run_at(tokens: Column, length: int):
+    return lambda i: F.array_join(F.slice(tokens, i, length), "_")
+
+
 def common_tokens(df: DataFrame, keys: Sequence[str], name: str, sep: str = r"[_\s-]+", max_len: int = 4) -> DataFrame:
     """Longest run of tokens shared by all names of a key.
 
@@ -213,10 +217,7 @@ def common_tokens(df: DataFrame, keys: Sequence[str], name: str, sep: str = r"[_
             *[
                 F.when(
                     F.size(toks) >= k,
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.size(toks) - (k - 1), F.lit(1))),
-                        lambda i, k=k: F.array_join(F.slice(toks, i, k), "_"),
-                    ),
+                    F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - (k - 1), F.lit(1))), _run_at(toks, k)),
                 ).otherwise(F.array().cast("array<string>"))
                 for k in range(1, max_len + 1)
             ]

@@ -37,6 +37,17 @@ def block_ratio() -> Callable[[Column, Column], Column]:
     return ratio
 
 
+def _scored(target: str, steps: Sequence[float]):
+    def score(c: Column) -> Column:
+        ratio = edit_ratio(c, F.lit(target))
+        tier = F.when(c == target, 0).when(F.lower(c) == target.lower(), 1)
+        for k, cut in enumerate(steps):
+            tier = tier.when(ratio >= cut, 2 + k)
+        return F.struct(tier.alias("tier"), (-ratio).alias("r"), c.alias("c"))
+
+    return score
+
+
 def select_fuzzy(
     columns: DataFrame, targets: Sequence[str], dataset: str = "dataset_id", column: str = "column", cutoff: float = 0.6
 ) -> DataFrame:
@@ -53,14 +64,7 @@ def select_fuzzy(
     for t in sorted(targets, key=lambda x: (-len(x), x)):
         free = F.array_except("_cols", "_used")
 
-        def scored(c: Column, t=t) -> Column:
-            ratio = edit_ratio(c, F.lit(t))
-            tier = F.when(c == t, 0).when(F.lower(c) == t.lower(), 1)
-            for k, cut in enumerate(steps):
-                tier = tier.when(ratio >= cut, 2 + k)
-            return F.struct(tier.alias("tier"), (-ratio).alias("r"), c.alias("c"))
-
-        ranked = F.filter(F.transform(free, scored), lambda s: s["tier"].isNotNull())
+        ranked = F.filter(F.transform(free, _scored(t, steps)), lambda s: s["tier"].isNotNull())
         rows = rows.withColumn(f"_m_{t}", F.array_min(ranked))
         rows = rows.withColumn(
             "_used", F.when(F.col(f"_m_{t}").isNotNull(), F.array_append("_used", F.col(f"_m_{t}.c"))).otherwise(F.col("_used"))
@@ -179,10 +183,14 @@ def band_filter(df: DataFrame, freq: str, low: float, high: float) -> DataFrame:
     return df.where(F.col(freq).between(low, high))
 
 
+def _holds(text: str):
+    return lambda part: F.contains(part, F.lit(text.lower()))
+
+
 def select_keys(keys: Sequence[str], selectors: Sequence[str], mode: str = "any") -> Column:
     """True where any (or each) selector occurs in some key part."""
     parts = F.array(*[F.lower(F.col(k).cast("string")) for k in keys])
-    tests = [F.exists(parts, lambda p, s=s: F.contains(p, F.lit(s.lower()))) for s in selectors]
+    tests = [F.exists(parts, _holds(s)) for s in selectors]
     return reduce((lambda a, b: a | b) if mode == "any" else (lambda a, b: a & b), tests)
 
 

@@ -199,13 +199,19 @@ def signed_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     return step.withColumn("_d", (F.col("_next") - F.col(value)) * sign).drop("_next", "_share"), rows.split
 
 
-def decay_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, strict: bool = True) -> DataFrame:
+def decay_start(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, strict: bool = True, within: DataFrame | None = None
+) -> DataFrame:
     """Start of the longest run of falling values.
 
     One run or none gives 0. When the first run is the longest, the last run
-    of the same length is taken.
+    of the same length is taken. `within` (keys, limit) cuts the steps looked
+    at to positions below the limit.
     """
     steps, split = signed_steps(df, keys, order, value)
+    if within is not None:
+        steps = attach(steps, within.select(*keys, F.col("limit").alias("_lim")), keys)
+        steps = steps.withColumn("_d", F.when(F.col("_i") < F.col("_lim"), F.col("_d"))).drop("_lim")
     falls = F.coalesce(F.col("_d") < 0 if strict else F.col("_d") <= 0, F.lit(False))
     steps = steps.withColumn("_f", falls)
     seq = Ordered(steps, keys, ["_i"], split=split)
@@ -420,6 +426,10 @@ def standard_order(df: DataFrame, types: dict[str, str], orders: dict[str, Seque
     return df.orderBy(*sort, *rest)
 
 
+def _pair_of(arr: Column):
+    return lambda r: F.array(F.get(arr, 2 * r["i"]), F.get(arr, 2 * r["i"] + 1))
+
+
 def sort_exponentials(params: Column, extra: Sequence[Column] = ()) -> Column:
     """Sort a flat [A0, tau0, A1, tau1, ..., B] array by tau, B stays last.
 
@@ -431,7 +441,7 @@ def sort_exponentials(params: Column, extra: Sequence[Column] = ()) -> Column:
     ranked = F.array_sort(F.transform(idx, lambda i: F.struct(F.get(params, 2 * i + 1).alias("tau"), i.alias("i"))))
     out = []
     for k, arr in enumerate(arrays):
-        core = F.flatten(F.transform(ranked, lambda r, a=arr: F.array(F.get(a, 2 * r["i"]), F.get(a, 2 * r["i"] + 1))))
+        core = F.flatten(F.transform(ranked, _pair_of(arr)))
         tail = F.slice(arr, 2 * pairs + 1, F.greatest(F.size(arr) - 2 * pairs, F.lit(0)))
         out.append(F.concat(core, tail).alias("params" if k == 0 else f"extra{k}"))
     return F.struct(*out)

@@ -12,6 +12,7 @@ from galvanite.functions.units import multi_exponential_curve, significant
 from galvanite.keyed import Ordered, attach, quantiles, with_group
 from galvanite.operators.windows import gradient_by, savgol
 from galvanite.plans.interpolation import interpolate_at
+from galvanite.session import cut_lineage
 
 # Fixed value: vacuum permittivity of the decay transform, F/cm.
 EPS0_DECAY = 8.854187817e-14
@@ -53,12 +54,10 @@ def decay_from_data(
     ends = ends.withColumn("dt", significant(F.greatest(F.col("_dt"), least), 3))
     stop = F.rint(F.least(F.col("_t1"), F.col("_t0") + 1.0 / min_f_min))
     grid = ends.withColumn("_grid", uniform_grid(F.col("_t0"), stop, F.col("dt")))
-    grid = grid.select(*keys, "dt", F.posexplode("_grid").alias("i", "t"))
-    c = interpolate_at(rows, grid, keys, "t", "_i", method)
-    v = interpolate_at(rows, grid, keys, "t", "_v", method)
-    out = attach(attach(grid, c, [*keys, "t"]), v, [*keys, "t"])
+    grid = cut_lineage(grid.select(*keys, "dt", F.posexplode("_grid").alias("i", "t")))
+    out = attach(grid, interpolate_at(rows, grid, keys, "t", ["_i", "_v"], method), [*keys, "t"])
     out = out.withColumn("flux", F.col("_i") / area).withColumn("field", F.col("_v") / thickness).drop("_i", "_v")
-    return _derived(out)
+    return cut_lineage(_derived(out))
 
 
 def decay_from_fit(

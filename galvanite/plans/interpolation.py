@@ -21,21 +21,21 @@ from galvanite.keyed import Ordered, attach, quantiles, with_group
 SPLINE_HALO = 64
 
 
-def pchip_slopes(df: DataFrame, keys: Sequence[str], x: str, y: str, split: bool | None = None) -> DataFrame:
-    """Add the monotone slope `_d` at every knot (weighted harmonic mean)."""
+def pchip_slopes(df: DataFrame, keys: Sequence[str], x: str, y: str, split: bool | None = None, name: str = "_d") -> DataFrame:
+    """Add the monotone slope at every knot (weighted harmonic mean)."""
     seq = Ordered(df, keys, [x], split=split)
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     near = seq.frame(
         {
-            "_xp": lambda w: F.lag(xs).over(w), "_yp": lambda w: F.lag(ys).over(w),
-            "_xpp": lambda w: F.lag(xs, 2).over(w), "_ypp": lambda w: F.lag(ys, 2).over(w),
-            "_xn": lambda w: F.lead(xs).over(w), "_yn": lambda w: F.lead(ys).over(w),
-            "_xnn": lambda w: F.lead(xs, 2).over(w), "_ynn": lambda w: F.lead(ys, 2).over(w),
+            "_x1": lambda w: F.lag(xs).over(w), "_y1": lambda w: F.lag(ys).over(w),
+            "_x2": lambda w: F.lag(xs, 2).over(w), "_y2": lambda w: F.lag(ys, 2).over(w),
+            "_x3": lambda w: F.lead(xs).over(w), "_y3": lambda w: F.lead(ys).over(w),
+            "_x4": lambda w: F.lead(xs, 2).over(w), "_y4": lambda w: F.lead(ys, 2).over(w),
         },
         halo=2,
     )
-    h0, h1 = xs - F.col("_xp"), F.col("_xn") - xs
-    s0, s1 = F.try_divide(ys - F.col("_yp"), h0), F.try_divide(F.col("_yn") - ys, h1)
+    h0, h1 = xs - F.col("_x1"), F.col("_x3") - xs
+    s0, s1 = F.try_divide(ys - F.col("_y1"), h0), F.try_divide(F.col("_y3") - ys, h1)
     w1, w2 = 2 * h1 + h0, h1 + 2 * h0
     inner = F.when(
         F.signum(s0) * F.signum(s1) <= 0, 0.0
@@ -47,47 +47,40 @@ def pchip_slopes(df: DataFrame, keys: Sequence[str], x: str, y: str, split: bool
         steep = (F.signum(sa) != F.signum(sb)) & (F.abs(d) > 3 * F.abs(sa))
         return F.when(flat, 0.0).when(steep, 3 * sa).otherwise(d)
 
-    hb1 = F.col("_xnn") - F.col("_xn")
-    sb1 = F.try_divide(F.col("_ynn") - F.col("_yn"), hb1)
-    hb0 = F.col("_xp") - F.col("_xpp")
-    sb0 = F.try_divide(F.col("_yp") - F.col("_ypp"), hb0)
-    first, last = F.col("_xp").isNull(), F.col("_xn").isNull()
+    hb1 = F.col("_x4") - F.col("_x3")
+    sb1 = F.try_divide(F.col("_y4") - F.col("_y3"), hb1)
+    hb0 = F.col("_x1") - F.col("_x2")
+    sb0 = F.try_divide(F.col("_y1") - F.col("_y2"), hb0)
+    first, last = F.col("_x1").isNull(), F.col("_x3").isNull()
     d = (
         F.when(first & last, 0.0)
-        .when(first & F.col("_xnn").isNull(), s1)
-        .when(last & F.col("_xpp").isNull(), s0)
+        .when(first & F.col("_x4").isNull(), s1)
+        .when(last & F.col("_x2").isNull(), s0)
         .when(first, edge(h1, hb1, s1, sb1))
         .when(last, edge(h0, hb0, s0, sb0))
         .otherwise(inner)
     )
-    return near.select(*df.columns, d.alias("_d"), "_xp", "_yp", "_xn", "_yn")
+    return near.select(*df.columns, d.alias(name))
 
 
-def spline_slopes(df: DataFrame, keys: Sequence[str], x: str, y: str, natural: bool = True) -> DataFrame:
-    """Add the cubic-spline slope `_d` at every knot.
+def spline_slopes(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, natural: bool = True, split: bool | None = None, name: str = "_d"
+) -> DataFrame:
+    """Add the cubic-spline slope at every knot.
 
     Each block of a key is solved with its neighbours' rows as context.
     """
-    seq = Ordered(df, keys, [x])
-    spread = seq.spread_blocks(SPLINE_HALO).select(*keys, "_t", "_i", "_home", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    fields = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    types = dict(df.dtypes)
+    spread = Ordered(df, keys, [x], split=split).spread_blocks(SPLINE_HALO)
+    rest = [c for c in df.columns if c not in keys]
+    schema = "".join(f"`{c}` {types[c]}, " for c in [*keys, *rest]) + f"`{name}` double"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
-        pdf["_d"] = spline_derivatives(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), natural)
-        return pdf.loc[pdf["_home"], [*keys, "_x", "_d"]]
+        pdf[name] = spline_derivatives(pdf[x].to_numpy(float), pdf[y].to_numpy(float), natural)
+        return pdf.loc[pdf["_home"], [*keys, *rest, name]]
 
-    got = spread.groupBy(*keys, "_t").applyInPandas(solve, f"{fields}, _x double, _d double".lstrip(", "))
-    out = attach(df.withColumn("_x", F.col(x).cast("double")), got, [*keys, "_x"]).drop("_x")
-    seq2 = Ordered(out, keys, [x], split=seq.split)
-    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-    near = seq2.frame(
-        {
-            "_xp": lambda w: F.lag(xs).over(w), "_yp": lambda w: F.lag(ys).over(w),
-            "_xn": lambda w: F.lead(xs).over(w), "_yn": lambda w: F.lead(ys).over(w),
-        }
-    )
-    return near.select(*df.columns, "_d", "_xp", "_yp", "_xn", "_yn")
+    return spread.groupBy(*keys, "_t").applyInPandas(solve, schema)
 
 
 def spline_derivatives(x: np.ndarray, y: np.ndarray, natural: bool = True) -> np.ndarray:
@@ -135,56 +128,65 @@ def hermite(x: Column, x0: Column, y0: Column, d0: Column, x1: Column, y1: Colum
 
 
 def interpolate_at(
-    known: DataFrame, wanted: DataFrame, keys: Sequence[str], x: str, y: str, method: str = "pchip", extrapolate: bool = True
+    known: DataFrame, wanted: DataFrame, keys: Sequence[str], x: str, y: str | Sequence[str], method: str = "pchip",
+    extrapolate: bool = True,
 ) -> DataFrame:
-    """Values of `y` at the wanted positions: (keys, x, y).
+    """Values of the `y` columns at the wanted positions: (keys, x, *y).
 
-    Positions outside the knots use the outermost piece, or give null.
+    Positions outside the knots use the outermost piece, or give null. All
+    columns share one pass; rows with a null in any of them are no knots.
     """
     keys = list(keys)
-    base = known.where(F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    if method == "pchip":
-        knots = pchip_slopes(base, keys, x, y)
-    elif method in ("cubic", "natural", "not-a-knot"):
-        knots = spline_slopes(base, keys, x, y, natural=method != "not-a-knot")
+    cols = [y] if isinstance(y, str) else list(y)
+    base = known.dropna(subset=[x, *cols]).select(*keys, F.col(x).cast("double").alias(x), *[F.col(c).cast("double").alias(c) for c in cols])
+    seq = Ordered(base, keys, [x])
+    knots = seq.frame({"_xp": lambda w: F.lag(x).over(w), "_xn": lambda w: F.lead(x).over(w)})
+    if method != "linear":
+        for c in cols:
+            if method == "pchip":
+                knots = pchip_slopes(knots, keys, x, c, seq.split, f"_d_{c}")
+            elif method in ("cubic", "natural", "not-a-knot"):
+                knots = spline_slopes(knots, keys, x, c, method != "not-a-knot", seq.split, f"_d_{c}")
+            else:
+                raise ValueError(f"unknown method {method!r}")
     else:
-        knots = Ordered(base, keys, [x]).frame(
-            {
-                "_xp": lambda w: F.lag(x).over(w), "_yp": lambda w: F.lag(y).over(w),
-                "_xn": lambda w: F.lead(x).over(w), "_yn": lambda w: F.lead(y).over(w),
-            }
-        ).withColumn("_d", F.lit(None).cast("double"))
-    neighbours = Ordered(knots, keys, [x]).frame({"_dp": lambda w: F.lag("_d").over(w), "_dn": lambda w: F.lead("_d").over(w)})
-    knot = F.struct(
-        F.col(x).alias("x"), F.col(y).alias("y"), F.col("_d").alias("d"),
-        F.col("_xp").alias("xp"), F.col("_yp").alias("yp"), F.col("_dp").alias("dp"),
-        F.col("_xn").alias("xn"), F.col("_yn").alias("yn"), F.col("_dn").alias("dn"),
-    )
-    marks = neighbours.select(*keys, F.col(x).alias("_at"), F.lit(0).alias("_side"), knot.alias("_k"))
+        for c in cols:
+            knots = knots.withColumn(f"_d_{c}", F.lit(0.0))
+    near = {}
+    for c in cols:
+        near[f"_yp_{c}"] = lambda w, c=c: F.lag(c).over(w)
+        near[f"_yn_{c}"] = lambda w, c=c: F.lead(c).over(w)
+        near[f"_dp_{c}"] = lambda w, c=c: F.lag(f"_d_{c}").over(w)
+        near[f"_dn_{c}"] = lambda w, c=c: F.lead(f"_d_{c}").over(w)
+    knots = Ordered(knots, keys, [x], split=seq.split).frame(near)
+    parts = [F.col(x).alias("x"), F.col("_xp").alias("xp"), F.col("_xn").alias("xn")]
+    for j, c in enumerate(cols):
+        parts += [F.col(c).alias(f"y{j}"), F.col(f"_yp_{c}").alias(f"yp{j}"), F.col(f"_yn_{c}").alias(f"yn{j}"),
+                  F.col(f"_d_{c}").alias(f"d{j}"), F.col(f"_dp_{c}").alias(f"dp{j}"), F.col(f"_dn_{c}").alias(f"dn{j}")]
+    marks = knots.select(*keys, F.col(x).alias("_at"), F.lit(0).alias("_side"), F.struct(*parts).alias("_k"))
     asks = wanted.select(*keys, F.col(x).cast("double").alias("_at")).distinct().withColumn("_side", F.lit(1))
     both = marks.unionByName(asks, allowMissingColumns=True)
-    seq = Ordered(both, keys, ["_at", "_side"])
-    got = seq.running({"_a": ("last", F.col("_k"))})
+    line = Ordered(both, keys, ["_at", "_side"])
+    got = line.running({"_a": ("last", F.col("_k"))})
     if extrapolate:
-        got = Ordered(got, keys, ["_at", "_side"], split=seq.split).running({"_z": ("last", F.col("_k"))}, reverse=True)
-    else:
-        got = got.withColumn("_z", F.lit(None).cast(got.schema["_a"].dataType))
+        got = Ordered(got, keys, ["_at", "_side"], split=line.split).running({"_z": ("last", F.col("_k"))}, reverse=True)
     at = F.col("_at")
 
-    def piece(k: str, first: str, second: str) -> Column:
-        x0, y0, d0 = (F.col(f"{k}.{n}{first}") for n in "xyd")
-        x1, y1, d1 = (F.col(f"{k}.{n}{second}") for n in "xyd")
+    def piece(k: str, first: str, second: str, j: int) -> Column:
+        x0, x1 = F.col(f"{k}.x{first}"), F.col(f"{k}.x{second}")
+        y0, y1 = F.col(f"{k}.y{first}{j}"), F.col(f"{k}.y{second}{j}")
         if method == "linear":
             return y0 + (y1 - y0) * F.try_divide(at - x0, x1 - x0)
-        return hermite(at, x0, y0, d0, x1, y1, d1)
-
-    exact = F.col("_a.x") == at
-    inside = F.when(exact, F.col("_a.y")).when(F.col("_a.xn").isNotNull(), piece("_a", "", "n"))
-    if extrapolate:
-        inside = inside.when(F.col("_a").isNotNull() & F.col("_a.xp").isNotNull(), piece("_a", "p", "")).when(
-            F.col("_a").isNull() & F.col("_z.xn").isNotNull(), piece("_z", "", "n")
-        )
-    return got.where(F.col("_side") == 1).select(*keys, at.alias(x), inside.alias(y))
+        return hermite(at, x0, y0, F.col(f"{k}.d{first}{j}"), x1, y1, F.col(f"{k}.d{second}{j}"))
+
+    out = []
+    for j, c in enumerate(cols):
+        val = F.when(F.col("_a.x") == at, F.col(f"_a.y{j}")).when(F.col("_a.xn").isNotNull(), piece("_a", "", "n", j))
+        if extrapolate:
+            val = val.when(F.col("_a").isNotNull() & F.col("_a.xp").isNotNull(), piece("_a", "p", "", j)).when(
+                F.col("_a").isNull() & F.col("_z.xn").isNotNull(), piece("_z", "", "n", j))
+        out.append(val.alias(c))
+    return got.where(F.col("_side") == 1).select(*keys, at.alias(x), *out)
 
 
 def regrid_log(

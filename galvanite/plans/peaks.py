@@ -14,6 +14,7 @@ from galvanite.keyed import Ordered, attach, has_hot_group, quantiles, with_grou
 from galvanite.operators.regress import log_spacing
 from galvanite.operators.windows import best_flags, normalise_weights, rank_quantiles
 from galvanite.plans.kernels import peak_properties
+from galvanite.session import cut_lineage
 
 LOWEST_PROMINENCE = 1e-6
 
@@ -65,8 +66,9 @@ def find_wide_peaks(
         rows, keys, F.regr_slope(F.col("_y"), F.col("_x")).alias("_m"), F.regr_intercept(F.col("_y"), F.col("_x")).alias("_b"),
         (F.max("_y") - F.min("_y")).alias("_range"),
     )
-    curves = rows.select(*keys, F.col(freq).cast("double").alias("_f"), F.col("_y").alias("raw"), (F.col("_y") - F.col("_m") * F.col("_x") - F.col("_b")).alias("bkg"))
     wide = F.greatest(F.lit(1.0), F.rint(F.col("_n") * min_width)) if min_width < 1 else F.lit(float(min_width))
+    rows = cut_lineage(rows)
+    curves = rows.select(*keys, F.col(freq).cast("double").alias("_f"), F.col("_y").alias("raw"), (F.col("_y") - F.col("_m") * F.col("_x") - F.col("_b")).alias("bkg"))
     facts = rows.groupBy(*keys).agg(
         F.max("_n").alias("_n"), F.max("_range").alias("_range"), F.max_by(F.struct(F.col(freq).cast("double").alias("f"), F.col("_y").alias("y")), F.struct("_y", -F.col(freq))).alias("_top")
     )
@@ -76,7 +78,7 @@ def find_wide_peaks(
     cand = cand.where((F.col("points") >= wide) & (F.col("prominence") > 0))
     halvings = F.greatest(F.lit(0.0), F.ceil(F.log2(F.lit(float(min_prominence)) / F.col("prominence"))))
     last = float(max(0, np.ceil(np.log2(min_prominence / LOWEST_PROMINENCE))))
-    cand = cand.withColumn("_k", halvings).where(F.col("_k") <= last)
+    cand = cut_lineage(cand.withColumn("_k", halvings).where(F.col("_k") <= last))
     # One entry per frequency; windows below run over the peaks of one curve.
     per = Window.partitionBy(*keys)
     first = cand.groupBy(*keys, "peak_freq").agg(F.min("_k").alias("_kf"))
@@ -103,7 +105,7 @@ def find_wide_peaks(
         (weighting(bw, bp) if weighting else F.sqrt(bw * bp)).alias("weight"), F.lit(-1.0).alias("bkg_subtracted"),
         F.col("_top.y").alias("peak_value"),
     )
-    return found.unionByName(bare).withColumn("peak_tau", F.try_divide(F.lit(1.0), 2 * F.pi() * F.col("peak_freq")))
+    return cut_lineage(found.unionByName(bare)).withColumn("peak_tau", F.try_divide(F.lit(1.0), 2 * F.pi() * F.col("peak_freq")))
 
 
 STEP_SIZES = (10, 5, 2, 1)
@@ -148,13 +150,13 @@ def trend_candidates(
     q, t, y = F.col("_w") * F.col("_w"), F.col("_t"), F.col("_y")
     agg = long.groupBy(*gk).agg(
         F.count(F.lit(1)).alias("points"), F.count_distinct("_t").alias("temps"), F.max("_nt").alias("all_temps"),
-        F.sum(q).alias("s"), F.sum(q * t).alias("st"), F.sum(q * y).alias("sy"), F.sum(q * t * y).alias("sty"), F.sum(q * t * t).alias("stt"),
-        F.avg(t).alias("mt"), F.avg(y).alias("my"), F.regr_sxx(y, t).alias("vtt"), F.regr_sxy(y, t).alias("vty"), F.regr_syy(y, t).alias("vyy"),
+        F.sum(q).alias("_s"), F.sum(q * t).alias("_st"), F.sum(q * y).alias("_sy"), F.sum(q * t * y).alias("_sty"), F.sum(q * t * t).alias("_stt"),
+        F.avg(t).alias("_mt"), F.avg(y).alias("_my"), F.regr_sxx(y, t).alias("_vtt"), F.regr_sxy(y, t).alias("_vty"), F.regr_syy(y, t).alias("_vyy"),
     )
-    slope = F.try_divide(F.col("s") * F.col("sty") - F.col("st") * F.col("sy"), F.col("s") * F.col("stt") - F.col("st") * F.col("st"))
+    slope = F.try_divide(F.col("_s") * F.col("_sty") - F.col("_st") * F.col("_sy"), F.col("_s") * F.col("_stt") - F.col("_st") * F.col("_st"))
     agg = agg.withColumn("m", slope)
-    agg = agg.withColumn("b", F.try_divide(F.col("sy") - F.col("m") * F.col("st"), F.col("s")))
-    var = F.greatest(F.lit(0.0), F.col("vyy") - 2 * F.col("m") * F.col("vty") + F.col("m") * F.col("m") * F.col("vtt")) / F.col("points")
+    agg = agg.withColumn("b", F.try_divide(F.col("_sy") - F.col("m") * F.col("_st"), F.col("_s")))
+    var = F.greatest(F.lit(0.0), F.col("_vyy") - 2 * F.col("m") * F.col("_vty") + F.col("m") * F.col("m") * F.col("_vtt")) / F.col("points")
     spread = F.sqrt(var)
     return agg.select(*gk, "m", "b", "points", "temps", "all_temps",
                       F.when(F.col("frac") == 0, spread).otherwise(spread / F.sqrt(F.col("points"))).alias("see"))
@@ -230,7 +232,7 @@ def peak_trend(
     of candidates per key.
     """
     keys = list(keys)
-    cand = trend_candidates(peaks, keys, temp, freq, weight, modes, step)
+    cand = cut_lineage(trend_candidates(peaks, keys, temp, freq, weight, modes, step))
     types = dict(peaks.dtypes)
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "m double, b double, peaks long"
 
@@ -262,7 +264,7 @@ def peak_summary(
         rows = normalise_weights(rows, "weight", normalise, min_weight, "_w").withColumn("weight", F.col("_w")).drop("_w")
     lines = peak_trend(rows, group, temp, **trend).where(F.col("peaks") >= 3).select(*group, "m", "b")
     overall = peak_trend(rows.withColumn("_all", F.lit(1)), ["_all"], temp, **trend).select(F.col("m").alias("_gm"), F.col("b").alias("_gb"))
-    rows = attach(attach(rows, lines, group), overall, [])
+    rows = cut_lineage(attach(attach(rows, cut_lineage(lines), group), cut_lineage(overall), []))
     rows = rows.withColumn("global_coeffs", F.col("m").isNull().cast("double"))
     rows = rows.withColumn("m", F.coalesce("m", "_gm")).withColumn("b", F.coalesce("b", "_gb")).drop("_gm", "_gb")
     rows = rows.withColumn("fit", F.col("m") * F.col(temp) + F.col("b")).withColumn("pred_fit", F.exp("fit"))

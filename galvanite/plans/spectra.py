@@ -19,7 +19,7 @@ from galvanite.functions.units import log_grid
 from galvanite.keyed import Ordered, attach, has_hot_group, quantiles, with_group
 from galvanite.operators.windows import downsample
 from galvanite.plans.interpolation import interpolate_at
-from galvanite.session import group_limit
+from galvanite.session import cut_lineage, group_limit
 
 
 def dft_bins(df: DataFrame, keys: Sequence[str], i: str, n: str, value: str, bins: Sequence[int]) -> DataFrame:
@@ -148,7 +148,8 @@ def detect_period(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     rows = with_group(rows, keys, F.avg(v).alias("_mu"), F.stddev_pop(v).alias("_sd"))
     scale = F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))
     rows = rows.withColumn("_z", (v - F.col("_mu")) / scale)
-    spec = spectrum(rows, keys, "_i", "_z")
+    rows = cut_lineage(rows)
+    spec = cut_lineage(spectrum(rows, keys, "_i", "_z"))
     sizes = rows.groupBy(*keys).agg(F.max("_n").alias("n"))
     spec = attach(spec, sizes, keys).where((F.col("k") >= 1) & (F.col("k") < F.floor(F.col("n") / 2)))
     spec = spec.withColumn("mag", F.hypot("re", "im"))
@@ -182,7 +183,7 @@ def permittivity(
     sizes = decay.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("dt").alias("dt"))
     spec = attach(spectrum(decay, keys, "i", "decay"), sizes, keys)
     spec = spec.where(F.col("k") <= F.floor((F.col("n") - 1) / 2)).withColumn("freq", F.col("k") / (F.col("n") * F.col("dt")))
-    spec = spec.withColumn("mag", F.hypot("re", "im")).withColumn("phase", F.degrees(F.atan2("im", "re")))
+    spec = cut_lineage(spec.withColumn("mag", F.hypot("re", "im")).withColumn("phase", F.degrees(F.atan2("im", "re"))))
     if resample:
         ends = spec.groupBy(*keys).agg(
             F.greatest(F.min(F.when(F.col("freq") > 0, F.col("freq"))), F.lit(1e-10)).alias("_lo"), F.max("freq").alias("_hi"),
@@ -196,12 +197,12 @@ def permittivity(
             at = F.col("_lo") + F.col("_j") * F.try_divide(F.col("_hi") - F.col("_lo"), (F.col("n") - 1).cast("double"))
         j = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))
         grid = ends.withColumn("_j", j).select(*keys, "n", "dt", at.alias("freq"))
-        out = grid
-        for c in ("re", "im", "mag", "phase"):
-            out = attach(out, interpolate_at(spec, grid, keys, "freq", c, method), [*keys, "freq"])
+        values = interpolate_at(spec, grid, keys, "freq", ["re", "im", "mag", "phase"], method)
+        out = attach(grid.distinct(), values, [*keys, "freq"])
     else:
         out = spec.select(*keys, "n", "dt", "freq", "re", "im", "mag", "phase")
     out = out.withColumn("loss", F.try_divide(F.col("im"), F.when(F.col("re") != 0, F.col("re")).otherwise(1e-32)))
+    out = cut_lineage(out)
     return downsample(out, keys, ["freq"], max_points, F.col("dt")) if max_points else out
 
 
