@@ -129,10 +129,10 @@ def describe_bootstrap(spark, sf):
     return rounded(A.describe_bootstrap(table(spark, sf, "lineitem"), FLAGS, "l_quantity", 90), 6)
 
 
-@query("band_percentiles", """SELECT l_returnflag, l_quantity, round(quantile_cont(l_extendedprice, 0.025), 2) AS low, round(quantile_cont(l_extendedprice, 0.975), 2) AS high,
+@query("band_percentiles", """SELECT l_returnflag, l_quantity, round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.975), 6) AS high,
  round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std FROM lineitem GROUP BY 1, 2""")
 def band_percentiles(spark, sf):
-    return rounded(A.band_percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), {"low": 2, "high": 2, "mean": 4, "std": 4})
+    return rounded(A.band_percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), {"low": 6, "high": 6, "mean": 4, "std": 4})
 
 
 @query("nyquist_band", """WITH b AS (SELECT l_returnflag, l_extendedprice AS x, l_tax AS y, min(l_extendedprice) OVER w AS lo, max(l_extendedprice) OVER w AS hi,
@@ -144,10 +144,10 @@ def nyquist_band(spark, sf):
     return rounded(out, {"real": 4, "low": 6, "high": 6})
 
 
-@query("array_attrs", """WITH a AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: round(x::DOUBLE, 1)) AS a FROM embeddings)
+@query("array_attrs", """WITH a AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: round(x::DOUBLE, 1) + 0.0) AS a FROM embeddings)
 SELECT vec_id, list_min(a) AS low, a[1] AS first, CASE WHEN len(list_distinct(a)) = 1 THEN a[1] END AS only FROM a""")
 def array_attrs(spark, sf):
-    vals = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 1))
+    vals = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 1) + F.lit(0.0))
     return table(spark, sf, "embeddings").select(
         "vec_id", A.array_attrs(vals, "min").alias("low"), A.array_attrs(vals, "first").alias("first"), A.array_attrs(vals).alias("only")
     )

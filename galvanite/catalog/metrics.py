@@ -95,10 +95,10 @@ def dataset_error(spark, sf):
     return rounded(M.dataset_error(data, model, ["l_returnflag"], "f", ["re", "im"], "mean_abs_perc_err", (2, 40)), 6)
 
 
-@query("param_error_propagation", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * sqrt(coalesce(pow(l_discount / l_quantity, 2), 0) + pow(l_tax / l_extendedprice, 2)), 5) AS err FROM lineitem""")
+@query("param_error_propagation", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * sqrt(coalesce(pow(l_discount / l_quantity, 2), 0) + pow(l_tax / l_extendedprice, 2)), 10) AS err FROM lineitem""")
 def param_error_propagation(spark, sf):
     return rounded(table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", M.propagated_error("l_extendedprice", [("l_quantity", "l_discount"), ("l_extendedprice", "l_tax")]).alias("err")), 5)
+        "l_orderkey", "l_linenumber", M.propagated_error("l_extendedprice", [("l_quantity", "l_discount"), ("l_extendedprice", "l_tax")]).alias("err")), 10)
 
 
 @query("aicc", """WITH s AS (SELECT l_returnflag, l_linestatus, sum(pow(l_quantity - (20 + 100 * l_discount), 2)) AS rss, regr_syy(l_quantity, l_quantity) AS tss, count(*) AS n FROM lineitem GROUP BY 1, 2)

@@ -21,6 +21,7 @@ from galvanite.operators.aggregates import describe_bootstrap
 from galvanite.operators.windows import arc_points
 from galvanite.plans.fits import bootstrap_rows
 from galvanite.plans.kernels import bounded_least_squares, circuit_impedance
+from galvanite.session import cut_lineage
 
 
 def collapse_sweeps(df: DataFrame, keys: Sequence[str], freq: str, re: str, im: str, weighted: bool = True, band: tuple[float, float] | None = None) -> DataFrame:
@@ -108,13 +109,16 @@ def fit_circuits(
         return pd.DataFrame(out, columns=[*keys, "start_no", "cost", "values", "stds"])
 
     # Starts are independent, so they spread over tasks by (dataset, start).
-    spread_rows = attach(flat, begin.select(*keys, "start_no"), keys, "inner")
+    begin = cut_lineage(begin)
+    side = begin.select(*[F.col(c).alias(c) for c in begin.columns])
+    spread_rows = attach(flat, begin.select(*keys, F.col("start_no").alias("_no")), keys, "inner").withColumnRenamed("_no", "start_no")
+    spread_rows = spread_rows.select(*[F.col(c).alias(c) for c in spread_rows.columns])
     gk = [*keys, "start_no"]
 
     def solve_one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return solve(key[:-1], left, right)
 
-    got = spread_rows.groupBy(*gk).cogroup(begin.groupBy(*gk)).applyInPandas(
+    got = spread_rows.groupBy(*gk).cogroup(side.groupBy(*gk)).applyInPandas(
         solve_one, lead + f"start_no {dict(begin.dtypes)['start_no']}, cost double, values array<double>, stds array<double>"
     )
     best = got.groupBy(*keys).agg(F.min_by(F.struct("start_no", "cost", "values", "stds"), F.struct("cost", "start_no")).alias("_b"))

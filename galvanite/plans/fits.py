@@ -93,10 +93,10 @@ def guess_exponential(df: DataFrame, keys: Sequence[str], t: str, y: str, b0: st
     """
     rows = _anchored(df, keys, t, y, b0)
     adj = F.abs(F.col("_y") - F.col("_b0"))
-    rows = rows.withColumn("_adj", F.when(adj == 0, 1e-32).otherwise(adj)).withColumn("_N", F.greatest(F.lit(2), F.floor(F.col("_n") * 0.05)))
-    tail = F.col("_i") >= F.col("_n") - 12 * F.col("_N")
-    lead = F.avg(F.when(F.col("_i") < 2 * F.col("_N"), F.col("_y")))
-    rest = F.avg(F.when(F.col("_i") >= F.col("_n") - 2 * F.col("_N"), F.col("_y")))
+    rows = rows.withColumn("_adj", F.when(adj == 0, 1e-32).otherwise(adj)).withColumn("_part", F.greatest(F.lit(2), F.floor(F.col("_n") * 0.05)))
+    tail = F.col("_i") >= F.col("_n") - 12 * F.col("_part")
+    lead = F.avg(F.when(F.col("_i") < 2 * F.col("_part"), F.col("_y")))
+    rest = F.avg(F.when(F.col("_i") >= F.col("_n") - 2 * F.col("_part"), F.col("_y")))
     slope = F.regr_slope(F.when(tail, F.log("_adj")), F.when(tail, F.col("_t")))
     rows = with_group(rows, keys, slope.alias("_m"), F.signum(lead - rest).alias("_sign"), F.max("_t").alias("_end"))
     rows = rows.withColumn("_tau", F.greatest(F.coalesce(F.try_divide(F.lit(-1.0), F.col("_m")), F.lit(MIN_TAU)), F.lit(MIN_TAU)))
