@@ -160,7 +160,7 @@ k AS (SELECT l_returnflag, 0 AS frac, t, y, w FROM q UNION ALL SELECT l_returnfl
 SELECT l_returnflag, frac, count(*) AS points, round((sum(w*w) * sum(w*w*t*y) - sum(w*w*t) * sum(w*w*y)) / (sum(w*w) * sum(w*w*t*t) - pow(sum(w*w*t), 2)), 8) AS m FROM k GROUP BY 1, 2""")
 def trend_candidates(spark, sf):
     df = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").alias("temp"), F.col("l_extendedprice").alias("peak_freq"), (F.col("l_discount") + 0.01).alias("weight"))
-    out = K.trend_candidates(df, ["l_returnflag"], "temp", "peak_freq", "weight", ["weight"], 10)
+    out = K.trend_candidates(df, ["l_returnflag"], "temp", "peak_freq", "weight", ["weight"])
     keep = (F.col("frac") == 0) | ((F.col("step") == 10) & F.col("frac").isin(10, 40))
     return rounded(out.where(keep).select("l_returnflag", F.col("frac").cast("int"), "points", "m"), {"m": 8})
 
@@ -236,3 +236,69 @@ def export_prediction(spark, sf):
     fits = df.select("l_suppkey").distinct().select("l_suppkey", F.lit("R0-p(R1,C1)").alias("model"), F.explode(F.array(
         *[F.struct(F.lit(n).alias("param"), F.lit(v).alias("value")) for n, v in (("R0", 10.0), ("R1", 500.0), ("C1", 1e-5))])).alias("x")).select("l_suppkey", "model", "x.*")
     return rounded(C.predict(df, fits, ["l_suppkey"], "f", ["R0-p(R1,C1)"]).select("l_suppkey", "f", "pr_re"), {"pr_re": 6})
+
+
+@query("fit_jobs", None)
+def fit_jobs(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_quantity") / 50).alias("t"), (F.col("l_extendedprice") / 1e5).alias("y"))
+    jobs = [{"model": "exp", "iterations": 2}, {"model": "exp", "targets": "error > @median(error)", "bias": 0.2, "iterations": 2}]
+    return T.run_fit_jobs(df, ["l_returnflag", "l_linestatus"], "t", "y", jobs, group=["l_returnflag"]).select("l_returnflag", "l_linestatus", "p", "error", "fit_no")
+
+
+@query("refine_breakpoints", None)
+def refine_breakpoints(spark, sf):
+    from galvanite.plans.pipeline import refine_breakpoints as refine
+
+    rows = positions(spark, sf).withColumn("v", F.when(F.floor(F.col("i") / 20) % 2 == 0, 100.0).otherwise(-100.0) + F.col("value") / 1e4)
+    period = rows.select("user_id").distinct().withColumn("period", F.lit(20))
+    return refine(rows.select("user_id", "i", "v"), USER, ["i"], "v", period)
+
+
+@query("peak_results", None)
+def peak_results(spark, sf):
+    p = [("R0", F.lit(10.0)), ("R1", F.abs("s_acctbal") + 10), ("C1", F.lit(1e-5))]
+    val = F.create_map(*[x for n, v in p for x in (F.lit(n), v)])
+    std = F.create_map(*[x for n, v in p for x in (F.lit(n), v * 0.05)])
+    params = table(spark, sf, "supplier").select("s_suppkey", val.alias("value"), std.alias("std"))
+    return rounded(C.peak_results(params, ["s_suppkey"], "R0-p(R1,C1)", [10.0 ** (k / 8 - 2) for k in range(57)]).select("s_suppkey", "f_peak", "R", "R_std"), 6)
+
+
+@query("model_stats", None)
+def model_stats(spark, sf):
+    df = sweeps(spark, sf).withColumnRenamed("f", "freq").groupBy("l_suppkey", "freq").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    params = df.select("l_suppkey").distinct().withColumn("value", F.create_map(F.lit("R0"), F.lit(10.0), F.lit("R1"), F.lit(1000.0), F.lit("C1"), F.lit(1.6e-6)))
+    return C.model_stats(df, params, ["l_suppkey"], "R0-p(R1,C1)", ["p(R1,C1)"], [10.0 ** (k / 8) for k in range(33)])
+
+
+@query("bootstrap_circuits", None)
+def bootstrap_circuits(spark, sf):
+    df = sweeps(spark, sf).withColumn("id", F.xxhash64("f", "re"))
+    return C.bootstrap_circuits(df, ["l_suppkey"], ["f", "id"], "f", "re", "im", "R0-p(R1,C1)", rc_start(df, "l_suppkey"), replicates=2)
+
+
+@query("peak_summary", None)
+def peak_summary(spark, sf):
+    df = table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_suppkey", F.col("l_linenumber").alias("temp"), F.col("l_extendedprice").alias("peak_freq"), (F.col("l_discount") + 0.01).alias("weight"),
+        F.col("l_quantity").alias("width"), F.col("l_tax").alias("prominence"))
+    best, every = K.peak_summary(df, ["l_returnflag", "l_suppkey"], ["l_returnflag"], "temp", normalise=[["l_returnflag", "temp"]])
+    return best.select("l_returnflag", "l_suppkey", "peak_freq", "m", "b")
+
+
+@query("standardise_runs", None)
+def standardise_runs(spark, sf):
+    """Square-wave runs built on the events: volts, amperes and a thermocouple per event."""
+    from galvanite.plans.pipeline import standardise_runs as standardise
+
+    rows = positions(spark, sf).where("n >= 48")
+    half = F.floor(F.col("i") / 12)
+    sign = F.when(half % 2 == 0, 1.0).otherwise(-1.0)
+    decay = F.exp(-(F.col("i") % 12) / 4.0)
+    value = F.array(
+        F.struct(F.lit("v").alias("channel"), (2.0 * sign).alias("value")),
+        F.struct(F.lit("i").alias("channel"), (sign * (2e-9 + 3e-9 * decay) * (1 + F.col("value") * 1e-6)).alias("value")),
+        F.struct(F.lit("tc").alias("channel"), (F.lit(0.0012) + F.col("value") * 1e-9).alias("value")))
+    runs = rows.select((F.col("user_id") % 7).cast("string").alias("sample_name"), F.lit("pre").alias("condition"), (F.lit(60.0) + F.col("user_id") % 3).alias("temp"),
+                       F.col("user_id").alias("run"), F.col("i").alias("row_idx"), F.timestamp_seconds(F.col("i")).alias("ts"), F.explode(value).alias("x"))
+    out = standardise(runs.select("sample_name", "condition", "temp", "run", "row_idx", "ts", "x.*"), ["sample_name", "condition", "temp", "run"], "ts")
+    return out["segments"].groupBy("sample_name", "run", "segment").agg(F.count(F.lit(1)).alias("rows"), F.avg("resistance").alias("resistance"))

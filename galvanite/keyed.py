@@ -113,44 +113,44 @@ class Ordered:
         parts = max(2, math.ceil(rows / self.limit) * 2)
         ranged = cut_lineage(
             self.df.repartitionByRange(parts, *self.keys, *self.order).withColumn(
-                "_c", F.spark_partition_id()
+                "_kx_c", F.spark_partition_id()
             )
         )
-        sizes = ranged.groupBy(*self.keys, "_c").agg(F.count(F.lit(1)).alias("_m"))
-        before = Window.partitionBy(*self.keys).orderBy("_c")
+        sizes = ranged.groupBy(*self.keys, "_kx_c").agg(F.count(F.lit(1)).alias("_kx_m"))
+        before = Window.partitionBy(*self.keys).orderBy("_kx_c")
         starts = sizes.withColumn(
-            "_before", F.sum("_m").over(before.rowsBetween(Window.unboundedPreceding, -1))
-        ).where(F.col("_before") > 0)
+            "_kx_before", F.sum("_kx_m").over(before.rowsBetween(Window.unboundedPreceding, -1))
+        ).where(F.col("_kx_before") > 0)
         # A key has a start above 0 only in parts after its first one, so this
         # table has fewer rows than there are parts.
-        local = Window.partitionBy(*self.keys, "_c").orderBy(*self.order)
-        out = ranged.withColumn("_at", F.row_number().over(local).cast("long") - 1)
-        out = attach(out, F.broadcast(starts.drop("_m")), [*self.keys, "_c"])
-        out = out.withColumn(name, F.col("_at") + F.coalesce("_before", F.lit(0)))
+        local = Window.partitionBy(*self.keys, "_kx_c").orderBy(*self.order)
+        out = ranged.withColumn("_kx_at", F.row_number().over(local).cast("long") - 1)
+        out = attach(out, F.broadcast(starts.drop("_kx_m")), [*self.keys, "_kx_c"])
+        out = out.withColumn(name, F.col("_kx_at") + F.coalesce("_kx_before", F.lit(0)))
         if count:
-            totals = sizes.groupBy(*self.keys).agg(F.sum("_m").alias(count))
+            totals = sizes.groupBy(*self.keys).agg(F.sum("_kx_m").alias(count))
             out = attach(out, totals, self.keys)
-        return out.drop("_c", "_at", "_before")
+        return out.drop("_kx_c", "_kx_at", "_kx_before")
 
     def _blocks(self) -> DataFrame:
-        return self.positions("_i").withColumn("_b", F.floor(F.col("_i") / F.lit(self.limit)))
+        return self.positions("_kx_i").withColumn("_kx_b", F.floor(F.col("_kx_i") / F.lit(self.limit)))
 
     def spread_blocks(self, halo: int) -> DataFrame:
-        """Rows with a block `_t` and a flag `_home`; a block also holds copies
+        """Rows with a block `_kx_t` and a flag `_kx_home`; a block also holds copies
         of up to `halo` rows of its neighbours. For kernels that need little
         context beyond their block."""
         if not self.split:
-            return self.positions("_i").select("*", F.lit(0).cast("long").alias("_t"), F.lit(True).alias("_home"))
-        at = F.col("_i") % F.lit(self.limit)
+            return self.positions("_kx_i").select("*", F.lit(0).cast("long").alias("_kx_t"), F.lit(True).alias("_kx_home"))
+        at = F.col("_kx_i") % F.lit(self.limit)
         copies = F.array_compact(
             F.array(
-                F.col("_b"),
-                F.when((at < halo) & (F.col("_b") > 0), F.col("_b") - 1),
-                F.when(at >= self.limit - halo, F.col("_b") + 1),
+                F.col("_kx_b"),
+                F.when((at < halo) & (F.col("_kx_b") > 0), F.col("_kx_b") - 1),
+                F.when(at >= self.limit - halo, F.col("_kx_b") + 1),
             )
         )
-        spread = self._blocks().withColumn("_t", F.explode(copies))
-        return spread.withColumn("_home", F.col("_t") == F.col("_b")).drop("_b")
+        spread = self._blocks().withColumn("_kx_t", F.explode(copies))
+        return spread.withColumn("_kx_home", F.col("_kx_t") == F.col("_kx_b")).drop("_kx_b")
 
     def frame(self, cols: dict[str, Callable[[WindowSpec], Column]], halo: int = 1) -> DataFrame:
         """Window columns that look at most `halo` rows back or ahead."""
@@ -158,9 +158,9 @@ class Ordered:
             w = self._plain()
             return self.df.select("*", *[f(w).alias(n) for n, f in cols.items()])
         spread = self.spread_blocks(halo)
-        w = Window.partitionBy(*self.keys, "_t").orderBy("_i")
+        w = Window.partitionBy(*self.keys, "_kx_t").orderBy("_kx_i")
         out = spread.select("*", *[f(w).alias(n) for n, f in cols.items()])
-        return out.where("_home").select(*self.df.columns, *cols)
+        return out.where("_kx_home").select(*self.df.columns, *cols)
 
     def running(
         self,
@@ -177,40 +177,40 @@ class Ordered:
         if not self.split:
             w = self._plain(reverse).rowsBetween(Window.unboundedPreceding, end)
             return self.df.select("*", *[_running(h, v).over(w).alias(n) for n, (h, v) in cols.items()])
-        blocks = self._blocks().select("*", *[v.alias(f"_v_{n}") for n, (_, v) in cols.items()])
-        at = F.col("_i") if not reverse else -F.col("_i")
-        totals = blocks.groupBy(*self.keys, "_b").agg(
+        blocks = self._blocks().select("*", *[v.alias(f"_kx_v_{n}") for n, (_, v) in cols.items()])
+        at = F.col("_kx_i") if not reverse else -F.col("_kx_i")
+        totals = blocks.groupBy(*self.keys, "_kx_b").agg(
             *[
                 (
-                    F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at))
+                    F.max_by(F.col(f"_kx_v_{n}"), F.when(F.col(f"_kx_v_{n}").isNotNull(), at))
                     if h == "last"
-                    else _running(h, F.col(f"_v_{n}"))
-                ).alias(f"_s_{n}")
+                    else _running(h, F.col(f"_kx_v_{n}"))
+                ).alias(f"_kx_s_{n}")
                 for n, (h, _) in cols.items()
             ]
         )
-        ordered = F.col("_b").desc() if reverse else F.col("_b").asc()
+        ordered = F.col("_kx_b").desc() if reverse else F.col("_kx_b").asc()
         prior = Window.partitionBy(*self.keys).orderBy(ordered)
         prior_rows = prior.rowsBetween(Window.unboundedPreceding, -1)
         carry = totals.select(
             *self.keys,
-            "_b",
-            F.row_number().over(prior).alias("_first"),
-            *[_running(h, F.col(f"_s_{n}")).over(prior_rows).alias(f"_c_{n}") for n, (h, _) in cols.items()],
-        ).where(F.col("_first") > 1)
+            "_kx_b",
+            F.row_number().over(prior).alias("_kx_first"),
+            *[_running(h, F.col(f"_kx_s_{n}")).over(prior_rows).alias(f"_kx_c_{n}") for n, (h, _) in cols.items()],
+        ).where(F.col("_kx_first") > 1)
         w = (
-            Window.partitionBy(*self.keys, "_b")
-            .orderBy(F.col("_i").desc() if reverse else F.col("_i").asc())
+            Window.partitionBy(*self.keys, "_kx_b")
+            .orderBy(F.col("_kx_i").desc() if reverse else F.col("_kx_i").asc())
             .rowsBetween(Window.unboundedPreceding, end)
         )
         out = blocks.select(
-            "*", *[_running(h, F.col(f"_v_{n}")).over(w).alias(f"_l_{n}") for n, (h, _) in cols.items()]
+            "*", *[_running(h, F.col(f"_kx_v_{n}")).over(w).alias(f"_kx_l_{n}") for n, (h, _) in cols.items()]
         )
         # Only keys with several blocks have a carry: rows / limit lines.
-        out = attach(out, F.broadcast(carry.drop("_first")), [*self.keys, "_b"])
+        out = attach(out, F.broadcast(carry.drop("_kx_first")), [*self.keys, "_kx_b"])
         return out.select(
             *self.df.columns,
-            *[_combine(h, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (h, _) in cols.items()],
+            *[_combine(h, F.col(f"_kx_c_{n}"), F.col(f"_kx_l_{n}")).alias(n) for n, (h, _) in cols.items()],
         )
 
 

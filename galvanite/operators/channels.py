@@ -98,7 +98,8 @@ def resolve_channels(
     run = list(run)
     w = Window.partitionBy(*run)
     rows = attach(classify_channels(traits, channel), family_checks(means, run, row, channel, value), [*run, "base"])
-    rows = rows.withColumn("consistent", F.coalesce("consistent", F.lit(True)))
+    # One line per (run, channel): small, and every pass reads it again.
+    rows = cut_lineage(rows.withColumn("consistent", F.coalesce("consistent", F.lit(True))))
     left = F.col("role") == "unpicked"
     count_left = F.sum(left.cast("int")).over(w)
     has = lambda r: F.max((F.col("role") == r).cast("int")).over(w) == 1
@@ -131,6 +132,7 @@ def resolve_channels(
     rows = rows.withColumn("_late", has("temperature") & has("current"))
     rows = rows.withColumn("role", F.when(left & F.col("_late") & (count_left == 1), "unknown").otherwise(F.col("role"))).drop("_late")
 
+    rows = cut_lineage(rows)
     # Pass 3. Names that served as temperature anywhere get the wider limit.
     used = rows.where(F.col("role") == "temperature").select(channel).distinct().withColumn("_used", F.lit(True))
     rows = attach(rows, used, [channel])
@@ -144,6 +146,7 @@ def resolve_channels(
     rows = rows.withColumn("role", F.when(F.col("_able") & (F.col("_rank") == 1), "temperature").otherwise(F.col("role"))).drop("_able", "_rank", "_used")
     rows = current_rule(rows, F.lit(True))
     rows = unknown_rule(rows)
+    rows = cut_lineage(rows)
     # Pass 4 and 5.
     rows = unknown_rule(rows)
     if trend:
@@ -233,19 +236,21 @@ def infer_multiplier(
         cpoint = F.struct(F.col(temp).cast("double").alias("t"), F.col("_ct").alias("v"))
         cseries = ct.where(F.col("_ct").isNotNull()).groupBy(condition).agg(F.array_sort(F.collect_list(cpoint)).alias("_cseries"))
         facts = attach(attach(facts, ct, [condition, temp]), cseries, [condition])
-    rows = attach(df, facts.withColumnRenamed("_c", "_mean"), sct)
+    # All votes but the row's own depend on the group only: one line each.
     at = F.col(temp).cast("double")
-    own = F.when(F.col(current) <= SURE_CURRENT, F.abs(F.col(current)))
     votes = [
-        _nearest_factor(F.col("_raw"), own),
-        _nearest_factor(F.col("_raw"), F.col("_mean")),
+        _nearest_factor(F.col("_raw"), F.col("_c")),
         F.when(in_pair, _nearest_factor(F.col("_raw"), F.col("_pair"))).otherwise(_nearest_factor(F.col("_raw"), F.col("_pair"), F.col("_pair"))),
         _trend_factor(F.col("_raw"), at, F.col("_series")),
         _trend_factor(F.col("_raw"), at, F.when(in_pair, F.col("_pseries")).otherwise(F.col("_series"))),
     ]
     if not strict:
         votes += [_nearest_factor(F.col("_raw"), F.col("_ct")), _trend_factor(F.col("_raw"), at, F.col("_cseries"))]
-    cast = F.filter(F.array(*votes), lambda v: v.isNotNull() & (v != 1))
+    facts = cut_lineage(facts.select(*sct, "_raw", F.array(*votes).alias("_shared")))
+    rows = attach(df, facts, sct)
+    own = F.when(F.col(current) <= SURE_CURRENT, F.abs(F.col(current)))
+    every = F.concat(F.array(_nearest_factor(F.col("_raw"), own)), F.coalesce("_shared", F.array().cast("array<double>")))
+    cast = F.filter(every, lambda v: v.isNotNull() & (v != 1))
     tally = F.transform(F.array(*[F.lit(m) for m in MULTIPLIERS[1:]]), lambda m: F.struct(
         F.size(F.filter("_votes", lambda v: v == m)).alias("k"), (-F.array_position("_votes", m)).alias("first"), m.alias("m")))
     rows = rows.withColumn("_votes", cast)

@@ -76,11 +76,11 @@ def spline_slopes(
     schema = "".join(f"`{c}` {types[c]}, " for c in [*keys, *rest]) + f"`{name}` double"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
+        pdf = pdf.sort_values("_kx_i")
         pdf[name] = spline_derivatives(pdf[x].to_numpy(float), pdf[y].to_numpy(float), natural)
-        return pdf.loc[pdf["_home"], [*keys, *rest, name]]
+        return pdf.loc[pdf["_kx_home"], [*keys, *rest, name]]
 
-    return spread.groupBy(*keys, "_t").applyInPandas(solve, schema)
+    return spread.groupBy(*keys, "_kx_t").applyInPandas(solve, schema)
 
 
 def spline_derivatives(x: np.ndarray, y: np.ndarray, natural: bool = True) -> np.ndarray:

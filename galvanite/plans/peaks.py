@@ -112,7 +112,7 @@ STEP_SIZES = (10, 5, 2, 1)
 
 
 def trend_candidates(
-    peaks: DataFrame, keys: Sequence[str], temp: str, freq: str, weight: str, modes: Sequence[str], step: int = 10
+    peaks: DataFrame, keys: Sequence[str], temp: str, freq: str, weight: str, modes: Sequence[str], sizes: Sequence[int] = (10,)
 ) -> DataFrame:
     """Weighted lines ln(f) over temperature for growing trims.
 
@@ -123,7 +123,6 @@ def trend_candidates(
     rows = peaks.where(F.col(freq).isNotNull()).select(
         *keys, F.col(temp).cast("double").alias("_t"), F.log(F.col(freq)).alias("_y"), F.col(weight).cast("double").alias("_w")
     )
-    sizes = [s for s in STEP_SIZES if s <= max(1, min(step, 16))] or [1]
     fracs = sorted({f for s in sizes for f in range(s, 50 // s * s, s)})
     wanted = {f"_y{f}": f / 100 for f in fracs} | {f"_y{100 - f}": (100 - f) / 100 for f in fracs}
     lows = quantiles(rows, keys, "_y", wanted)
@@ -232,7 +231,14 @@ def peak_trend(
     of candidates per key.
     """
     keys = list(keys)
-    cand = cut_lineage(trend_candidates(peaks, keys, temp, freq, weight, modes, step))
+    sizes = [s for s in STEP_SIZES if s <= max(1, min(step, 16))] or [1]
+    cand = cut_lineage(trend_candidates(peaks, keys, temp, freq, weight, modes, sizes[:1]))
+    # Finer steps only for keys in which a trim lost a temperature.
+    short = cand.where((F.col("frac") > 0) & (F.col("temps") < F.col("all_temps"))).select(*keys).distinct()
+    if len(sizes) > 1 and not short.isEmpty():
+        again = attach(peaks, short, keys, "left_semi")
+        finer = trend_candidates(again, keys, temp, freq, weight, modes, sizes[1:])
+        cand = cut_lineage(cand.unionByName(finer.where(F.col("frac") > 0)))
     types = dict(peaks.dtypes)
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "m double, b double, peaks long"
 
