@@ -24,7 +24,7 @@ def dft_bins(spark, sf):
 
 
 @query("spectrum", f"""WITH {EV}, k AS (SELECT a.user_id, a.n, b.i AS k, a.i, a.value FROM ev a JOIN ev b ON a.user_id = b.user_id)
-SELECT user_id, k, round(sum(value * cos(2 * pi() * ((k * i) % n) / n)), 5) + 0.0 AS re, round(-sum(value * sin(2 * pi() * ((k * i) % n) / n)), 5) + 0.0 AS im FROM k GROUP BY 1, 2""")
+SELECT user_id, k AS bin, round(sum(value * cos(2 * pi() * ((k * i) % n) / n)), 5) + 0.0 AS re, round(-sum(value * sin(2 * pi() * ((k * i) % n) / n)), 5) + 0.0 AS im FROM k GROUP BY 1, 2""")
 def spectrum(spark, sf):
     return rounded(S.spectrum(positions(spark, sf), USER, "i", "value"), 5)
 

@@ -145,7 +145,7 @@ def current_limits(
         rows = gradient_residual(rows, keys, order, "_x", name="_m")
     else:
         rows = rows.withColumn("_m", F.signum("_x") * F.log(F.abs("_x") + 1e-24))
-    marked = cut_lineage(grubbs_clip(rows, keys, order, "_m", alpha, allowed))
+    marked = cut_lineage(grubbs_clip(cut_lineage(rows), keys, order, "_m", alpha, allowed))
     gone = F.col("removed") | (F.col("_i") == 0)
     blocks = Ordered(marked, keys, ["_i"]).frame({"_new": lambda w: (gone & ~F.coalesce(F.lag(gone).over(w), F.lit(False))).cast("long")})
     blocks = Ordered(blocks, keys, ["_i"]).running({"_blk": ("sum", F.col("_new"))}).where(gone)
@@ -159,6 +159,7 @@ def current_limits(
     )
     bare = F.col("_single") & (F.col("_last") == 0)
     lim = lim.withColumn("_start", F.when(bare, 0).otherwise(F.coalesce("_start", F.lit(0)))).withColumn("_max", F.floor(F.col("n") / start_region))
+    lim = cut_lineage(lim)
     dec = decay_start(marked, keys, ["_i"], "_x", within=lim.select(*keys, (F.col("_start") + F.col("_max")).alias("limit")))
     lim = attach(lim, dec, keys)
     if outlier_eval:
@@ -228,7 +229,7 @@ def clean_segments(
     """Voltage trim, then current trim, by flags."""
     out = df
     if stable_voltage or shift_start or shift_end:
-        out = trim_voltage(out, keys, order, voltage, time, min_length, shift_start, shift_end, threshold, reset_time=True)
+        out = cut_lineage(trim_voltage(out, keys, order, voltage, time, min_length, shift_start, shift_end, threshold, reset_time=True))
     if check_start or check_end:
         out = trim_current(out, keys, order, current, time, min_length, check_start, threshold, check_end, reset_time="volt" not in reset, **limits)
     return out

@@ -116,13 +116,15 @@ def standardise_runs(
     seg_axis = cut_lineage(segments_from_breakpoints(axis, breaks, run, ["row_idx"], "t"))
     seg = [*run, "segment"]
     rows = attach(samples.drop(ts), seg_axis.select(*run, "row_idx", "segment", "t", ts), [*run, "row_idx"])
-    means = settled_mean(rows, [*seg, "channel"], ["row_idx"], ["value"])
-    traits = channel_traits(means, run, ["segment"])
+    # Each cut writes a table that several later steps read.
+    rows = cut_lineage(rows)
+    means = cut_lineage(settled_mean(rows, [*seg, "channel"], ["row_idx"], ["value"]))
+    traits = cut_lineage(channel_traits(means, run, ["segment"]))
     roles = cut_lineage(resolve_channels(traits, means, run, ["segment"], temp, trend=[c for c in run if c in (sample, condition)]))
     mapping = roles.where(F.col("std_channel").isNotNull()).select(*run, F.col("channel").alias("raw_channel"), "std_channel", "multiplier")
-    points = raw_to_standard(map_channels(means, mapping, run, ["segment"], sorted(RAW.values())), temp)
-    factors = infer_multiplier(points, sample, condition, temp)
-    points = enforce_trend(factors, sample, condition, temp)
+    points = cut_lineage(raw_to_standard(map_channels(means, mapping, run, ["segment"], sorted(RAW.values())), temp))
+    factors = cut_lineage(infer_multiplier(points, sample, condition, temp))
+    points = cut_lineage(enforce_trend(factors, sample, condition, temp))
     factor = points.select(*seg, F.col("multiplier").alias("decade"))
     wide = map_channels(rows, mapping, run, ["segment", "row_idx", "t"], sorted(RAW.values()))
     std = cut_lineage(raw_to_standard(attach(wide, factor, seg), temp, "decade"))

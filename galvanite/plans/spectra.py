@@ -45,17 +45,17 @@ def _fields(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def spectrum(df: DataFrame, keys: Sequence[str], i: str, value: str, limit: int | None = None) -> DataFrame:
-    """Full DFT of every key: (keys, k, re, im). `i` is the 0-based position."""
+    """Full DFT of every key: (keys, bin, re, im). `i` is the 0-based position."""
     keys = list(keys)
     limit = limit or group_limit(df.sparkSession)
     rows = df.select(*keys, F.col(i).cast("long").alias("_i"), F.col(value).cast("double").alias("_v"))
-    schema = _fields(df, keys) + "k long, re double, im double"
+    schema = _fields(df, keys) + "bin long, re double, im double"
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         z = np.fft.fft(pdf["_v"].to_numpy())
         out = pdf[keys].copy()
-        out["k"], out["re"], out["im"] = np.arange(len(z)), z.real, z.imag
+        out["bin"], out["re"], out["im"] = np.arange(len(z)), z.real, z.imag
         return out
 
     if not has_hot_group(df, keys, limit):
@@ -92,7 +92,7 @@ def _chirp(rows: DataFrame, keys: list[str]) -> DataFrame:
     ang = F.pi() * ((j * j) % (2 * n)) / n
     re, im = F.col("re") / F.col("_m"), F.col("im") / F.col("_m")
     return conv.select(
-        *keys, F.col("_i").alias("k"),
+        *keys, F.col("_i").alias("bin"),
         (re * F.cos(ang) + im * F.sin(ang)).alias("re"), (im * F.cos(ang) - re * F.sin(ang)).alias("im"),
     )
 
@@ -151,21 +151,21 @@ def detect_period(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     rows = cut_lineage(rows)
     spec = cut_lineage(spectrum(rows, keys, "_i", "_z"))
     sizes = rows.groupBy(*keys).agg(F.max("_n").alias("n"))
-    spec = attach(spec, sizes, keys).where((F.col("k") >= 1) & (F.col("k") < F.floor(F.col("n") / 2)))
+    spec = attach(spec, sizes, keys).where((F.col("bin") >= 1) & (F.col("bin") < F.floor(F.col("n") / 2)))
     spec = spec.withColumn("mag", F.hypot("re", "im"))
-    top = spec.groupBy(*keys).agg(F.min_by(F.struct("k", "mag"), F.struct(-F.col("mag"), F.col("k"))).alias("_p"), F.max("k").alias("_last"))
+    top = spec.groupBy(*keys).agg(F.min_by(F.struct("bin", "mag"), F.struct(-F.col("mag"), F.col("bin"))).alias("_p"))
     spec = attach(spec, top, keys)
-    others = spec.where(F.col("k") != F.col("_p.k"))
+    others = spec.where(F.col("bin") != F.col("_p.bin"))
     noise = quantiles(others, keys, "mag", {"noise": 0.9})
     near = spec.groupBy(*keys).agg(
-        F.max("_p.k").alias("k"), F.max("_p.mag").alias("peak"), F.max("n").alias("n"),
-        F.avg(F.when(F.abs(F.col("k") - F.col("_p.k")) == 1, F.col("mag"))).alias("_near"),
+        F.max("_p.bin").alias("bin"), F.max("_p.mag").alias("peak"), F.max("n").alias("n"),
+        F.avg(F.when(F.abs(F.col("bin") - F.col("_p.bin")) == 1, F.col("mag"))).alias("_near"),
     )
     out = attach(near, noise, keys)
     sharp = F.col("peak") / (F.coalesce("_near", F.lit(1e-12)) + 1e-12)
     snr = F.when(F.coalesce("noise", F.lit(0.0)) == 0, 0.0).otherwise(F.try_divide(F.col("peak"), F.col("noise")))
     out = out.select(
-        *keys, "n", F.floor(F.col("n") / F.col("k") / 2).cast("long").alias("period"), snr.alias("snr"), sharp.alias("sharpness"),
+        *keys, "n", F.floor(F.col("n") / F.col("bin") / 2).cast("long").alias("period"), snr.alias("snr"), sharp.alias("sharpness"),
     )
     return attach(sizes.select(*keys), out.withColumn(
         "strength", F.col("sharpness") / F.when(F.col("snr") > 0, F.col("snr")).otherwise(1e-12)
@@ -182,7 +182,7 @@ def permittivity(
     """
     sizes = decay.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("dt").alias("dt"))
     spec = attach(spectrum(decay, keys, "i", "decay"), sizes, keys)
-    spec = spec.where(F.col("k") <= F.floor((F.col("n") - 1) / 2)).withColumn("freq", F.col("k") / (F.col("n") * F.col("dt")))
+    spec = spec.where(F.col("bin") <= F.floor((F.col("n") - 1) / 2)).withColumn("freq", F.col("bin") / (F.col("n") * F.col("dt")))
     spec = cut_lineage(spec.withColumn("mag", F.hypot("re", "im")).withColumn("phase", F.degrees(F.atan2("im", "re"))))
     if resample:
         ends = spec.groupBy(*keys).agg(

@@ -67,9 +67,9 @@ def infer_separator(lines: DataFrame, value: str = "value", sample: int = 1000)
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, schema=None, glob: str | None = None, probe: int = 10) -> DataFrame:
     """Delimited files of one kind with inferred separator and header.
 
-    The header is taken to be there when the first line has no number while
-    the second one has. Without a schema the types come from Spark's own
-    inference over a sample.
+    The header is taken to be there when the first line holds no number.
+    Without a schema Spark reads the files once more to infer the types, so
+    give a schema for large inputs.
     """
     if sep is None or header is None:
         lines = scan_text(spark, path, glob)
@@ -82,7 +82,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     reader = spark.read.option("sep", sep).option("header", str(header).lower()).option("ignoreLeadingWhiteSpace", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true").option("samplingRatio", "0.1")
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
     df = reader.csv(path)
     return df.select("*", F.col("_metadata.file_name").alias("_name")).withColumn("dataset_id", file_stem(F.col("_name"))).drop("_name")
 

@@ -80,11 +80,10 @@ def test_interpolation(spark, runs):
 
 def test_long_spectrum_matches_numpy(spark, runs, small_groups):
     full = runs.withColumn("v", F.coalesce("v", F.lit(1.5)))
-    got = spectrum(full, ["k"], "id", "v").where("k = 'a'").toPandas() if False else spectrum(
-        full.withColumnRenamed("k", "run"), ["run"], "id", "v").where("run = 'a'").toPandas()
+    got = spectrum(full, ["k"], "id", "v").where("k = 'a'").toPandas()
     y = np.array([r.v for r in full.where("k = 'a'").orderBy("id").collect()])
     want = np.fft.fft(y)
-    got = got.sort_values("k")
+    got = got.sort_values("bin")
     assert np.allclose(got["re"], want.real, atol=1e-9) and np.allclose(got["im"], want.imag, atol=1e-9)
 
 
