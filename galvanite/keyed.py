@@ -10,7 +10,8 @@ broadcast table of at most (rows / limit) lines.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -19,6 +20,26 @@ from pyspark.sql import functions as F
 from galvanite.session import cut_lineage, group_limit
 
 _hot_seen: dict[tuple, bool] = {}
+_small: list[frozenset] = []
+
+
+@contextmanager
+def checked_once(df: DataFrame, keys: Sequence[str], growth: int = 1) -> Iterator[None]:
+    """Look at the group sizes once for a chain of steps on the same keys.
+
+    If no key of `df` exceeds the limit divided by `growth` (the largest
+    factor by which a step inside multiplies the rows of a key), the steps
+    inside need no check of their own for these keys or finer ones.
+    """
+    limit = max(1, group_limit(df.sparkSession) // growth)
+    small = not has_hot_group(df, keys, limit)
+    if small:
+        _small.append(frozenset(keys))
+    try:
+        yield
+    finally:
+        if small:
+            _small.pop()
 
 
 def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
@@ -26,6 +47,9 @@ def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int | None = None)
 
     The answer only chooses between two exact plans, so it may be remembered.
     """
+    if limit is None or limit >= group_limit(df.sparkSession):
+        if any(known <= set(keys) for known in _small):
+            return False
     limit = limit or group_limit(df.sparkSession)
     sized = df.select(*keys)
     token = (sized.sparkSession.sparkContext.applicationId, sized.semanticHash(), tuple(keys), limit)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvanite.keyed import Ordered, attach, quantiles, with_group
+from galvanite.keyed import Ordered, attach, checked_once, quantiles, with_group
 from galvanite.operators.windows import (
     decay_start, gradient, savgol_fraction, settle_limit, signed_steps, skew_limit, trim_voltage,
 )
@@ -228,10 +228,11 @@ def clean_segments(
 ) -> DataFrame:
     """Voltage trim, then current trim, by flags."""
     out = df
-    if stable_voltage or shift_start or shift_end:
-        out = cut_lineage(trim_voltage(out, keys, order, voltage, time, min_length, shift_start, shift_end, threshold, reset_time=True))
-    if check_start or check_end:
-        out = trim_current(out, keys, order, current, time, min_length, check_start, threshold, check_end, reset_time="volt" not in reset, **limits)
+    with checked_once(df, keys):
+        if stable_voltage or shift_start or shift_end:
+            out = cut_lineage(trim_voltage(out, keys, order, voltage, time, min_length, shift_start, shift_end, threshold, reset_time=True))
+        if check_start or check_end:
+            out = trim_current(out, keys, order, current, time, min_length, check_start, threshold, check_end, reset_time="volt" not in reset, **limits)
     return out
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvanite.keyed import Ordered, attach, has_hot_group, quantiles, with_group
+from galvanite.keyed import Ordered, attach, checked_once, has_hot_group, quantiles, with_group
 from galvanite.operators.regress import log_spacing
 from galvanite.operators.windows import best_flags, normalise_weights, rank_quantiles
 from galvanite.plans.kernels import peak_properties
@@ -56,7 +56,11 @@ def find_wide_peaks(
     it, so the limit follows from the min_peaks-th smallest. A curve without
     any peak gets its maximum. `min_width` below 1 is a share of the points.
     """
-    keys = list(keys)
+    with checked_once(df, keys):
+        return _wide_peaks(df, list(keys), freq, value, min_width, min_prominence, min_peaks, background, weighting)
+
+
+def _wide_peaks(df: DataFrame, keys: list[str], freq: str, value: str, min_width: float, min_prominence: float, min_peaks: int, background: bool, weighting) -> DataFrame:
     v = F.col(value).cast("double")
     rows = with_group(df, keys, F.avg((v < 0).cast("double")).alias("_neg"), F.count(F.lit(1)).alias("_n"))
     rows = rows.withColumn("_y", F.when(F.col("_neg") > 0.5, -v).otherwise(v))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galvanite.functions.standard import RAW, raw_to_standard
-from galvanite.keyed import Ordered, attach, quantiles, with_group
+from galvanite.keyed import Ordered, attach, checked_once, quantiles, with_group
 from galvanite.operators.aggregates import decay_verdict, group_points, polarity_aggregate, rank_periods, settled_mean, stats_summary
 from galvanite.operators.channels import channel_traits, enforce_trend, infer_multiplier, resolve_channels
 from galvanite.operators.cleaning import clean_segments
@@ -96,18 +96,25 @@ def refine_breakpoints(samples: DataFrame, run: Sequence[str], order: Sequence[s
     return inner.unionByName(ends).distinct()
 
 
-def standardise_runs(
-    samples: DataFrame, run: Sequence[str], ts: str, sample: str = "sample_name", condition: str = "condition", temp: str = "temp",
-    smooth: float | None = None, min_slope: float = 0.0, clean: dict | None = None,
-) -> dict[str, DataFrame]:
+def standardise_runs(samples: DataFrame, run: Sequence[str], ts: str, **options) -> dict[str, DataFrame]:
     """Raw channel samples to accepted and rejected standard segments.
 
     Input rows: (run keys, row_idx, ts, channel, value). Steps: time axis,
     period and breakpoints, segment means, channel roles, decade factors,
     standard channels, trimming, smoothing, decay test. Keys stay columns, so
-    all runs go through together.
+    all runs go through together. Options: the column names `sample`,
+    `condition`, `temp`; `smooth` (share of a segment), `min_slope`, `clean`.
     """
-    run = list(run)
+    samples = cut_lineage(samples)
+    # No step makes more than two rows of one, counted over all channels.
+    with checked_once(samples, run, growth=2):
+        return _standardise(samples, list(run), ts, **options)
+
+
+def _standardise(
+    samples: DataFrame, run: Sequence[str], ts: str, sample: str = "sample_name", condition: str = "condition", temp: str = "temp",
+    smooth: float | None = None, min_slope: float = 0.0, clean: dict | None = None,
+) -> dict[str, DataFrame]:
     axis = samples.select(*run, "row_idx", ts).distinct()
     axis = cut_lineage(time_axis(axis, run, ["row_idx"], ts, "t"))
     period = cut_lineage(find_runs_period(samples, run, ["row_idx"]))

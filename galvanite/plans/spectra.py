@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galvanite.functions.units import log_grid
-from galvanite.keyed import Ordered, attach, has_hot_group, quantiles, with_group
+from galvanite.keyed import Ordered, attach, checked_once, has_hot_group, quantiles, with_group
 from galvanite.operators.windows import downsample
 from galvanite.plans.interpolation import interpolate_at
 from galvanite.session import cut_lineage, group_limit
@@ -180,6 +180,13 @@ def permittivity(
     `resample` puts n values on a log (or linear) grid from the first
     positive to the last frequency; then points are thinned by position.
     """
+    decay = cut_lineage(decay)
+    # Knots and grid of a key are at most twice its rows, taken together.
+    with checked_once(decay, keys, growth=2):
+        return _permittivity(decay, keys, resample, max_points, method)
+
+
+def _permittivity(decay: DataFrame, keys: Sequence[str], resample: str | None, max_points: int, method: str) -> DataFrame:
     sizes = decay.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("dt").alias("dt"))
     spec = attach(spectrum(decay, keys, "i", "decay"), sizes, keys)
     spec = spec.where(F.col("bin") <= F.floor((F.col("n") - 1) / 2)).withColumn("freq", F.col("bin") / (F.col("n") * F.col("dt")))
