@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galvanite.functions.standard import RAW, raw_to_standard
-from galvanite.keyed import Ordered, attach, checked_once, quantiles, with_group
+from galvanite.keyed import Ordered, attach, checked_once, has_hot_group, quantiles, with_group
 from galvanite.operators.aggregates import decay_verdict, group_points, polarity_aggregate, rank_periods, settled_mean, stats_summary
 from galvanite.operators.channels import channel_traits, enforce_trend, infer_multiplier, resolve_channels
 from galvanite.operators.cleaning import clean_segments
@@ -55,6 +57,27 @@ def _nearest_peak(centers: DataFrame, peaks: DataFrame, keys: list[str]) -> Data
     return got.where(F.col("_side") == 1).select(*keys, "center", F.when(low_near, F.col("_lo")).otherwise(F.col("_hi")).alias("peak"))
 
 
+def _averaged_peaks(peaks: DataFrame, centers: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """Peaks averaged around the nearest centre, repeated; few per run."""
+    types = dict(peaks.dtypes)
+    both = peaks.select(*keys, F.col("peak").cast("double").alias("_x"), F.lit(False).alias("_is_c")).unionByName(
+        centers.select(*keys, F.col("_c").cast("double").alias("_x"), F.lit(True).alias("_is_c")))
+
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.sort(pdf.loc[pdf["_is_c"], "_x"].to_numpy())
+        p = pdf.loc[~pdf["_is_c"], "_x"].to_numpy()
+        for _ in range(rounds if len(c) and len(p) else 0):
+            owner = np.abs(p[:, None] - c[None, :]).argmin(axis=1)
+            sums, counts = np.bincount(owner, p, len(c)), np.bincount(owner, minlength=len(c))
+            c = np.where(counts > 0, sums / np.maximum(counts, 1), c)
+        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(c) for k in keys})
+        out["peak"] = np.rint(c).astype("int64")
+        return out
+
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "peak long"
+    return both.groupBy(*keys).applyInPandas(average, schema).distinct()
+
+
 def refine_breakpoints(samples: DataFrame, run: Sequence[str], order: Sequence[str], value: str, period: DataFrame, lloyd_rounds: int = 10) -> DataFrame:
     """Segment limits (run, breakpoint) near the multiples of the period.
 
@@ -84,11 +107,14 @@ def refine_breakpoints(samples: DataFrame, run: Sequence[str], order: Sequence[s
     if not uneven.isEmpty():
         moving = attach(centers, uneven, keys, "left_semi").select(*keys, "_k", F.col("center").alias("_c"))
         pts = attach(peaks, uneven, keys, "left_semi")
-        for _ in range(lloyd_rounds):
-            owner = _nearest_peak(pts.select(*keys, F.col("peak").cast("double").alias("center")), moving.select(*keys, F.col("_c").alias("peak")), keys)
-            mean = owner.groupBy(*keys, "peak").agg(F.avg("center").alias("_new")).withColumnRenamed("peak", "_c")
-            moving = cut_lineage(attach(moving, mean, [*keys, "_c"]).select(*keys, "_k", F.coalesce("_new", "_c").alias("_c")))
-        rounded = moving.select(*keys, F.rint("_c").cast("long").alias("peak")).distinct()
+        if not has_hot_group(pts, keys):
+            rounded = _averaged_peaks(pts, moving, keys, lloyd_rounds)
+        else:
+            for _ in range(lloyd_rounds):
+                owner = _nearest_peak(pts.select(*keys, F.col("peak").cast("double").alias("center")), moving.select(*keys, F.col("_c").alias("peak")), keys)
+                mean = owner.groupBy(*keys, "peak").agg(F.avg("center").alias("_new")).withColumnRenamed("peak", "_c")
+                moving = cut_lineage(attach(moving, mean, [*keys, "_c"]).select(*keys, "_k", F.coalesce("_new", "_c").alias("_c")))
+            rounded = moving.select(*keys, F.rint("_c").cast("long").alias("peak")).distinct()
         targets = attach(peaks, uneven, keys, "left_anti").unionByName(rounded)
     near = attach(_nearest_peak(centers, targets, keys), facts.select(*keys, "_per"), keys)
     inner = near.where(F.abs(F.col("peak") - F.col("center")) <= F.col("_per") / 2).select(*keys, F.col("peak").cast("long").alias("breakpoint"))
