@@ -100,11 +100,12 @@ def exponential_fit(
     """y = alpha exp(beta x) by a line through ln|y|; R2 on the original scale."""
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     ok = _finite(xs) & _finite(ys)
-    rows = df.where(ok).select(
+    # Unusable rows become nulls, so keys without any point stay in the result.
+    rows = df.select(
         *keys,
-        xs.alias("_x"),
-        ys.alias("_y"),
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
+        F.when(ok, xs).alias("_x"),
+        F.when(ok, ys).alias("_y"),
+        F.when(ok, F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
         (beta if isinstance(beta, Column) else F.lit(beta).cast("double")).alias("_beta"),
         F.log(F.abs(alpha if isinstance(alpha, Column) else F.lit(alpha).cast("double"))).alias("_lna"),
     )
@@ -114,18 +115,18 @@ def exponential_fit(
     fixed_b = _line(F.col("_x"), logged, None, None, F.col("_lna"))
     has_m, has_b = F.max("_beta").isNotNull(), F.max("_lna").isNotNull()
     fit = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("_y").alias("n"),
         # The sign of the middle sign; an even split falls back to `sign`.
-        F.when(F.sum((F.col("_y") < 0).cast("long")) * 2 > F.count(F.lit(1)), -1)
-        .when(F.sum((F.col("_y") > 0).cast("long")) * 2 > F.count(F.lit(1)), 1)
+        F.when(F.sum((F.col("_y") < 0).cast("long")) * 2 > F.count("_y"), -1)
+        .when(F.sum((F.col("_y") > 0).cast("long")) * 2 > F.count("_y"), 1)
         .otherwise(sign)
         .alias("_sign"),
         F.when(has_m, fixed_m[0]).when(has_b, fixed_b[0]).otherwise(free[0]).alias("beta"),
         F.when(has_m, fixed_m[1]).when(has_b, fixed_b[1]).otherwise(free[1]).alias("_ln"),
     )
-    fit = fit.where(F.col("n") >= 2).withColumn(
-        "alpha", F.col("_sign") * F.exp(F.least(F.col("_ln"), F.lit(MAX_EXPONENT)))
-    )
+    enough = F.col("n") >= 2
+    alpha = F.col("_sign") * F.exp(F.when(F.col("_ln") > MAX_EXPONENT, MAX_EXPONENT).otherwise(F.col("_ln")))
+    fit = fit.withColumn("alpha", F.when(enough, alpha)).withColumn("beta", F.when(enough, F.col("beta")))
     joined = attach(rows, fit, keys, "inner")
     value = F.when(F.col("_y") == 0, MIN_READING * F.col("_sign")).otherwise(F.col("_y"))
     err = value - exponential_value(F.col("_x"), F.col("alpha"), F.col("beta"))
@@ -136,7 +137,7 @@ def exponential_fit(
         F.sum(err * err).alias("rss"),
         F.regr_syy(value, value).alias("_syy"),
     )
-    out = out.select(
+    return out.select(
         *keys,
         "n",
         "alpha",
@@ -145,13 +146,11 @@ def exponential_fit(
         "rss",
         aicc(F.col("rss"), F.col("n"), 2).alias("aicc"),
     )
-    if not keys:
-        return out
-    return attach(df.select(*keys).distinct(), out, keys)
 
 
 def exponential_value(x: Column, alpha: Column, beta: Column) -> Column:
-    return alpha * F.exp(F.least(beta * x, F.lit(MAX_EXPONENT)))
+    power = beta * x
+    return alpha * F.exp(F.when(power > MAX_EXPONENT, MAX_EXPONENT).otherwise(power))
 
 
 def inverse_kelvin(temp: str, celsius: bool = True) -> Column:
