@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,16 +27,39 @@ IDENTITY = [
 ]
 SWAP = {a: b for line in IDENTITY for a, b in zip(line.split(), line.split()[1:] + line.split()[:1])}
 WORD = re.compile(r"[^\W_]+")
-BITS = 18
+BITS = 20
 
 
-def words_of(text: str) -> set[str]:
-    return {w for w in WORD.findall(text.lower())}
+MASK = (1 << BITS) - 1
+STEMS = (4, 5, 6, 7)
 
 
-def slots(words: set[str]) -> np.ndarray:
-    """Sorted feature numbers of the distinct words."""
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) & ((1 << BITS) - 1) for w in words), dtype=np.int64, count=len(words)))
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+@lru_cache(maxsize=200_000)
+def word_slots(word: str) -> tuple[int, ...]:
+    """Feature numbers of a word and of its stems (first letters), which catch inflected forms."""
+    return tuple(zlib.crc32(x.encode()) & MASK for x in (word, *(f"{word[:k]}^" for k in STEMS if len(word) >= k)))
+
+
+def mark(f, k: int):
+    """Feature number of mark `k` of feature `f`."""
+    return (f * 31 + k + 1) * 2654435761 >> 3 & MASK
+
+
+def slots(words: list[str]) -> np.ndarray:
+    """Sorted feature numbers of a text: its words and stems, and marks of those that come often or make up much of it."""
+    counts: Counter[int] = Counter()
+    for word, n in Counter(words).items():
+        for f in word_slots(word):
+            counts[f] += n
+    f = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
+    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    size = max(len(words), 1)
+    often = [n >= 2, n >= 4, (n >= 2) & (n * 100 >= size), (n >= 2) & (n * 30 >= size)]
+    return np.unique(np.concatenate([f, *(mark(f[x], k) for k, x in enumerate(often))]))
 
 
 def features_column(text: Column) -> Column:
@@ -44,7 +69,7 @@ def features_column(text: Column) -> Column:
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [words_of(t) for t in texts]
-            yield pd.DataFrame({"own": [slots(s) for s in sets], "other": [slots({SWAP.get(w, w) for w in s}) for s in sets]})
+            yield pd.DataFrame({"own": [slots(s) for s in sets], "other": [slots([SWAP.get(w, w) for w in s]) for s in sets]})
 
     return make(F.coalesce(text, F.lit("")))
 
@@ -110,15 +135,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, rounds: in
 
 def score_column(text: Column, weights: np.ndarray) -> Column:
     """Score from 0 to 1; a null text counts as empty."""
-    some = np.flatnonzero(weights[:-1])
-    table, bias, mask = dict(zip(some.tolist(), weights[some].tolist())), float(weights[-1]), (1 << BITS) - 1
+    per, bias = weights[:-1], float(weights[-1])
+    every = np.arange(1 << BITS)
+    useful = (per != 0) | np.any([per[mark(every, k)] != 0 for k in range(4)], axis=0)
+    numbers = np.flatnonzero(useful)
+    table = {f: tuple(w) for f, *w in zip(numbers.tolist(), *(x.tolist() for x in (per[numbers], *(per[mark(numbers, k)] for k in range(4)))))}
 
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, tuple[int, ...]] = {}
         for texts in batches:
             out = []
             for t in texts:
-                z = bias + sum(table.get(f, 0.0) for f in {zlib.crc32(w.encode()) & mask for w in words_of(t)})
+                words = words_of(t)
+                size, counts, z = max(len(words), 1), Counter(), bias
+                for word, n in Counter(words).items():
+                    if (own := known.get(word)) is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        own = known[word] = tuple(f for f in word_slots(word) if f in table)
+                    for f in own:
+                        counts[f] += n
+                for f, n in counts.items():
+                    one, two, four, some, much = table[f]
+                    z += one + (n >= 2 and two + (n >= 4) * four + (n * 100 >= size) * some + (n * 30 >= size) * much)
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
             yield pd.Series(out, dtype=float)
 
