@@ -34,6 +34,8 @@ LABELLED = np.array([
     [80, 0, 15, 0, 15, 0, 1, 1, 0], [15, 0, 60, 0, 4, 0, 1, 1, 0], [0, 0, 90, 0, 70, 0, 1, 0, 0], [5, 0.5, 110, 0, 2, 0, 1, 1, 0],
     [12, 0, 8, 0, 40, 0, 0, 1, 1], [8, 0, 40, 0, 30, 0, 0, 1, 1], [40, 0, 2, 0, 50, 0, 0, 1, 1], [50, 0, 60, 0.1, 70, 0, 0, 1, 1],
     [3, 1, 5, 0, 3, 0, 0, 1, 1], [90, 0, 30, 0.3, 3, 0, 0, 1, 1], [20, 0, 3, 1, 20, 0, 0, 1, 1], [2, 0, 1, 0, 2, 0, 0, 1, 1],
+    [6, 0, 1, 0, 8, 0, 0, 1, 1], [3, 0, 4, 0, 6, 0, 0, 1, 1], [9, 0.2, 2, 0, 3, 0, 0, 1, 1], [1, 1, 3, 0, 9, 0, 0, 1, 1], [8, 0, 2, 0.5, 2, 0, 0, 1, 1], [5, 0, 1, 0, 1, 0, 0, 1, 1],
+    [20, 0, 30, 0, 3, 1, 0, 1, 1], [10, 0, 3, 0, 2, 1, 0, 1, 1], [0, 0, 2, 0, 6, 0.8, 0, 1, 1], [5, 0, 12, 0.5, 4, 1, 0, 1, 1], [2, 1, 4, 1, 2, 1, 0, 1, 1], [1, 1, 2, 0.5, 1, 1, 0, 1, 1],
     [0, 0, 1, 0, 0, 0, 0, 1, 1], [1, 1, 25, 0.9, 25, 0, 0, 1, 1], [4, 1, 200, 0, 1, 0, 0, 1, 1], [10, 0, 4, 0.5, 12, 0, 0, 1, 1],
     [0, 0, 60, 0, 50, 0, 0, 0, 1], [50, 0, 45, 0, 60, 0, 0, 0, 1], [60, 0, 30, 0.05, 2, 0, 0, 0, 1], [4, 0, 35, 0, 40, 0, 0, 0, 1],
     [40, 0, 6, 0, 40, 0, 0, 0, 1], [30, 0, 8, 0, 45, 0, 0, 0, 1], [25, 0, 5, 0, 30, 0, 0, 0, 1], [3, 1, 22, 0, 28, 0, 0, 0, 1],
