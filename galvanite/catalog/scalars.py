@@ -184,11 +184,14 @@ def typed_values(spark, sf):
     return events(spark, sf).select("event_id", v["kind"].alias("kind"), v["number"].alias("number"))
 
 
-@query("common_text", """WITH n AS (SELECT DISTINCT p_brand, p_name FROM part), t AS (SELECT DISTINCT p_brand, p_name, unnest(string_split(p_name, ' ')) AS tok FROM n),
-c AS (SELECT p_brand, count(*) AS names FROM n GROUP BY 1), k AS (SELECT p_brand, tok, count(*) AS k FROM t GROUP BY 1, 2), b AS (SELECT k.p_brand, arg_min(tok, {'l': -length(tok), 't': tok}) AS common FROM k JOIN c ON c.p_brand = k.p_brand WHERE k = names GROUP BY 1)
+@query("common_text", """WITH n AS (SELECT DISTINCT p_brand, p_name, list_filter(string_split(p_name, ' '), lambda x: x <> '') AS toks FROM part),
+s AS (SELECT *, unnest(range(1, len(toks) + 1)) AS i FROM n), e AS (SELECT *, unnest(range(1, len(toks) - i + 2)) AS len FROM s),
+t AS (SELECT DISTINCT p_brand, p_name, len, array_to_string(list_slice(toks, i, i + len - 1), '_') AS run FROM e),
+c AS (SELECT p_brand, count(*) AS names FROM n GROUP BY 1), k AS (SELECT p_brand, run, len, count(*) AS k FROM t GROUP BY 1, 2, 3),
+b AS (SELECT k.p_brand, arg_min(run, {'s': -len, 'l': -length(run), 't': run}) AS common FROM k JOIN c ON c.p_brand = k.p_brand WHERE k = names GROUP BY 1)
 SELECT c.p_brand, names, common FROM c LEFT JOIN b ON b.p_brand = c.p_brand""")
 def common_text(spark, sf):
-    return X.common_tokens(table(spark, sf, "part"), ["p_brand"], "p_name", max_len=1)
+    return X.common_tokens(table(spark, sf, "part"), ["p_brand"], "p_name")
 
 
 @query("frequency_grid", """WITH s AS (SELECT s_suppkey, log10(s_suppkey + 1) AS a, log10((s_suppkey + 1) * 100) AS b FROM supplier), g AS (SELECT *, floor(1 + 4 * abs(a - b))::INT AS n FROM s), e AS (SELECT *, unnest(range(n)) AS i FROM g)

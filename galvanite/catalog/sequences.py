@@ -256,8 +256,8 @@ def x_intercepts(spark, sf):
 @query("split_text_blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
 s AS (SELECT doc_id, no, length(line) - length(replace(line, ' ', '')) AS seps FROM l WHERE trim(line) <> ''),
 b AS (SELECT doc_id, no, seps, sum(CASE WHEN seps <> p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM (SELECT *, lag(seps) OVER (PARTITION BY doc_id ORDER BY no) AS p FROM s)),
-z AS (SELECT doc_id, block, count(*) AS block_lines, max(seps) AS m FROM b GROUP BY 1, 2), a AS (SELECT *, avg(block_lines) OVER (PARTITION BY doc_id) AS mean FROM z)
-SELECT doc_id, block, block_lines, block_lines > mean AND m > 1 AS is_data FROM a""")
+z AS (SELECT doc_id, block, count(*) AS block_lines, max(seps) AS m FROM b GROUP BY 1, 2), a AS (SELECT *, avg(block_lines) OVER (PARTITION BY doc_id) AS mean, count(*) OVER (PARTITION BY doc_id) AS n FROM z)
+SELECT doc_id, block, block_lines, (block_lines > mean AND m > 1) OR n = 1 AS is_data FROM a""")
 def split_text_blocks(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
     out = S.block_lines(lines, ["doc_id"], ["no"], "line", " ")

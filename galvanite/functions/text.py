@@ -200,29 +200,17 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def _run_at(tokens: Column, length: int):
-    return lambda i: F.array_join(F.slice(tokens, i, length), "_")
-
-
-def common_tokens(df: DataFrame, keys: Sequence[str], name: str, sep: str = r"[_\s-]+", max_len: int = 4) -> DataFrame:
+def common_tokens(df: DataFrame, keys: Sequence[str], name: str, sep: str = r"[_\s-]+") -> DataFrame:
     """Longest run of tokens shared by all names of a key.
 
-    Every name emits its distinct token runs of up to `max_len` tokens; a run
-    is common when as many names hold it as the key has.
+    Every name emits its distinct token runs of every length; a run is common
+    when as many names hold it as the key has.
     """
     names = df.select(*keys, name).distinct()
     toks = F.filter(F.split(F.col(name), sep), lambda t: t != "")
-    runs = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.size(toks) >= k,
-                    F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - (k - 1), F.lit(1))), _run_at(toks, k)),
-                ).otherwise(F.array().cast("array<string>"))
-                for k in range(1, max_len + 1)
-            ]
-        )
-    )
+    size = F.size(toks)
+    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.array_join(F.slice(toks, i, k), "_"))))
     spread = names.select(*keys, F.explode(F.array_distinct(runs)).alias("run"))
     counts = spread.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("_k"))
     total = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("names"))

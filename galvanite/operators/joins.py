@@ -258,7 +258,8 @@ def dedupe_versions(
     Copies are compared by a 128-bit fingerprint; the choice is a max over
     structs, combined before the shuffle, however many copies there are.
     """
-    digest = F.md5(F.concat_ws("\u0001", *[c.cast("string") for c in fingerprint]))
+    # Nulls keep a place of their own, so (null, a) and (a, null) differ.
+    digest = F.md5(F.to_json(F.array(*[c.cast("string") for c in fingerprint])))
     rows = df.withColumn(group, digest).withColumn("_pref", F.struct(*prefer))
     rows = with_group(rows, [group], F.max("_pref").alias("_best"), F.count(F.lit(1)).alias("versions"))
     return rows.withColumn("is_active", F.col("_pref") == F.col("_best")).drop("_pref", "_best")

@@ -67,7 +67,7 @@ def _averaged_peaks(peaks: DataFrame, centers: DataFrame, keys: list[str], round
         c = np.sort(pdf.loc[pdf["_is_c"], "_x"].to_numpy())
         p = pdf.loc[~pdf["_is_c"], "_x"].to_numpy()
         for _ in range(rounds if len(c) and len(p) else 0):
-            owner = np.abs(p[:, None] - c[None, :]).argmin(axis=1)
+            owner = np.searchsorted((c[1:] + c[:-1]) / 2, p)  # centres stay sorted; a tie goes to the lower one
             sums, counts = np.bincount(owner, p, len(c)), np.bincount(owner, minlength=len(c))
             c = np.where(counts > 0, sums / np.maximum(counts, 1), c)
         out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(c) for k in keys})

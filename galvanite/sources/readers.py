@@ -21,10 +21,10 @@ def scan_text(spark: SparkSession, path: str | Sequence[str], glob: str | None =
 
     The glob prunes in the file listing; the patterns test the file name.
     """
-    reader = spark.read.option("wholetext", str(whole).lower()).option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(list(path) if not isinstance(path, str) else path).select("value", "_metadata")
+    df = reader.text(list(path) if not isinstance(path, str) else path, wholetext=whole).select("value", "_metadata")
     df = df.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
                    F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("modified"),
                    F.col("_metadata.file_block_start").alias("block_start"))
@@ -52,14 +52,9 @@ def file_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("dataset_id", "file_path").agg(F.max("file_size").alias("file_size"), F.max("modified").alias("modified"))
 
 
-def infer_separator(lines: DataFrame, value: str = "value", sample: int = 1000) -> str:
-    """Most frequent non-word character of the first lines.
-
-    The probe decides how files of one kind are read; it takes a bounded
-    number of lines and never touches the data itself.
-    """
-    probe = lines.select(value).limit(sample)
-    chars = probe.select(F.explode(F.split(F.regexp_replace(value, NOT_SEPARATORS, ""), "")).alias("c")).where(F.col("c") != "")
+def infer_separator(lines: DataFrame, value: str = "value") -> str:
+    """Most frequent non-word character of all lines."""
+    chars = lines.select(F.explode(F.split(F.regexp_replace(value, NOT_SEPARATORS, ""), "")).alias("c")).where(F.col("c") != "")
     top = chars.groupBy("c").count().orderBy(F.desc("count"), "c").first()
     return top["c"] if top else ","
 
@@ -91,7 +86,8 @@ def block_lines(lines: DataFrame, keys: Sequence[str], order: Sequence[str], lin
     """Runs of lines with an equal number of separators.
 
     Adds `seps` (separators in the line), `block` and whether the block is
-    data: longer than the mean block of its file and more than one separator.
+    data: longer than the mean block of its file and more than one separator,
+    or the only block there is.
     """
     text = F.col(line)
     count = ((F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))) / len(sep)).cast("long")
@@ -101,8 +97,9 @@ def block_lines(lines: DataFrame, keys: Sequence[str], order: Sequence[str], lin
     change = F.coalesce(F.col("seps") != F.col("_prev"), F.lit(False)).cast("long")
     out = Ordered(marked.withColumn("_new", change), keys, order, split=first.split).running({"block": ("sum", F.col("_new"))}).drop("_prev", "_new")
     sizes = out.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("block_lines"), F.max("seps").alias("_s"))
-    mean = sizes.groupBy(*keys).agg(F.avg("block_lines").alias("_mean"))
-    sizes = attach(sizes, mean, keys).withColumn("is_data", (F.col("block_lines") > F.col("_mean")) & (F.col("_s") > 1))
+    mean = sizes.groupBy(*keys).agg(F.avg("block_lines").alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    is_data = ((F.col("block_lines") > F.col("_mean")) & (F.col("_s") > 1)) | (F.col("_n") == 1)
+    sizes = attach(sizes, mean, keys).withColumn("is_data", is_data)
     return attach(out, sizes.select(*keys, "block", "block_lines", "is_data"), [*keys, "block"])
 
 
