@@ -39,6 +39,7 @@ LABELLED = np.array([
     [0, 0, 1, 0, 0, 0, 0, 1, 1], [1, 1, 25, 0.9, 25, 0, 0, 1, 1], [4, 1, 200, 0, 1, 0, 0, 1, 1], [10, 0, 4, 0.5, 12, 0, 0, 1, 1],
     [0, 0, 60, 0, 50, 0, 0, 0, 1], [50, 0, 45, 0, 60, 0, 0, 0, 1], [60, 0, 30, 0.05, 2, 0, 0, 0, 1], [4, 0, 35, 0, 40, 0, 0, 0, 1],
     [40, 0, 6, 0, 40, 0, 0, 0, 1], [30, 0, 8, 0, 45, 0, 0, 0, 1], [25, 0, 5, 0, 30, 0, 0, 0, 1], [3, 1, 22, 0, 28, 0, 0, 0, 1],
+    [1, 1, 2, 1, 30, 0, 0, 0, 0], [2, 1, 3, 1, 40, 0, 0, 0, 0], [3, 1, 1, 1, 20, 0, 0, 0, 0], [1, 1, 2, 1, 0, 0, 0, 0, 0], [30, 0, 6, 1, 50, 0, 0, 0, 0], [30, 0, 4, 0.9, 8, 0, 0, 0, 0],
     [1, 1, 1, 1, 1, 1, 0, 0, 0], [2, 1, 3, 0.9, 2, 1, 0, 0, 0], [4, 1, 12, 0.8, 3, 1, 0, 0, 0], [40, 0, 20, 0.9, 10, 1, 0, 0, 0],
     [5, 0.8, 4, 0, 3, 1, 0, 0, 0], [3, 1, 5, 0, 0, 0, 0, 0, 0], [0, 0, 3, 0, 2, 1, 0, 0, 0], [2, 1, 6, 0.4, 2, 1, 0, 0, 0],
 ])
