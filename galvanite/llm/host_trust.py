@@ -50,7 +50,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(up).unionByName(down).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, check_every: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, check_every: int = 5) -> DataFrame:
     """side, host, rank of a personalised PageRank per side.
 
     `edges`: side, src, dst, n; `seeds`: side, host, share (sums to 1 per

@@ -10,7 +10,7 @@ limit itself). Hence one shared value lies among the `size - least + 1` rarest
 values of each node, and only those are listed: values of passages that many
 documents share drop out, as their nodes have rarer ones.
 
-In a list every member is first compared with the list's least node; members
+In a list every member is first compared with the head of the list; members
 that end in one component need no further comparison, so a group of thousands
 of near copies costs a linear number of pairs. Only pairs across components of
 a list follow, each at most once.
@@ -106,7 +106,7 @@ def sketch_estimate(a, b, k: int):
     return both / F.size(union)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, width: int, slack: float) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, width: int, slack: float, cache_shingles: int = 4_000_000) -> DataFrame:
     """Pairs (a, b) that the sketches allow and the full sets confirm."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("id0").alias(f"i{x}"), F.col("h").alias(f"h{x}"))
     # Hashes are ordered as unsigned numbers; flipping the sign bit keeps that order for signed ones.
@@ -120,13 +120,24 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     full = likely.join(of("b"), ["ib", "hb"]).join(of("a"), ["ia", "ha"]).select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+        known: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def full_set(node: pa.Scalar, text: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            key = node.as_py()
+            if key not in known:
+                if held > cache_shingles:
+                    known.clear()
+                    held = 0
+                known[key] = shingle_hashes(text.as_py(), width)
+                held += len(known[key])
+            return known[key]
+
         for batch in batches:
             ok = []
-            for a, ta, tb in zip(batch.column(0), batch.column(2), batch.column(3)):
-                if left is None or a != last:
-                    last, left = a, shingle_hashes(ta.as_py(), width)
-                right = shingle_hashes(tb.as_py(), width)
+            for a, b, ta, tb in zip(*batch.columns):
+                left, right = full_set(a, ta), full_set(b, tb)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 ok.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -148,7 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("low").alias("label"))
 
 
-def find_groups(docs: DataFrame, k: int = 48, percent: int = 85, width: int = 5, slack: float = 0.35) -> DataFrame:
+def find_groups(docs: DataFrame, k: int = 48, percent: int = 85, width: int = 5, slack: float = 0.35, heads: int = 8) -> DataFrame:
     """doc_id, id0, h, n_shingles, component_id, kept per row of `docs` (doc_id, text).
 
     component_id is the least id of the rows that links lead to. Texts without
@@ -162,9 +173,12 @@ def find_groups(docs: DataFrame, k: int = 48, percent: int = 85, width: int = 5,
     nodes = staged(nodes, "nodes")
     lists = staged(inverted_lists(nodes, k, percent), "lists")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    head = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("x")).select("v", F.col("x.node").alias("a"), F.col("x.n").alias("na"))
-    member = lists.select("v", F.col("node").alias("b"), F.col("n").alias("nb"))
-    stars = staged(member.join(head, "v").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct(), "stars")
+    # Lists differ in their heads, so that a node of a large group meets several others.
+    head = lists.withColumn("o", F.xxhash64("node", F.pmod("v", F.lit(heads)))).groupBy("v").agg(F.min(F.struct("o", "node", "n")).alias("x"))
+    head = head.select("v", F.col("x.node").alias("x"), F.col("x.n").alias("na"))
+    member = lists.select("v", F.col("node").alias("y"), F.col("n").alias("nb"))
+    stars = member.join(head, "v").where((F.col("x") != F.col("y")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    stars = staged(stars.distinct(), "stars")
     edges = staged(verified(stars, nodes, docs, k, percent, width, slack), "edges")
     label = components(edges)
     # What is left: pairs of one list in different components, at least one outside the list's largest.
