@@ -11,9 +11,9 @@ values of each node, and only those are listed: values of passages that many
 documents share drop out, as their nodes have rarer ones.
 
 In a list every member is first compared with the head of the list; members
-that end in one component need no further comparison, so a group of thousands
-of near copies costs a linear number of pairs. Only pairs across components of
-a list follow, each at most once.
+that end in one component need no further comparison. Such turns, with other
+heads, go on while they lessen the pairs across components of a list; the
+pairs that are left are then all compared, each at most once.
 """
 
 from __future__ import annotations
@@ -173,26 +173,35 @@ def find_groups(docs: DataFrame, k: int = 48, percent: int = 85, width: int = 5,
     nodes = staged(nodes, "nodes")
     lists = staged(inverted_lists(nodes, k, percent), "lists")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    # Lists differ in their heads, so that a node of a large group meets several others.
-    head = lists.withColumn("o", F.xxhash64("node", F.pmod("v", F.lit(heads)))).groupBy("v").agg(F.min(F.struct("o", "node", "n")).alias("x"))
-    head = head.select("v", F.col("x.node").alias("x"), F.col("x.n").alias("na"))
-    member = lists.select("v", F.col("node").alias("y"), F.col("n").alias("nb"))
-    stars = member.join(head, "v").where((F.col("x") != F.col("y")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    stars = staged(stars.distinct(), "stars")
-    edges = staged(verified(stars, nodes, docs, k, percent, width, slack), "edges")
-    label = components(edges)
-    # What is left: pairs of one list in different components, at least one outside the list's largest.
-    marked = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = marked.groupBy("v", "label").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("v").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    marked = staged(marked.join(most, "v"), "marked")
-    few = marked.where("label != most").select("v", F.col("node").alias("x"), F.col("n").alias("na"), F.col("label").alias("lx"))
-    every = marked.select("v", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("label").alias("ly"))
-    cross = few.join(every, "v").where((F.col("lx") != F.col("ly")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = staged(cross.join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = verified(rest, nodes, docs, k, percent, width, slack)
-        label = components(staged(edges.unionByName(more), "edges"))
+    total, label, edges, tested, before, turn = nodes.count(), None, None, None, math.inf, 0
+    while True:
+        marked = lists.withColumn("label", F.col("node")) if label is None else lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = marked.groupBy("v", "label").agg(F.count("*").alias("c"))
+        most = sizes.groupBy("v").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("parts"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"))
+        marked = staged(marked.join(most.where("parts > 1"), "v"), "marked")
+        left = marked.groupBy("v").agg(F.max("open").alias("open")).agg(F.sum("open")).first()[0] or 0
+        if not left:
+            break
+        # Pairs across components are few, or turns no longer lessen them: compare all of them.
+        last = left <= 2 * total or left > 0.8 * before
+        if last:
+            few = marked.where("label != most").select("v", F.col("node").alias("x"), F.col("n").alias("na"), F.col("label").alias("lx"))
+        else:  # lists differ in their heads, so that a node of a large group meets several others
+            o = F.xxhash64("node", F.pmod("v", F.lit(heads)) + turn * heads)
+            few = marked.groupBy("v").agg(F.min(F.struct(o.alias("o"), "node", "n", "label")).alias("x"))
+            few = few.select("v", F.col("x.node").alias("x"), F.col("x.n").alias("na"), F.col("x.label").alias("lx"))
+        every = marked.select("v", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("label").alias("ly"))
+        pairs = few.join(every, "v").where((F.col("lx") != F.col("ly")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
+        found = staged(verified(pairs, nodes, docs, k, percent, width, slack), "edges")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        label = components(edges)
+        if last:
+            break
+        before, turn = left, turn + 1
+    if label is None:
+        label = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = base.select("doc_id", "id0", "h", "node", "n_shingles").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = staged(named, "named")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
