@@ -124,9 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, rounds: in
         return out
 
     for at in range(1, rounds + 1):
-        p, q = (1 / (1 + np.exp(-np.clip(margin(x), -30, 30))) for x in (own, other))
-        d = 2 * swap_weight * (p - q) / n
-        g = back(own, case * (p - y) + d * p * (1 - p)) + back(other, -d * q * (1 - q)) + l2 * weights / n
+        z, swapped = margin(own), margin(other)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        d = 2 * swap_weight * (z - swapped) / n  # changes count in log-odds, where a sure score still moves
+        g = back(own, case * (p - y) + d) + back(other, -d) + l2 * weights / n
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         weights = weights - 0.1 * (m1 / (1 - 0.9**at)) / (np.sqrt(m2 / (1 - 0.99**at)) + 1e-9)
     weights[:-1] *= scale
