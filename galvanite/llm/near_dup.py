@@ -10,10 +10,11 @@ limit itself). Hence one shared value lies among the `size - least + 1` rarest
 values of each node, and only those are listed: values of passages that many
 documents share drop out, as their nodes have rarer ones.
 
-In a list every member is first compared with the head of the list; members
-that end in one component need no further comparison. Such turns, with other
-heads, go on while they lessen the pairs across components of a list; the
-pairs that are left are then all compared, each at most once.
+In a list every member is first compared with the head of the list, its most
+typical member; members that end in one component need no further comparison.
+Such turns, with other heads, go on while they lessen the pairs across components of a list; the
+pairs that are left are then all compared, each at most once, but for those of
+long lists whose own shingles (full sets, counted exactly) rule the link out.
 """
 
 from __future__ import annotations
@@ -87,7 +88,11 @@ def sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
 
 
 def inverted_lists(nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """v, node, n: the rarest sketch values of each node that another node has too."""
+    """v, node, n, typical: the rarest sketch values of each node that another node has too.
+
+    `typical` sums the frequencies of the sketch values: within a group of
+    copies it is greatest where edits are fewest.
+    """
     least_small = F.ceil(F.col("n") * percent / 100)
     sure = math.floor(k * percent / 100)  # sets up to this size have partners that are sketched in full
     least = F.when(F.col("n") <= sure, least_small).otherwise(F.lit(k // 2))
@@ -95,8 +100,8 @@ def inverted_lists(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     common = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     shared = values.join(common, "v")
     w = Window.partitionBy("node")  # at most k rows each
-    ranked = shared.withColumn("own", F.col("size") - F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("f", "v")))
-    return ranked.where(F.col("r") + F.col("own") <= F.col("size") - least + 1).select("v", "node", "n")
+    ranked = shared.withColumn("own", F.col("size") - F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("f", "v"))).withColumn("typical", F.sum("f").over(w))
+    return ranked.where(F.col("r") + F.col("own") <= F.col("size") - least + 1).select("v", "node", "n", "typical")
 
 
 def sketch_estimate(a, b, k: int):
@@ -145,6 +150,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     return full.mapInArrow(check, "a binary, b binary")
 
 
+def own_shingles(long_nodes: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, own: how many shingles of its full set no other node of `long_nodes` (node) has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nid, text in zip(batch.column(0), batch.column(1)):
+                s = shingle_hashes(text.as_py(), width).view(np.int64)
+                for at in range(0, len(s), 1 << 20):
+                    part = s[at:at + (1 << 20)]
+                    yield pa.record_batch([pa.array(np.full(len(part), nid.as_py(), dtype=np.int64)), pa.array(part)], names=["nid", "s"])
+
+    some = nodes.join(long_nodes.select("node").distinct(), "node").select("node", "id0", "h")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64("text").alias("h"), "text").join(some, ["id0", "h"]).dropDuplicates(["node"])
+    rows = texts.select(F.xxhash64("node").alias("nid"), "text").mapInArrow(run, "nid long, s long")
+    single = rows.groupBy("s").agg(F.count("*").alias("f"), F.bit_xor("nid").alias("nid")).where("f = 1")
+    own = single.groupBy("nid").agg(F.count("*").alias("own"))
+    return staged(some.withColumn("nid", F.xxhash64("node")).join(own, "nid").select("node", "own"), "own")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: least node of each connected component, by least neighbour labels and pointer jumps."""
     both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -159,38 +183,47 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("low").alias("label"))
 
 
-def find_groups(docs: DataFrame, k: int = 48, percent: int = 85, width: int = 5, slack: float = 0.35, heads: int = 8) -> DataFrame:
+def find_groups(docs: DataFrame, k: int = 48, percent: int = 85, width: int = 5, slack: float = 0.35, heads: int = 8, short: int = 32) -> DataFrame:
     """doc_id, id0, h, n_shingles, component_id, kept per row of `docs` (doc_id, text).
 
     component_id is the least id of the rows that links lead to. Texts without
     words (null too) have an empty set and stand alone. Rows without id can be
     linked; alone they have a null component and are kept, next to a row with
-    an id they are not. Repeated rows get equal results.
+    an id they are not. Repeated rows get equal results. Lists of more than
+    `short` members also use the nodes' own shingles to rule pairs out.
     """
     base = staged(sketches(docs, k, width), "sketches")
     first = base.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id0", "h")).alias("x")).select("node", "x.*")
     nodes = base.join(first, ["node", "id0", "h"]).select("node", "id0", "h", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     nodes = staged(nodes, "nodes")
     lists = staged(inverted_lists(nodes, k, percent), "lists")
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    total, label, edges, tested, before, turn = nodes.count(), None, None, None, math.inf, 0
+    # What two sets can share at most, as their own shingles are not shared.
+    most_shared = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (100 * most_shared >= percent * (F.col("na") + F.col("nb") - most_shared))
+    total, label, edges, tested, own, before, turn = nodes.count(), None, None, None, None, math.inf, 0
     while True:
         marked = lists.withColumn("label", F.col("node")) if label is None else lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         sizes = marked.groupBy("v", "label").agg(F.count("*").alias("c"))
-        most = sizes.groupBy("v").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("parts"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"))
+        most = sizes.groupBy("v").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.count("*").alias("parts"), F.sum("c").alias("members"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"))
         marked = staged(marked.join(most.where("parts > 1"), "v"), "marked")
+        if label is None:
+            marked = marked.withColumn("own", F.lit(0).cast("long"))
+        else:  # counted once: later rounds have no other nodes in their long lists
+            own = own_shingles(marked.where(F.col("members") > short), nodes, docs, width) if own is None else own
+            counted = F.when(F.col("members") > short, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).cast("long")
+            marked = staged(marked.join(own, "node", "left").withColumn("own", counted), "marked")
         left = marked.groupBy("v").agg(F.max("open").alias("open")).agg(F.sum("open")).first()[0] or 0
         if not left:
             break
         # Pairs across components are few, or turns no longer lessen them: compare all of them.
         last = left <= 2 * total or left > 0.8 * before
         if last:
-            few = marked.where("label != most").select("v", F.col("node").alias("x"), F.col("n").alias("na"), F.col("label").alias("lx"))
+            few = marked.where("label != most").select("v", F.col("node").alias("x"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("label").alias("lx"))
         else:  # lists differ in their heads, so that a node of a large group meets several others
-            o = F.xxhash64("node", F.pmod("v", F.lit(heads)) + turn * heads)
-            few = marked.groupBy("v").agg(F.min(F.struct(o.alias("o"), "node", "n", "label")).alias("x"))
-            few = few.select("v", F.col("x.node").alias("x"), F.col("x.n").alias("na"), F.col("x.label").alias("lx"))
-        every = marked.select("v", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("label").alias("ly"))
+            o = F.xxhash64("node", F.pmod("v", F.lit(heads)) + turn * heads) if turn else -F.col("typical")
+            few = marked.groupBy("v").agg(F.min(F.struct(o.alias("o"), "node", "n", "own", "label")).alias("x"))
+            few = few.select("v", F.col("x.node").alias("x"), F.col("x.n").alias("na"), F.col("x.own").alias("oa"), F.col("x.label").alias("lx"))
+        every = marked.select("v", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("label").alias("ly"))
         pairs = few.join(every, "v").where((F.col("lx") != F.col("ly")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
         found = staged(verified(pairs, nodes, docs, k, percent, width, slack), "edges")
