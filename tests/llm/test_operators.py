@@ -198,7 +198,8 @@ def brute_groups(rows):
     return {r[0]: (len(s), least[g]) for r, s, g in zip(rows, sets, at)}
 
 
-def test_near_duplicates_brute_force(spark):
+@pytest.mark.parametrize("short", [32, 1])
+def test_near_duplicates_brute_force(spark, short):
     rng, rows = np.random.default_rng(5), []
     shared = sentence(99, 60)
     for g in range(12):
@@ -209,7 +210,7 @@ def test_near_duplicates_brute_force(spark):
                 w[int(rng.integers(len(w)))] = f"x{rng.integers(10**6)}"
             rows.append((len(rows) + 10, " ".join(w).title() + (" " + shared if g % 3 == 0 else "")))
     rows += [(1, ""), (2, None), (3, "one two"), (4, "One  two"), (5, sentence(1, 20_000)), (6, shared)]
-    got = near_dup.find_groups(docs_of(spark, rows)).collect()
+    got = near_dup.find_groups(docs_of(spark, rows), short=short).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
