@@ -155,6 +155,92 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+GNU_NOTICE = """{0}This program is free software{2} you can redistribute it and/or modify
+{0}it under the terms of the GNU {1} as published by
+{0}the Free Software Foundation{3} either version {4} of the License, or
+{0}(at your option) any later version.
+"""
+
+
+def test_whole_licenses(spark):
+    """Official texts, wrapped and in comments, with the names of their holders."""
+    mit = """MIT License
+
+Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    apache = """# Copyright 2020 A. Holder
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+    bsd2 = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+"""
+    bsd3 = bsd2 + """ * 3. Neither the name of Holder Inc. nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+    cc0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide.
+"""
+    cases = {
+        "MIT": mit, "Apache-2.0": apache, "BSD-2-Clause": bsd2, "BSD-3-Clause": bsd3, "ISC": isc, "MPL-2.0": mpl, "CC0-1.0": cc0,
+        "GPL-3.0-or-later": GNU_NOTICE.format("# ", "General Public License", ":", ",", "3"),
+        "GPL-2.0-or-later": GNU_NOTICE.format("dnl ", "General Public License", ";", ";", "2"),
+        "LGPL-2.1-or-later": GNU_NOTICE.format(" * ", "Lesser General Public License", ";", ";", "2.1"),
+        "AGPL-3.0-or-later": GNU_NOTICE.format("// ", "Affero General Public License", ":", ",", "3"),
+        "GPL-2.0-only WITH Linux-syscall-note,MIT": "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR mit */",
+        "EUPL-1.2": "# SPDX-License-Identifier:EUPL-1.2\r\nimport x",
+        "CC-BY-SA-4.0": "Notes\r\nLicensed under CC BY-SA 4.0\r\nMore notes",
+    }
+    rows = [(n, text) for n, text in enumerate(cases.values())]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs_of(spark, rows + [(n + 100, t.replace("\n", "\r\n")) for n, t in rows])).collect()}
+    assert [got[n] for n, _ in rows] == list(cases)
+    assert [got[n + 100] for n, _ in rows] == list(cases)
+
+
 # secrets
 
 
