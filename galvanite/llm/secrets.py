@@ -27,8 +27,17 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 # Parts of names and their weight for a literal assigned to them.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "accesskey": 3, "privatekey": 3, "credential": 2, "auth": 1, "signingkey": 2, "connectionstring": 2}
 
-_PAIR = re.compile(
-    r"""(?<![\w$])([A-Za-z_$][\w$.-]{1,80})["'\]]{0,2}[\x20\t]*(?::=|=>|=(?![=~])|:(?![:/]))[\x20\t]*(?:"((?:[^"\\\n]|\\.){0,400})"|'((?:[^'\\\n]|\\.){0,400})'|([A-Za-z0-9+/_.$=-]{1,400}))""", re.A)
+# A run of name characters before an assignment; it starts no run inside another one, so the search is linear.
+_TARGET = re.compile(r"""(?<![\w$.-])([\w$.-]++)["'\]]{0,2}[\x20\t]*+(?::=|=>|=(?![=~])|:(?![:/]))[\x20\t]*+""", re.A)
+_NAME = re.compile(r"(?<![\w$])[A-Za-z_$][\w$.-]+", re.A)
+_QUOTED = re.compile(r"""[bBfFrRuU]{0,2}(?:"([^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+)')""")
+_TRIPLE = re.compile(r"""[bBfFrRuU]{0,2}(\"{3}|'{3})""")
+# Of signs of equality only padding at the end belongs to a bare value.
+_BARE = re.compile(r"""[A-Za-z0-9+/_.$-]++(?:==(?![=\w+/.$"'-])|=(?=[\x20\t]*+(?:[\r\n,;)\]}#<]|\Z)))?""", re.A)
+_BLOCK = re.compile(r"[|>][-+0-9]{0,2}[\x20\t]*+(?:#[^\n]*+)?\r?\n")
+_LINE = re.compile(r"([\x20\t]*+)([^\n]*+)\n?")
+_PEM = re.compile(r"-----(BEGIN|END) [A-Z0-9\x20]{0,40}?PRIVATE KEY(?: BLOCK)?-----")
+_BODY = re.compile(r"(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -58,23 +67,80 @@ def literal_score(names: list[str], value: str) -> float:
     return best + entropy(value) / 2 + mixed
 
 
+def block_span(text: str, key: int, at: int) -> tuple[int, int]:
+    """Span of the lines from `at` on: deeper than the line of `key`, and at least as deep as the first of them."""
+    depth = len(_LINE.match(text, text.rfind("\n", 0, key) + 1)[1])
+    first = end = None
+    while at < len(text):
+        line = _LINE.match(text, at)
+        if line[2].strip():
+            if len(line[1]) <= depth:
+                break
+            depth = len(line[1]) - 1 if first is None else depth
+            first, end = line.start(2) if first is None else first, line.start(2) + len(line[2].rstrip())
+        at = line.end()
+    return (at, at) if first is None else (first, end)
+
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """Private keys from their first to their last line; one without a last line as far as its body goes."""
+    marks = list(_PEM.finditer(text))
+    out = []
+    for i, m in enumerate(marks):
+        if m[1] == "BEGIN":
+            last = marks[i + 1] if i + 1 < len(marks) else None
+            out.append((m.start(), last.end() if last and last[1] == "END" else _BODY.match(text, m.end()).end()))
+    return out
+
+
 def lexed_spans(text: str, least_score: float = 4.5) -> list[tuple[int, int, str]]:
-    """Literals whose target names, followed through constants, make them look secret."""
+    """Literals whose target names, followed through constants and chains, make them look secret; private keys."""
     literals: dict[str, tuple[int, int, str]] = {}
     names: dict[tuple[int, int], list[str]] = {}
     values: dict[tuple[int, int], str] = {}
-    for m in _PAIR.finditer(text):
-        group = next(g for g in (2, 3, 4) if m[g] is not None)
-        value, span = m[group], m.span(group)
-        known = literals.get(value) if group == 4 else None
+
+    def put(targets: list[str], span: tuple[int, int], bare: bool = False) -> None:
+        value = text[slice(*span)]
+        if "\n" in value:
+            value = "".join(line.strip() for line in value.split("\n"))
+        known = literals.get(value) if bare else None
         if known:  # a name that stands for an earlier literal
-            names[known[:2]].append(m[1])
-            literals[m[1]] = known
+            names[known[:2]] += targets
         else:
-            literals[m[1]] = (*span, value)
-            names.setdefault(span, []).append(m[1])
+            known = (*span, value)
+            names.setdefault(span, []).extend(targets)
             values[span] = value
-    return [(a, b, "lexed") for (a, b), value in values.items() if literal_score(names[(a, b)], value) >= least_score]
+        literals.update(dict.fromkeys(targets, known))
+
+    at, waiting = 0, None  # a bare value waits, as it may be the next target of a chain
+    while m := _TARGET.search(text, at):
+        targets: list[str] = []
+        if waiting:
+            if waiting[1][1] == m.end(1):
+                targets = waiting[0]
+            else:
+                put(*waiting, bare=True)
+            waiting = None
+        name, at = _NAME.search(m[1]), m.end()
+        if name:
+            targets.append(name[0])
+        if not targets:
+            continue
+        if (q := _TRIPLE.match(text, at)) and (end := text.find(q[1], q.end())) >= 0:
+            at = q.end()  # the lines of the literal can hold assignments as well
+            put(targets, (at, end))
+        elif q := _QUOTED.match(text, at):
+            put(targets, q.span(1 if q[1] is not None else 2))
+            at = q.end()
+        elif q := _BLOCK.match(text, at):
+            at = q.end()
+            put(targets, block_span(text, m.start(), at))
+        elif q := _BARE.match(text, at):
+            waiting = (targets, q.span())
+    if waiting:
+        put(*waiting, bare=True)
+    found = [span for span, value in values.items() if literal_score(names[span], value) >= least_score]
+    return [(a, b, "lexed") for a, b in dict.fromkeys(found + pem_spans(text))]
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -257,6 +257,28 @@ def test_secret_spans(spark, odd, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_lexed_without_limits():
+    """Literals and names of any length, chains, several lines."""
+    lexed = lambda t: [t[a:b] for a, b, _ in secrets.lexed_spans(t)]
+    for n in (399, 401, 5_000):
+        value = ("q8Zr2LmX0vTn5Wc1" * 400)[:n]
+        for made in (f"private_key = {value}\n", f'private_key = "{value}"', f"{'x' * n}.private_key: '{value}'", f"name: {value}\ndb_pwd=name"):
+            assert lexed(made) == [value]
+    value = "q8Zr2LmX0vTn5Wc1"
+    for made in (f"INFO: db_pwd={value}", f'pwd = key = "{value}"', f'key = pwd = "{value}"', f'a1 = b1 = "{value}"\ntoken = a1', f'--auth-token={value}', f'pwd = b"{value}"'):
+        assert lexed(made) == [value]
+    assert lexed("password = cThacjJMbVgwdlRuNVdjMQ==\n") == ["cThacjJMbVgwdlRuNVdjMQ=="]
+    lines = f"{value}\n    {value[::-1]}"
+    assert lexed(f'secret = """{lines}"""\nx = 1') == [lines]
+    assert lexed(f"- secret: |-\n    {lines}\n  name: plain") == [lines]
+    assert lexed(f"run: |\n  export API_TOKEN={value}\n") == [value]
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{value * 4}\n{value * 4}\n-----END RSA PRIVATE KEY-----"
+    assert lexed(f"before\n{pem}\nafter") == [pem] and lexed(f'key = """{pem}"""') == [pem]
+    assert lexed(f"before\n{pem[:-30]}\nafter") == [pem[:-30].rstrip()]
+    for long in ("a-" * 200_000, "a=" * 100_000, 'a1="' * 100_000, "a1: |\n" * 50_000, "-----BEGIN " * 50_000):
+        secrets.lexed_spans(long)
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 
