@@ -19,10 +19,14 @@ from pyspark.sql.functions import pandas_udf
 
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|[^<]+|<", re.S)
 # Element names and the words in class, id or role that mark boilerplate.
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "object", "canvas", "math"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "acronym"}
-BOILER = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"}
+INLINE |= {"math", "mi", "mo", "mn", "ms", "mtext", "mspace", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mstyle", "mpadded", "mphantom", "semantics", "annotation"}
+# Start tags that end an open svg or math, and the elements inside of which they do not.
+BREAKOUT = {"b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var"}
+HOSTS = {"foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
+BOILER = {"svg", "template", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"}
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|header|masthead|breadcrumb\w*|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscribe|social|share\w*|related|recommend\w*|comment|comments|commentlist|disqus|respond|widget\w*|pagination|pager|login|signup|search\w*|copyright|legal|toolbar|contentinfo|navigation|complementary)(?=$|[\s_-])", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|main|body-text|content)(?=$|[\s_-])", re.I)
@@ -74,7 +78,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     out: list[tuple[str, int, float, int, int]] = []
     stack: list[tuple[str, int, int]] = []  # element, boilerplate depth and article depth that it adds
     text: list[str] = []
-    linked, boiler, main, anchors, at = 0, 0, 0, 0, 0
+    linked, boiler, main, anchors, foreign, at = 0, 0, 0, 0, 0, 0
+    ends: dict[str, re.Match | None] = {}  # next end tag of each raw element, None if the rest of the page has none
 
     def close() -> None:
         nonlocal linked
@@ -104,14 +109,27 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             if any(s[0] == name for s in stack):
                 while stack:
                     top, b, a = stack.pop()
-                    boiler, main, anchors = boiler - b, main - a, anchors - (top == "a")
+                    boiler, main, anchors, foreign = boiler - b, main - a, anchors - (top == "a"), foreign - (top in ("svg", "math"))
                     if top == name:
                         break
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if name not in ends or (ends[name] and ends[name].start() < at):
+                ends[name] = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = ends[name]
+            # Closed in itself: void, unless the end tag that follows is its own.
+            if m[3].endswith("/") and not (end and not re.compile(rf"<{name}[\s/>]", re.I).search(page, at, end.start())):
+                continue
+            if end or name != "template":
+                at = end.end() if end else len(page)
+                continue
+        if name in BREAKOUT and foreign:
+            while (host := next((s[0] for s in reversed(stack) if s[0] in HOSTS or s[0] in ("svg", "math")), None)) in ("svg", "math"):
+                while True:
+                    top, b, a = stack.pop()
+                    boiler, main, anchors, foreign = boiler - b, main - a, anchors - (top == "a"), foreign - (top in ("svg", "math"))
+                    if top == host:
+                        break
         if name in VOID or m[3].endswith("/"):
             continue
         if name in ("p", "li", "tr", "td", "dd", "dt", "option") and stack and stack[-1][0] == name:
@@ -122,6 +140,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         is_boiler = int(name in BOILER or (name == "header" and not main) or (name not in ("html", "body", "article", "main") and bool(HINTS.search(hints))))
         stack.append((name, is_boiler, is_main))
         boiler, main, anchors = boiler + is_boiler, main + is_main, anchors + (name == "a")
+        foreign += name in ("svg", "math")
     close()
     return out
 

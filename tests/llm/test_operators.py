@@ -140,6 +140,20 @@ def test_html_blocks(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_elements_without_end_tags():
+    """Nothing after an element that is closed in itself or never closed is lost."""
+    tree = html_text.grow(html_text.LABELLED[:, :-1], html_text.LABELLED[:, -1])
+    first, last = " ".join(f"first{i}" for i in range(40)), " ".join(f"last{i}" for i in range(40))
+    whole = lambda mark: html_text.main_text(f"<body><article><p>{first}</p>{mark}<p>{last}</p></article></body>", tree)
+    for mark in ("<svg/>", '<svg width="1"/>', "<math/>", "<iframe src='x' />", "<svg><path d='M0'>", "<canvas>", "<object data='x'>", "<svg/><p><svg><path d='M0'/></svg></p>", "<iframe src='x' /><iframe src='y'></iframe>"):
+        assert whole(mark) == f"{first} {last}", mark
+    assert whole("<script>let a = 1;</script><style>p {}</style><template><p>never shown</p></template>") == f"{first} {last}"
+    assert whole("<script>let a = 1;") == first
+    assert whole(f"<object data='x'><p>{last}</p></object>") == whole(f"<canvas><p>{last}</p></canvas>") == f"{first} {last} {last}"
+    assert whole(f"<p>{last} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>") == f"{first} {last} x=1 {last}"
+    assert html_text.main_text("<iframe/>" * 20_000 + f"<article><p>{first}</p></article>", tree) == first
+
+
 # licences
 
 
