@@ -200,11 +200,40 @@ def infer_multiplier(spark, sf):
     return C.infer_multiplier(df).groupBy("sample_name", "condition", "temp", "multiplier").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("enforce_trend", None)
+def _trend_walk(name: str, p: int, fix: str) -> str:
+    """SQL: mean and least resistance before each temperature of one polarity, and its bar."""
+    raised = f"list_transform(g.v, lambda x: CASE WHEN x >= w.m THEN x / pow(10, {fix} + ceil(log10(x / (w.m * 0.99)))) ELSE x END)"
+    return f"""{name}w(s, c, k, m, l) AS (SELECT s, c, k, 10 * list_avg(v), 10 * v[1] FROM g WHERE k = 1 AND p = {p}
+  UNION ALL SELECT w.s, w.c, w.k + 1, CASE WHEN g.v[-1] >= w.l THEN list_avg({raised}) ELSE list_avg(g.v) END, CASE WHEN g.v[-1] >= w.l THEN list_min({raised}) ELSE g.v[1] END
+  FROM {name}w w JOIN g ON g.s = w.s AND g.c = w.c AND g.k = w.k AND g.p = {p} LEFT JOIN f{name} ON f{name}.s = w.s AND f{name}.c = w.c),
+{name}b AS MATERIALIZED (SELECT g.s, g.c, g.p, g.t, w.m FROM {name}w w JOIN g ON g.s = w.s AND g.c = w.c AND g.k = w.k AND g.p = {p} WHERE g.v[-1] >= w.l)"""
+
+
+_INTO = "CASE WHEN min(e) < -10 THEN -10 - min(e) WHEN max(e) > -8 THEN -8 - max(e) ELSE 0 END"
+_SHIFT = "CASE WHEN open AND r >= m THEN ceil(log10(r / (m * 0.99))) ELSE 0 END"
+
+
+@query("enforce_trend", f"""WITH RECURSIVE d AS (SELECT l_orderkey, l_linenumber, l_suppkey AS s, CASE l_returnflag WHEN 'A' THEN 'pre' WHEN 'R' THEN 'dry' ELSE 'dh' END AS c, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END AS p,
+  l_quantity AS t, 1e12 * l_extendedprice / l_quantity * pow(10, -l_quantity / 4) AS r, l_linenumber < 7 AS open, CASE WHEN l_linenumber < 7 THEN -9 ELSE 0 END AS e0 FROM lineitem),
+g AS MATERIALIZED (SELECT s, c, p, t, list(r ORDER BY r) AS v, row_number() OVER (PARTITION BY s, c, p ORDER BY t) AS k FROM d WHERE open GROUP BY s, c, p, t),
+fx AS (SELECT s, c, 0 AS fix FROM d GROUP BY s, c),
+{_trend_walk("x", -1, "fx.fix")},
+d1 AS MATERIALIZED (SELECT d.*, {_SHIFT} AS sh FROM d LEFT JOIN xb USING (s, c, p, t)),
+fy AS MATERIALIZED (SELECT s, c, {_INTO} AS fix FROM (SELECT s, c, e0 + sh AS e FROM d1 WHERE open AND (s, c) IN (SELECT (s, c) FROM g WHERE p = -1)) GROUP BY s, c),
+{_trend_walk("y", 1, "coalesce(fy.fix, 0)")},
+d2 AS MATERIALIZED (SELECT d1.* EXCLUDE (sh), coalesce(fy.fix, 0) AS fix, sh + {_SHIFT} AS sh FROM d1 LEFT JOIN fy USING (s, c) LEFT JOIN yb USING (s, c, p, t)),
+fz AS MATERIALIZED (SELECT s, c, {_INTO} AS more FROM (SELECT s, c, e0 + sh + fix AS e FROM d2 WHERE open AND (s, c) IN (SELECT (s, c) FROM g WHERE p = 1)) GROUP BY s, c),
+d3 AS MATERIALIZED (SELECT d2.*, CASE WHEN open THEN sh + fix + coalesce(more, 0) ELSE 0 END AS total FROM d2 LEFT JOIN fz USING (s, c)),
+n AS MATERIALIZED (SELECT s, max(CASE WHEN a >= b THEN ceil(log10(a / (b * 0.99))) END) AS need FROM (SELECT s, t, avg(r / pow(10, total)) FILTER (c = 'dh' AND open) AS a, avg(r / pow(10, total)) FILTER (c IN ('pre', 'dry')) AS b FROM d3 GROUP BY s, t) GROUP BY s),
+d4 AS MATERIALIZED (SELECT d3.*, CASE WHEN c = 'dh' AND need > 0 THEN need ELSE 0 END AS up, need FROM d3 LEFT JOIN n USING (s)),
+fl AS (SELECT s, {_INTO} AS last FROM (SELECT s, e0 + total + up AS e FROM d4 WHERE open AND need > 0) GROUP BY s)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN open THEN e0 + total + up + coalesce(last, 0) ELSE 0 END AS BIGINT) AS exponent,
+  round(log10(CASE WHEN open THEN r / pow(10, total + up + coalesce(last, 0)) ELSE r END), 6) AS log_resistance FROM d4 LEFT JOIN fl USING (s)""")
 def enforce_trend(spark, sf):
-    df = table(spark, sf, "lineitem").groupBy(
-        F.col("l_returnflag").alias("sample_name"), F.when(F.col("l_linestatus") == "F", "pre").otherwise("dh").alias("condition"),
-        F.col("l_linenumber").alias("temp"), "l_suppkey").agg(F.avg("l_extendedprice").alias("resistance"))
-    df = df.withColumn("voltage", F.when(F.col("l_suppkey") % 2 == 0, 2.0).otherwise(-2.0)).withColumn("multiplier", F.lit(1e-9))
+    kind = F.when(F.col("l_returnflag") == "A", "pre").when(F.col("l_returnflag") == "R", "dry").otherwise("dh")
+    falling = 1e12 * F.col("l_extendedprice") / F.col("l_quantity") * F.pow(F.lit(10.0), -F.col("l_quantity") / 4)
+    df = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("sample_name"), kind.alias("condition"), F.col("l_quantity").alias("temp"), falling.alias("resistance"),
+        F.when(F.col("l_orderkey") % 2 == 0, 2.0).otherwise(-2.0).alias("voltage"), F.when(F.col("l_linenumber") < 7, 1e-9).otherwise(1.0).alias("multiplier"))
     out = C.enforce_trend(df)
-    return out.groupBy("sample_name", "condition", "temp").agg(F.count(F.lit(1)).alias("rows"), F.min("multiplier").alias("low"), F.max("multiplier").alias("high"))
+    return rounded(out.select("l_orderkey", "l_linenumber", F.round(F.log10("multiplier")).cast("long").alias("exponent"), F.log10("resistance").alias("log_resistance")), 6)

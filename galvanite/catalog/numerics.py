@@ -52,20 +52,28 @@ def initial_guess_exp(spark, sf):
     return rounded(out.select("user_id", "b0", "tau0"), {"b0": 6, "tau0": 2})
 
 
-@query("grid_fit", """WITH d AS (SELECT user_id, value, (epoch_us(ts) - 1704067200000000) / 1e6 AS t FROM events),
-s AS (SELECT user_id, min(t) AS lo, max(t) AS hi, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 3 AND max(t) > min(t)),
-c AS (SELECT user_id, pow(10, log10((hi - lo) / n / 10) + (log10((hi - lo) * 10) - log10((hi - lo) / n / 10)) * k / 30.0) AS tau FROM (SELECT *, unnest(range(31)) AS k FROM s)),
-f AS (SELECT d.user_id, tau, regr_syy(value, exp(-t / tau)) - regr_slope(value, exp(-t / tau)) * regr_sxy(value, exp(-t / tau)) AS rss FROM d JOIN c ON c.user_id = d.user_id GROUP BY 1, 2)
-SELECT user_id, round(min(rss), 3) AS rss FROM f GROUP BY 1""")
+def _grid_sql(rounds: int = 8) -> str:
+    """The refined grid in SQL: a key takes part in a round while its step is above the tolerance."""
+    best = lambda c, step: f"""SELECT user_id, arg_min(tau, {{'r': rss, 't': tau}}) AS tau, min(rss) AS rss, max(step) {step} AS step FROM (SELECT d.user_id, tau, max(step) AS step,
+  coalesce(greatest(regr_syy(value, exp(-t / tau)) - regr_slope(value, exp(-t / tau)) * regr_sxy(value, exp(-t / tau)), 0), 'inf'::DOUBLE) AS rss FROM d JOIN {c} ON {c}.user_id = d.user_id GROUP BY 1, 2) GROUP BY 1"""
+    parts = [f"""WITH d AS MATERIALIZED (SELECT user_id, value, (epoch_us(ts) - 1704067200000000) / 1e6 AS t FROM events),
+s AS (SELECT user_id, log10((hi - lo) / n / 10) AS a, (log10((hi - lo) * 10) - log10((hi - lo) / n / 10)) / 30 AS step FROM (SELECT user_id, min(t) AS lo, max(t) AS hi, count(*) AS n FROM d GROUP BY 1) WHERE n >= 3 AND hi > lo),
+c0 AS (SELECT user_id, pow(10, a + step * k) AS tau, step FROM (SELECT *, unnest(range(31)) AS k FROM s)), b0 AS MATERIALIZED ({best("c0", "")})"""]
+    for r in range(1, rounds + 1):
+        parts.append(f"""c{r} AS (SELECT user_id, pow(10, log10(tau) - step + 2 * step * k / 12) AS tau, step FROM (SELECT *, unnest(range(13)) AS k FROM b{r - 1} WHERE step > 1e-6)),
+b{r} AS MATERIALIZED ({best(f"c{r}", "/ 6")} UNION ALL SELECT * FROM b{r - 1} WHERE step <= 1e-6)""")
+    return ", ".join(parts) + f" SELECT user_id, round(rss, 3) AS rss, step <= 1e-6 AS converged FROM b{rounds}"
+
+
+@query("grid_fit", _grid_sql())
 def grid_fit(spark, sf):
-    got = T.grid_fit(events(spark, sf), USER, "t", "value", "exp", points=31, rounds=0)
-    return rounded(got.select("user_id", "rss"), 3)
+    return rounded(T.grid_fit(events(spark, sf), USER, "t", "value", "exp").select("user_id", "rss", "converged"), 3)
 
 
 @query("fit_curves", None)
 def fit_curves(spark, sf):
     df = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_quantity") / 50).alias("t"), (F.col("l_extendedprice") / 1e5).alias("y"))
-    return T.fit_curves(df, ["l_suppkey"], "t", "y", "exp", iterations=3).select("l_suppkey", "p", "error")
+    return T.fit_curves(df, ["l_suppkey"], "t", "y", "exp").select("l_suppkey", "p", "error", "rounds", "converged")
 
 
 @query("fit_prepare", None)
@@ -241,8 +249,8 @@ def export_prediction(spark, sf):
 @query("fit_jobs", None)
 def fit_jobs(spark, sf):
     df = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_quantity") / 50).alias("t"), (F.col("l_extendedprice") / 1e5).alias("y"))
-    jobs = [{"model": "exp", "iterations": 2}, {"model": "exp", "targets": "error > @median(error)", "bias": 0.2, "iterations": 2}]
-    return T.run_fit_jobs(df, ["l_returnflag", "l_linestatus"], "t", "y", jobs, group=["l_returnflag"]).select("l_returnflag", "l_linestatus", "p", "error", "fit_no")
+    jobs = [{"model": "exp"}, {"model": "exp", "targets": "error > @median(error)", "bias": 0.2}]
+    return T.run_fit_jobs(df, ["l_returnflag", "l_linestatus"], "t", "y", jobs, group=["l_returnflag"]).select("l_returnflag", "l_linestatus", "p", "error", "fit_no", "rounds", "converged")
 
 
 @query("refine_breakpoints", None)

@@ -253,6 +253,37 @@ def x_intercepts(spark, sf):
     return rounded(I.x_intercepts(df, USER, ORDER, "re", "im"), 5)
 
 
+# Lines of several datasets, each with a separator of its own; some begin with a header.
+MIXED_LINES = """l AS (SELECT 'c' || c_nationkey AS dataset, CAST(c_custkey AS BIGINT) AS no, concat_ws(s, c_custkey, c_name, c_acctbal, c_mktsegment) AS line
+  FROM (SELECT *, CASE c_nationkey % 3 WHEN 0 THEN ';' WHEN 1 THEN '|' ELSE ',' END AS s FROM customer)
+  UNION ALL SELECT DISTINCT 'c' || c_nationkey, CAST(-1 AS BIGINT), concat_ws(CASE c_nationkey % 3 WHEN 0 THEN ';' WHEN 1 THEN '|' ELSE ',' END, 'key', 'name', 'balance', 'segment') FROM customer WHERE c_nationkey % 2 = 0
+  UNION ALL SELECT 'd-' || lang, doc_id, concat_ws(chr(9), doc_id, lang, n_chars) FROM documents
+  UNION ALL SELECT DISTINCT 'd-' || lang, CAST(-1 AS BIGINT), concat_ws(chr(9), 'id', 'lang', 'chars') FROM documents)"""
+
+
+@query("parse_delimited", rf"""WITH {MIXED_LINES},
+k AS (SELECT dataset, no, CASE WHEN regexp_replace(line, '[\w.+\-:"''()\[\]/%\\#]|\s', '', 'g') <> '' THEN regexp_extract_all(regexp_replace(line, '[\w.+\-:"''()\[\]/%\\#]|\s', '', 'g'), '.') ELSE regexp_extract_all(trim(line), '\s+') END AS ms FROM l),
+m AS (SELECT dataset, no, unnest(ms) AS sep, unnest(range(len(ms))) AS pos FROM k),
+c AS (SELECT dataset, sep, count(*) AS n, min(no) AS f, arg_min(pos, no * 1000 + pos) AS g FROM m GROUP BY 1, 2),
+s AS (SELECT dataset, sep FROM c QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY n DESC, f, g) = 1),
+t AS (SELECT l.*, sep, string_split(line, sep) AS cells, no = min(no) OVER (PARTITION BY dataset) AS is_first FROM l JOIN s USING (dataset)),
+h AS (SELECT dataset, cells AS names, len(list_filter(cells, lambda x: regexp_matches(x, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'))) = 0 AS header FROM t WHERE is_first),
+x AS (SELECT dataset, no, unnest(cells) AS cell, unnest(range(len(cells))) AS position, names, header FROM t JOIN h USING (dataset) WHERE NOT (is_first AND header))
+SELECT dataset, no, CAST(position AS INTEGER) AS position, CASE WHEN header THEN names[position + 1] ELSE CAST(position AS VARCHAR) END AS name, trim(cell) AS cell, TRY_CAST(cell AS DOUBLE) AS number FROM x WHERE trim(cell) <> ''""")
+def parse_delimited(spark, sf):
+    cust, docs = table(spark, sf, "customer"), table(spark, sf, "documents")
+    mark = F.element_at(F.array(F.lit(";"), F.lit("|"), F.lit(",")), F.col("c_nationkey") % 3 + 1)
+    of = F.concat(F.lit("c"), F.col("c_nationkey").cast("string"))
+    joined = lambda sep, *cells: F.array_join(F.array(*[c.cast("string") for c in cells]), "\x01") if sep is None else F.concat_ws(sep, *cells)
+    with_mark = lambda *cells: F.replace(joined(None, *cells), F.lit("\x01"), mark)
+    lang, first = F.concat(F.lit("d-"), F.col("lang")), F.lit(-1).cast("long")
+    lines = cust.select(of.alias("dataset"), F.col("c_custkey").alias("no"), with_mark(*[F.col(c) for c in ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")]).alias("line"))
+    lines = lines.union(cust.where("c_nationkey % 2 = 0").select(of, first, with_mark(*map(F.lit, ("key", "name", "balance", "segment")))).distinct())
+    lines = lines.union(docs.select(lang, "doc_id", joined("\t", *[F.col(c).cast("string") for c in ("doc_id", "lang", "n_chars")])))
+    lines = lines.union(docs.select(lang, first, joined("\t", *map(F.lit, ("id", "lang", "chars")))).distinct())
+    return S.parse_delimited(lines, ["dataset"], ["no"])
+
+
 @query("split_text_blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
 s AS (SELECT doc_id, no, length(line) - length(replace(line, ' ', '')) AS seps FROM l WHERE trim(line) <> ''),
 b AS (SELECT doc_id, no, seps, sum(CASE WHEN seps <> p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM (SELECT *, lag(seps) OVER (PARTITION BY doc_id ORDER BY no) AS p FROM s)),
@@ -284,6 +315,23 @@ def calm_stretches(spark, sf):
     return rounded(out, {"range": 6})
 
 
+@query("stability_rule", f"""WITH RECURSIVE {EV}, e AS MATERIALIZED (SELECT user_id, event_id, i, epoch_us(ts) / 1e6 AS s, value AS v FROM ev),
+r(user_id, event_id, i, v, elapsed, spread, tol, here, stable, since, low, high, kept, began, step) AS (
+  SELECT user_id, event_id, i, v, 0.0::DOUBLE, 0.0::DOUBLE, 12.0::DOUBLE, 0::BIGINT, false, s, v, v, v, s, 0::BIGINT FROM e WHERE i = 0
+  UNION ALL SELECT user_id, event_id, i, v, elapsed, spread, tol, step, ok, CASE WHEN ok THEN s ELSE since END, CASE WHEN ok THEN v ELSE low END, CASE WHEN ok THEN v ELSE high END,
+    CASE WHEN ok THEN v ELSE kept END, CASE WHEN ok THEN s ELSE began END, step + ok::BIGINT
+  FROM (SELECT *, s - since AS elapsed, s - since >= 60000 AS ok
+    FROM (SELECT user_id, event_id, i, v, s, spread, kept, began, step, CASE WHEN spread > tol AND s - began > 150000 THEN least(spread, 2 * tol) ELSE tol END AS tol,
+        CASE WHEN spread > tol THEN s ELSE since END AS since, CASE WHEN spread > tol THEN kept ELSE low END AS low, CASE WHEN spread > tol THEN kept ELSE high END AS high
+      FROM (SELECT e.*, r.tol, r.since, r.began, r.step, CASE WHEN e.v >= 1 THEN least(low, e.v) ELSE low END AS low, CASE WHEN e.v >= 1 THEN greatest(high, e.v) ELSE high END AS high,
+          CASE WHEN e.v >= 1 THEN e.v ELSE kept END AS kept, CASE WHEN e.v >= 1 THEN greatest(high, e.v) - least(low, e.v) ELSE high - low END AS spread
+        FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))))
+SELECT user_id, event_id, round(v, 6) AS value, round(elapsed, 3) AS elapsed, round(spread, 6) AS spread, round(tol, 6) AS tol, here AS step, stable FROM r""")
+def stability_rule(spark, sf):
+    out = X.stability_batch(events(spark, sf), USER, ORDER, "ts", "value", 12.0, 60000.0, 150000.0, floor=1.0).drop("ts")
+    return rounded(out, {"value": 6, "elapsed": 3, "spread": 6, "tol": 6})
+
+
 @query("reading_limits", "SELECT event_id, value FROM events WHERE value >= 5 AND value <= 100")
 def reading_limits(spark, sf):
     return X.within_limits(events(spark, sf), "value", 5, 100).select("event_id", "value")

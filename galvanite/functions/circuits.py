@@ -156,42 +156,39 @@ def k_to_rc(r: Column, tau: Column) -> tuple[Column, Column]:
     return r, F.try_divide(tau, r)
 
 
+# Both circuits have two poles and one zero: Z(s) = R (1 + s z) / ((1 + s slow)(1 + s fast)),
+# where R is the resistance at zero frequency. They are converted by way of these times.
+
 def voigt_to_maxwell(r1: Column, c1: Column, r2: Column, c2: Column) -> tuple[Column, ...]:
-    """Two parallel RC in series -> RC parallel to a series RC: (ra, ca, rb, cb)."""
-    diff = r1 * c1 - r2 * c2
-    sq, total = diff * diff, r1 + r2
-    csum = c1 + c2
-    ca = F.try_divide(c1 * c2, csum)
-    rb = F.when(sq == 0, 0.0).otherwise(F.try_divide(r1 * r2 * total * csum * csum, sq))
-    cb = F.when(sq == 0, ca).otherwise(F.try_divide(sq, csum * total * total))
-    return total, ca, rb, cb
+    """Two parallel RC in series -> RC parallel to a series RC: (ra, ca, rb, cb).
+
+    The zero is the time constant of the series branch. With equal poles
+    there is none: rb is 0 then and cb repeats ca.
+    """
+    pole1, pole2, ra = r1 * c1, r2 * c2, r1 + r2
+    zero = F.try_divide(r1 * pole2 + r2 * pole1, ra)
+    ca = F.try_divide(pole1 * pole2, ra * zero)
+    apart = F.try_divide(pole1 - pole2, ra)
+    cb = F.try_divide(r1 * r2 * apart * apart, ra * zero)
+    return ra, ca, F.when(apart == 0, 0.0).otherwise(F.try_divide(zero, cb)), F.when(apart == 0, ca).otherwise(cb)
 
 
 def maxwell_to_voigt(ra: Column, ca: Column, rb: Column, cb: Column) -> tuple[Column, ...]:
-    """Inverse of `voigt_to_maxwell`; the slower branch comes first."""
-    zero = F.lit(0.0)
-    c_ratio = F.when(cb == 0, zero).otherwise(F.try_divide(ca, cb))
-    r_ratio = F.when(ra == 0, zero).otherwise(F.try_divide(rb, ra))
-    total = c_ratio + r_ratio + 1
-    root = F.sqrt(total * total - 4 * c_ratio * r_ratio)
-
-    def share(x: Column) -> Column:
-        return F.when(root == 0, zero).otherwise(F.try_divide(x, root))
-
-    p1, p2 = share(r_ratio - c_ratio + 1), share(c_ratio - r_ratio + 1)
-    c_a = F.when(p1 == 1, 2 * ca).otherwise(F.try_divide(2 * ca, 1 - p1))
-    c_b = F.when(p1 == 1, 2 * ca).otherwise(F.coalesce(F.try_divide(2 * ca, 1 + p1), zero))
-    r_a = F.when(p2 == 1, ra / 2).otherwise(ra / 2 * (1 + p2))
-    r_b = F.when(p2 == 1, ra / 2).otherwise(ra / 2 * (1 - p2))
-    empty = (r_a * c_a == 0) & (r_b * c_b == 0)
-    slow_first = r_a * c_a >= r_b * c_b
-    pick = lambda e, a, b: F.when(empty, e).when(slow_first, a).otherwise(b)
-    return (
-        pick(F.greatest(r_a, r_b), r_a, r_b),
-        pick(F.greatest(c_a, c_b), c_a, c_b),
-        pick(F.least(r_a, r_b), r_b, r_a),
-        pick(F.least(c_a, c_b), c_b, c_a),
-    )
+    """RC parallel to a series RC -> two parallel RC in series, the slower one first.
+
+    The time constants are the poles of the impedance and the resistances its
+    residues. Without a series branch (rb or cb 0) the parallel RC is halved.
+    """
+    zero, trace = rb * cb, ra * ca + rb * cb + ra * cb
+    product = ra * ca * zero
+    slow = (trace + F.sqrt(F.greatest(trace * trace - 4 * product, F.lit(0.0)))) / 2
+    fast = F.try_divide(product, slow)
+    part = F.try_divide(slow - zero, slow - fast)
+    r_slow, r_fast = ra * part, ra * F.try_divide(zero - fast, slow - fast)
+    alone = (zero == 0) | (ca == 0)
+    halves = (ra / 2, 2 * ca, ra / 2, 2 * ca)
+    found = (r_slow, F.try_divide(slow, r_slow), r_fast, F.try_divide(fast, r_fast))
+    return tuple(F.when(alone, h).otherwise(x) for h, x in zip(halves, found))
 
 
 def absorb_capacitance(c0: Column, r1: Column, c1: Column, r2: Column, c2: Column) -> tuple[Column, ...]:

@@ -305,3 +305,48 @@ def weighted_median(
     # Rounding may leave the last sum just below half of nothing: use the top.
     hit = F.min(F.when(F.col("_cum") >= F.col("_total") / 2, F.col(value)))
     return cum.groupBy(*keys).agg(F.coalesce(hit, F.max("_top")).alias(name))
+
+
+def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[tuple], object], schema: str) -> DataFrame:
+    """Walk the rows of each key in order and give what the walker returns.
+
+    For rules that carry a state from row to row and cannot be combined. The
+    rows stream through sorted tasks, so a key of any size takes constant
+    memory, apart from what the walker keeps. `start` makes a walker from the
+    key values; its `add(row)` and `end()` return lists of output tuples, and
+    a row is a tuple in the order of the columns.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    keys = list(keys)
+    at = [df.columns.index(k) for k in keys]
+    fields = StructType.fromDDL(schema).fields
+    names = [f.name for f in fields]
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def walk(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, walker, out = None, None, []
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                key = tuple("nan" if isinstance(row[i], float) and row[i] != row[i] else row[i] for i in at)
+                if walker is None or key != now:
+                    if walker is not None:
+                        out += walker.end()
+                    now, walker = key, start(tuple(row[i] for i in at))
+                out += walker.add(row)
+                if len(out) >= 10_000:
+                    yield packed()
+                    out = []
+        if walker is not None:
+            out += walker.end()
+        if out:
+            yield packed()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)

@@ -11,11 +11,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galvanite.functions.units import millivolt_to_celsius
-from galvanite.keyed import Ordered, attach, with_group
+from galvanite.keyed import Ordered, attach, fold_sorted, with_group
 from galvanite.operators.aggregates import cycling_test, most_frequent
 from galvanite.session import cut_lineage
 
@@ -259,65 +260,117 @@ def infer_multiplier(
     return rows.select(*df.columns, F.coalesce(F.when(wanted, best), F.lit(1.0)).alias("multiplier"))
 
 
+class TrendWalker:
+    """Temperatures of one (sample, condition, polarity) from the lowest on, each with its distinct resistances in order.
+
+    Carries mean and least of the temperature before (ten times its own for
+    the first one) and gives the mean as a bar where the largest resistance
+    reaches the least one. Holds one temperature at a time.
+    """
+
+    def __init__(self, key: tuple):
+        self.key, self.temp, self.values, self.counts, self.before, self.moved = key, None, [], [], None, 0.0
+
+    def add(self, row: tuple) -> list[tuple]:
+        temp, value, n, moved = row[3:7]
+        out = self.end() if self.values and temp != self.temp else []
+        self.temp, self.moved = temp, moved
+        self.values.append(math.nan if value is None else value)
+        self.counts.append(n)
+        return out
+
+    def end(self) -> list[tuple]:
+        v, n = np.array(self.values), np.array(self.counts)
+        self.values, self.counts = [], []
+        v, n = v[~np.isnan(v)], n[~np.isnan(v)]
+        if not len(v):
+            self.before = (math.nan, math.nan)
+            return []
+        mean, least = self.before or (10 * (v * n).sum() / n.sum(), 10 * v[0])
+        out = []
+        if v[-1] >= least:
+            out = [(*self.key, self.temp, float(mean))]
+            with np.errstate(over="ignore", divide="ignore"):
+                v = np.where(v >= mean, v / 10 ** (self.moved + _decades(v, mean)), v)
+        self.before = ((v * n).sum() / n.sum(), v.min())
+        return out
+
+
+def _decades(v: np.ndarray, mean: float) -> np.ndarray:
+    ratio = v / (mean * 0.99) if mean else np.zeros_like(v)
+    return np.ceil(np.log10(np.where(ratio > 0, ratio, 1.0)))
+
+
 def enforce_trend(
     df: DataFrame, sample: str = "sample_name", condition: str = "condition", temp: str = "temp", resistance: str = "resistance",
-    voltage: str = "voltage", multiplier: str = "multiplier", max_temps: int = 64,
+    voltage: str = "voltage", multiplier: str = "multiplier",
 ) -> DataFrame:
     """Resistance has to fall with temperature; factors move by decades.
 
-    Per (sample, condition, polarity), from the lowest temperature on: rows
-    at or above the mean of the temperature before (when the largest is at or
-    above its smallest) get their factor raised by ceil(log10(R / (.99 mean)))
-    decades. Then `dh` has to lie below `pre`/`dry` at the same temperature.
-    Exponents stay within -10..-8. Only rows with a factor other than 1 move.
-    The temperatures form a short list, walked one aggregate at a time.
+    Per (sample, condition) and polarity, negative first, each group from its
+    own lowest temperature on: where the largest resistance reaches the least
+    one of the temperature before, rows at or above its mean get their factor
+    raised by ceil(log10(R / (.99 mean))) decades. The first temperature is
+    compared with ten times itself. After each polarity the exponents of the
+    (sample, condition) are moved into -10..-8, which the second polarity sees
+    for the rows it raises. Then `dh` has to lie below `pre`/`dry` at the same
+    temperature, by one shift per sample. Only rows with a known factor other
+    than 1 move; a temperature without values ends the comparison with what
+    was before it.
+
+    The walk sees distinct resistances with their counts; everything after it
+    works on that table too, and the rows are joined with the result once.
     """
-    open_rows = F.col(multiplier) != 1
-    # One walk step per distinct temperature; the list is short and checked.
-    steps = [r[0] for r in df.where(open_rows).select(temp).distinct().orderBy(temp).limit(max_temps + 1).collect()]
-    if len(steps) > max_temps:
-        raise ValueError(f"more than {max_temps} temperatures; round them first")
-    gk = [sample, condition, "_pol"]
-    rows = df.withColumn("_pol", F.signum(F.col(voltage))).withColumn("_shift", F.lit(0.0))
-    state = None
-    now = F.col(resistance) / F.pow(F.lit(10.0), F.col("_shift"))
-    for k, t in enumerate(steps):
-        here = rows.where(open_rows & (F.col(temp) == t) & F.col("_pol").isin(-1.0, 1.0) & F.col(resistance).isNotNull())
-        if state is None:
-            state = here.groupBy(*gk).agg((10 * F.avg(now)).alias("_mean"), (10 * F.min(now)).alias("_min"))
-        top = here.groupBy(*gk).agg(F.max(now).alias("_top"))
-        facts = attach(top, state, gk)
-        moved = attach(rows, facts, gk)
-        bad = open_rows & (F.col(temp) == t) & (F.col("_top") >= F.col("_min")) & (now >= F.col("_mean"))
-        shift = F.ceil(F.log10(F.try_divide(now, F.col("_mean") * 0.99)))
-        rows = moved.withColumn("_shift", F.when(F.coalesce(bad, F.lit(False)), F.col("_shift") + shift).otherwise(F.col("_shift"))).drop("_top", "_mean", "_min")
-        rows = cut_lineage(rows)
-        fresh = rows.where(open_rows & (F.col(temp) == t) & F.col("_pol").isin(-1.0, 1.0) & F.col(resistance).isNotNull())
-        new = fresh.groupBy(*gk).agg(F.avg(now).alias("_mean"), F.min(now).alias("_min"))
-        state = cut_lineage(new.unionByName(attach(state, new, gk, "left_anti")))
-    rows = rows.withColumn("_m", F.col(multiplier) * F.pow(F.lit(10.0), F.col("_shift")))
-
-    def clamp(rows: DataFrame, keys: list[str]) -> DataFrame:
-        lg = F.when(open_rows, F.log10(F.when(F.col("_m") > 0, F.col("_m"))))
-        lim = with_group(rows, keys, F.min(lg).alias("_lo"), F.max(lg).alias("_hi"))
-        fix = F.when(F.col("_lo") < -10, -10 - F.col("_lo")).when(F.col("_hi") > -8, -8 - F.col("_hi")).otherwise(0.0)
-        return lim.withColumn("_m", F.when(open_rows, F.col("_m") * F.pow(F.lit(10.0), fix)).otherwise(F.col("_m"))).drop("_lo", "_hi")
-
-    rows = clamp(rows, [sample, condition])
-    # Resistance after the factor change: I scales with the factor, R inversely.
-    rows = rows.withColumn("_r", F.when(open_rows, F.col(resistance) * F.col(multiplier) / F.col("_m")).otherwise(F.col(resistance)))
-    dh = F.when((F.col(condition) == "dh") & open_rows, F.col("_r"))
-    rest = F.when(F.col(condition).isin("pre", "dry"), F.col("_r"))
-    per = rows.groupBy(sample, temp).agg(F.avg(dh).alias("_dh"), F.avg(rest).alias("_rest"))
-    need = per.groupBy(sample).agg(F.max(F.when(F.col("_dh") >= F.col("_rest"), F.ceil(F.log10(F.col("_dh") / (F.col("_rest") * 0.99))))).alias("_need"))
-    rows = attach(rows, need, [sample])
-    raised = (F.col(condition) == "dh") & open_rows & F.col("_need").isNotNull()
-    rows = rows.withColumn("_m", F.when(raised, F.col("_m") * F.pow(F.lit(10.0), F.col("_need"))).otherwise(F.col("_m")))
-    touched = clamp(rows.where(F.col("_need").isNotNull()), [sample])
-    rows = touched.unionByName(rows.where(F.col("_need").isNull()))
-    out_r = F.when(open_rows, F.col(resistance) * F.col(multiplier) / F.col("_m")).otherwise(F.col(resistance))
+    open_ = F.coalesce(F.col(multiplier) != 1, F.lit(False))
+    pol = F.signum(F.coalesce(F.col(voltage), F.lit(0.0)))
+    value, lg = F.col(resistance).cast("double"), F.log10(F.when(F.col(multiplier) > 0, F.col(multiplier)))
+    rows = df.select(
+        F.col(sample).alias("s"), F.col(condition).alias("c"), pol.alias("p"), F.col(temp).alias("t"),
+        F.when(~F.isnan(value), value).alias("r"), open_.alias("open"), lg.alias("lg"))
+    table = cut_lineage(rows.groupBy("s", "c", "p", "t", "r", "open").agg(F.count(F.lit(1)).alias("n"), F.min("lg").alias("lo"), F.max("lg").alias("hi")))
+    some = table.where("open").groupBy("s", "c").agg(
+        F.max(F.col("r").isNotNull()).alias("able"), *[F.max(F.col("p") == F.lit(float(p))).alias(f"has{k}") for k, p in enumerate((-1, 1))])
+    # A shift is what the factors of a row rise by, in decades.
+    state = attach(table, some, ["s", "c"]).select("*", F.lit(0.0).alias("shift"), F.lit(0.0).alias("fix"), F.lit(None).cast("double").alias("bar"))
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    for k, p in enumerate((-1.0, 1.0)):
+        here = state.where(F.col("open") & F.col("able") & (F.col("p") == p) & F.col("t").isNotNull())
+        short = here.groupBy("s", "c", "p", "t", "r").agg(F.sum("n").alias("n"), F.max("fix").alias("fix")).select("s", "c", "p", "t", "r", "n", "fix")
+        bars = fold_sorted(short, ["s", "c", "p"], ["t", "r"], TrendWalker, f"s {kinds['s']}, c {kinds['c']}, p double, t {kinds['t']}, own double")
+        state = attach(state, bars, ["s", "c", "p", "t"]).withColumn("bar", F.coalesce("own", "bar")).drop("own")
+        here = F.col("open") & (F.col("p") == p) & (F.col("r") >= F.col("bar"))
+        state = state.withColumn("shift", F.when(here, _decades_column(F.col("r"), F.col("bar"))).otherwise(F.col("shift")))
+        able = F.col("able") & F.col(f"has{k}") & F.col("open")
+        at = F.col("shift") + F.col("fix")
+        lim = state.where(able).groupBy("s", "c").agg(F.min(F.col("lo") + at).alias("_lo"), F.max(F.col("hi") + at).alias("_hi"))
+        state = attach(state, lim.select("s", "c", _into_range().alias("_fix")), ["s", "c"])
+        state = cut_lineage(state.withColumn("fix", F.col("fix") + F.coalesce("_fix", F.lit(0.0))).drop("_fix"))
+    total = F.when(F.col("open"), F.col("shift") + F.col("fix")).otherwise(0.0)
+    state = state.withColumn("total", total).withColumn("now", F.try_divide(F.col("r"), F.pow(F.lit(10.0), F.col("total"))))
+    mean = lambda cond: F.try_divide(F.sum(F.when(cond, F.col("now") * F.col("n"))), F.sum(F.when(cond & F.col("now").isNotNull(), F.col("n"))))
+    per = state.where(F.col("t").isNotNull()).groupBy("s", "t").agg(mean((F.col("c") == "dh") & F.col("open")).alias("dh"), mean(F.col("c").isin("pre", "dry")).alias("rest"))
+    need = per.groupBy("s").agg(F.max(F.when(F.col("dh") >= F.col("rest"), _decades_column(F.col("dh"), F.col("rest")))).alias("need"))
+    state = attach(state, need, ["s"])
+    raised = F.when((F.col("c") == "dh") & (F.col("need") > 0), F.col("need")).otherwise(0.0)
+    last = state.where(F.col("open") & (F.col("need") > 0)).groupBy("s").agg(F.min(F.col("lo") + F.col("total") + raised).alias("_lo"), F.max(F.col("hi") + F.col("total") + raised).alias("_hi"))
+    state = attach(state, last.select("s", _into_range().alias("_last")), ["s"])
+    group = state.groupBy("s", "c", "p", "t").agg(F.max("bar").alias("_bar"), F.max(F.col("fix") + raised + F.coalesce("_last", F.lit(0.0))).alias("_all"))
+    named = group.select(F.col("s").alias(sample), F.col("c").alias(condition), F.col("p").alias("_p"), F.col("t").alias(temp), "_bar", "_all")
+    out = attach(df.withColumn("_p", pol), named, [sample, condition, "_p", temp])
+    own = F.when(value >= F.col("_bar"), _decades_column(value, F.col("_bar"))).otherwise(0.0)
+    by = F.when(open_, F.pow(F.lit(10.0), F.coalesce(own, F.lit(0.0)) + F.col("_all"))).otherwise(1.0)
     keep = [c for c in df.columns if c not in (multiplier, resistance)]
-    return rows.select(*keep, F.when(open_rows, F.col("_m")).otherwise(F.col(multiplier)).alias(multiplier), out_r.alias(resistance))
+    return out.select(*keep, (F.col(multiplier) * by).alias(multiplier), F.try_divide(value, by).alias(resistance))
+
+
+def _decades_column(value: Column, mean: Column) -> Column:
+    ratio = F.try_divide(value, mean * 0.99)
+    return F.when(ratio > 0, F.ceil(F.log10(F.when(ratio > 0, ratio))).cast("double")).otherwise(0.0)
+
+
+def _into_range() -> Column:
+    """Decades that move the exponents `_lo`.._hi` into -10..-8."""
+    return F.when(F.col("_lo") < -10, -10 - F.col("_lo")).when(F.col("_hi") > -8, -8 - F.col("_hi")).otherwise(0.0)
 
 
 # --- roles of sweep columns -------------------------------------------------------

@@ -17,6 +17,28 @@ from galvanite.plans.kernels import grubbs_critical
 from galvanite.session import cut_lineage
 
 
+class Moments:
+    """Count, mean and sum of squares of the values from each place of a list to its end, built from the end."""
+
+    def __init__(self, values: list[float]):
+        self.all = [(0, 0.0, 0.0)]
+        for v in reversed(values):
+            n, mean, m2 = self.all[-1]
+            gap = v - mean
+            mean += gap / (n + 1)
+            self.all.append((n + 1, mean, m2 + gap * (v - mean)))
+        self.all.reverse()
+
+    @staticmethod
+    def joined(*parts: tuple[int, float, float]) -> tuple[int, float, float]:
+        n, mean, m2 = parts[0]
+        for k, other, more in parts[1:]:
+            if k:
+                gap = other - mean
+                n, mean, m2 = n + k, mean + gap * k / (n + k), m2 + more + gap * gap * n * k / (n + k)
+        return n, mean, m2
+
+
 def clip_sequence(
     low: list[tuple[float, int]], high: list[tuple[float, int]], core: tuple[int, float, float], alpha: float, allowed: int
 ) -> tuple[list[tuple[int, bool]], bool]:
@@ -24,45 +46,45 @@ def clip_sequence(
 
     The value farthest from the mean is always the smallest or the largest
     one left, so the two tails and the moments (n, mean, M2) of the rest are
-    enough. Returns [(position, was an outlier)] and whether a tail ran out.
+    enough; equal distances go by position. What is left of a tail has its
+    moments from the inside, so a removal costs the same whatever came before.
+    Returns [(position, was an outlier)] and whether a tail ran out.
     """
-    lo, hi = list(low), list(high)
-    n_c, mean_c, m2_c = core
     removed: list[tuple[int, bool]] = []
     provisional: set[int] = set()
-    calm = 0
+    calm, limit = 0, float("inf")  # critical values fall with n, so an earlier one is an upper bound
     while True:
-        vals = np.array([v for v, _ in lo] + [v for v, _ in hi])
-        n = n_c + len(vals)
-        if n <= 3:
-            return removed, False
-        if len(vals) == 0:
-            return removed, True
-        mean = (n_c * mean_c + vals.sum()) / n
-        m2 = m2_c + n_c * (mean_c - mean) ** 2 + ((vals - mean) ** 2).sum()
-        std = np.sqrt(m2 / (n - 1))
-        if std == 0:
-            return removed, False
-        if n_c and (not lo or not hi):
-            return removed, True
-        ends = [(abs(side[0][0] - mean), -side[0][1], side) for side in (lo, hi) if side]
-        if not n_c:
-            every = [(abs(v - mean), -i, side, k) for side in (lo, hi) for k, (v, i) in enumerate(side)]
-            dist, neg, side, k = max(every, key=lambda e: (e[0], e[1]))
-        else:
-            dist, neg, side = max(ends, key=lambda e: (e[0], e[1]))
-            k = 0
-        pos = -neg
-        if dist / std <= grubbs_critical(n, alpha):
-            calm += 1
-            if calm >= allowed:
-                return [r for r in removed if r[0] not in provisional], False
-            provisional.add(pos)
-            removed.append((pos, False))
-        else:
-            calm, provisional = 0, set()
-            removed.append((pos, True))
-        side.pop(k)
+        if not core[0]:
+            # Nothing but tails: both halves of what is left, split anew whenever one of them is used up.
+            left = sorted(low + high)
+            low, high = left[: len(left) // 2], sorted(left[len(left) // 2:], key=lambda e: (-e[0], e[1]))
+        below, above = Moments([v for v, _ in low]), Moments([v for v, _ in high])
+        a = b = 0
+        while True:
+            n, mean, m2 = Moments.joined(core, below.all[a], above.all[b])
+            if n <= 3 or m2 <= 0:
+                return removed, False
+            if a == len(low) or b == len(high):
+                if core[0]:
+                    return removed, True
+                break
+            ends = [(abs(v - mean), -i) for v, i in (low[a], high[b])]
+            side = 0 if ends[0] > ends[1] else 1
+            pos, score = -ends[side][1], ends[side][0] / np.sqrt(m2 / (n - 1))
+            out = score > limit
+            if not out:
+                limit = grubbs_critical(n, alpha)
+                out = score > limit
+            if out:
+                calm, provisional = 0, set()
+            else:
+                calm += 1
+                if calm >= allowed:
+                    return [r for r in removed if r[0] not in provisional], False
+                provisional.add(pos)
+            removed.append((pos, out))
+            a, b = a + (side == 0), b + (side == 1)
+        low, high = low[a:], high[b:]
 
 
 def grubbs_clip(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvanite.keyed import Ordered, attach, has_hot_group, quantiles, with_group
+from galvanite.keyed import Ordered, attach, fold_sorted, has_hot_group, quantiles, with_group
+from galvanite.session import cut_lineage
 
 
 def gradient(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "gradient") -> DataFrame:
@@ -260,21 +262,77 @@ def settle_limit(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 def skew_limit(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, threshold: float) -> DataFrame:
     """First index where mean/median of the remaining |steps| is below the threshold.
 
-    A suffix median needs its whole suffix, so this operator works on
-    segments within the group limit and says so otherwise.
+    A key within the group limit is walked from its end with the halves of
+    what has passed in two heaps. In larger ones the medians of all suffixes
+    are found together, one bit of their rank at a time (`suffix_medians`).
     """
+    keys = list(keys)
     steps, split = signed_steps(df, keys, order, value)
-    steps = steps.where(F.col("_d").isNotNull()).withColumn("_a", F.abs("_d"))
-    if split:
-        raise ValueError("skew_limit needs segments below the group limit; segment the run first")
-    w = Window.partitionBy(*keys).orderBy("_i").rowsBetween(0, Window.unboundedFollowing)
-    ratio = F.try_divide(F.avg("_a").over(w), F.percentile("_a", 0.5).over(w))
-    got = steps.withColumn("_ratio", ratio)
-    hit = F.min(F.when((F.col("_ratio") < threshold) & (F.col("_i") < F.col("_n") - 2), F.col("_i")))
-    out = got.groupBy(*keys).agg(F.coalesce(hit, F.max("_n") - 1).cast("long").alias("skew_limit"))
-    return attach(df.select(*keys).distinct(), out, keys).withColumn(
-        "skew_limit", F.coalesce("skew_limit", F.lit(0)).cast("long")
-    )
+    steps = steps.where(F.col("_d").isNotNull()).select(*keys, "_i", "_n", F.abs("_d").alias("_a"))
+    if not split:
+        kinds = dict(steps.dtypes)
+        shape = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "skew_limit long"
+        back = steps.select(*keys, (-F.col("_i")).alias("_back"), "_n", F.col("_a").cast("double").alias("_a"))
+        out = fold_sorted(back, keys, ["_back"], lambda key: SkewWalker(key, threshold), shape)
+    else:
+        means = Ordered(steps, keys, ["_i"], split=True).running({"_s": ("sum", F.col("_a")), "_c": ("sum", F.lit(1))}, reverse=True)
+        got = attach(means, suffix_medians(steps, keys, "_i", "_a"), [*keys, "_i"])
+        low = F.try_divide(F.col("_s") / F.col("_c"), F.col("median")) < threshold
+        out = got.groupBy(*keys).agg(F.coalesce(F.min(F.when(low & (F.col("_i") < F.col("_n") - 2), F.col("_i"))), F.max("_n") - 1).cast("long").alias("skew_limit"))
+    return attach(df.select(*keys).distinct(), out, keys).withColumn("skew_limit", F.coalesce("skew_limit", F.lit(0)).cast("long"))
+
+
+class SkewWalker:
+    """Steps of one key from the last to the first: the smaller half in a heap of negatives, the larger half in another."""
+
+    def __init__(self, key: tuple, threshold: float):
+        self.key, self.threshold, self.small, self.large, self.total, self.n, self.hit, self.last = key, threshold, [], [], 0.0, 0, None, 0
+
+    def add(self, row: tuple) -> list[tuple]:
+        back, size, step = row[-3:]
+        heapq.heappush(self.large, -heapq.heappushpop(self.small, -step))
+        if len(self.large) > len(self.small):
+            heapq.heappush(self.small, -heapq.heappop(self.large))
+        self.total, self.n, self.last = self.total + step, self.n + 1, size
+        median = -self.small[0] if self.n % 2 else (self.large[0] - self.small[0]) / 2
+        if median and self.total / self.n / median < self.threshold and -back < size - 2:
+            self.hit = -back
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(*self.key, self.last - 1 if self.hit is None else self.hit)]
+
+
+def suffix_medians(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Median of the values from each row to the end of its key: (keys, order, median).
+
+    Values get ranks 0, 1, ... per key. All medians are searched together,
+    from the highest bit of their rank to the lowest: among the values that
+    share the bits found so far, a running count from the end says how many
+    of a suffix continue with a zero; the search goes on there or behind
+    them. Every bit is one ordered pass over blocks, so keys of any size
+    work, in n log n steps.
+    """
+    keys = list(keys)
+    ranked = Ordered(df.select(*keys, F.col(order).alias("_o"), F.col(value).alias("_v")), keys, ["_v", "_o"]).positions("_rank")
+    rows = cut_lineage(ranked)
+    most = rows.agg(F.max("_rank")).first()[0]
+    bits = max(1, int(most or 0).bit_length())
+    size = Ordered(rows, keys, ["_o"]).running({"_m": ("sum", F.lit(1).cast("long"))}, reverse=True)
+    # One search for each of the two middle places of a suffix, as 0-based places among its values.
+    asked = size.select(*keys, "_o", F.posexplode(F.array(F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2))).alias("_which", "_k")).withColumn("_node", F.lit(0).cast("long"))
+    for bit in range(bits - 1, -1, -1):
+        zero = F.when(F.shiftright("_rank", bit).bitwiseAND(F.lit(1)) == 0, 1).otherwise(0).cast("long")
+        there = rows.select(*keys, F.shiftright("_rank", bit + 1).alias("_node"), "_o", F.lit(1).alias("_which"), F.lit(None).cast("long").alias("_k"), zero.alias("_z"), F.lit(2).alias("_kind"))
+        both = there.unionByName(asked.select(*keys, "_node", "_o", "_which", "_k", F.lit(0).cast("long").alias("_z"), F.lit(1).alias("_kind")))
+        # From the end, a value counts before the search that starts at its own row.
+        seen = Ordered(both, [*keys, "_node"], ["_o", "_kind", "_which"]).running({"_zeros": ("sum", F.col("_z"))}, reverse=True).where("_kind = 1")
+        inside = F.col("_k") < F.col("_zeros")
+        asked = cut_lineage(seen.select(
+            *keys, "_o", "_which", F.when(inside, F.col("_k")).otherwise(F.col("_k") - F.col("_zeros")).alias("_k"),
+            (F.col("_node") * 2 + F.when(inside, 0).otherwise(1)).alias("_node")))
+    found = attach(asked, rows.select(*keys, F.col("_rank").alias("_node"), "_v"), [*keys, "_node"])
+    return found.groupBy(*keys, F.col("_o").alias(order)).agg(F.avg("_v").alias("median"))
 
 
 def trim_voltage(

@@ -201,13 +201,15 @@ def _log_steps(lo: Column, hi: Column, count: int) -> Column:
 
 
 def grid_fit(
-    df: DataFrame, keys: Sequence[str], t: str, y: str, model: str = "exp", points: int = 31, rounds: int = 3, fine: int = 13,
-    betas: Sequence[float] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), low: float | None = None, high: float | None = None,
+    df: DataFrame, keys: Sequence[str], t: str, y: str, model: str = "exp", points: int = 31, rounds: int | None = None, fine: int = 13,
+    betas: Sequence[float] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), low: float | None = None, high: float | None = None, tolerance: float = 1e-6,
 ) -> DataFrame:
     """One-term fit (exp, power, stretch_exp) by refined candidate grids.
 
     The first grid spans the mean step / 10 to ten times the duration; each
-    round zooms in between the neighbours of the best candidate.
+    round zooms in between the neighbours of the best candidate of every key
+    whose grid is still wider than `tolerance` decades. `rounds` ends it
+    early; `converged` says whether the tolerance was reached.
     """
     keys = list(keys)
     x = F.col(t).cast("double")
@@ -226,28 +228,38 @@ def grid_fit(
     span = span.withColumn("_a", a).withColumn("_step", (b - a) / (points - 1))
     cands = span.select(*keys, pair(_log_steps(F.col("_a"), F.col("_a") + F.col("_step") * (points - 1), points),
                                     F.array(*[F.lit(float(v)) for v in use_beta])).alias("cands"))
-    best = grid_round(df, keys, t, y, cands, model)
-    step = span.select(*keys, "_step")
     bstep = (use_beta[1] - use_beta[0]) if len(use_beta) > 1 else 0.0
-    shrink = 1.0
-    for _ in range(rounds):
-        here = attach(best, step, keys)
-        c, s = F.log10("tau0"), F.col("_step") * shrink
-        bs = (
-            F.transform(F.array(*[F.lit(v) for v in (-1.0, -0.5, 0.0, 0.5, 1.0)]),
-                        lambda k: F.least(F.greatest(F.col("beta0") + k * bstep * shrink, F.lit(0.01)), F.lit(1.0)))
-            if len(use_beta) > 1 else F.array(F.lit(1.0))
-        )
-        cands = here.select(*keys, pair(_log_steps(c - s, c + s, fine), F.array_distinct(bs)).alias("cands"))
-        best = grid_round(df, keys, t, y, cands, model)
-        shrink *= 2.0 / (fine - 1)
-    return best
 
+    def zoomed(open_: DataFrame, shrink: float) -> DataFrame:
+        c, s = F.log10("tau0"), F.col("_step")
+        bs = F.array(F.lit(1.0))
+        if len(use_beta) > 1:
+            bs = F.transform(F.array(*[F.lit(v) for v in (-1.0, -0.5, 0.0, 0.5, 1.0)]), lambda k: F.least(F.greatest(F.col("beta0") + k * bstep * shrink, F.lit(0.01)), F.lit(1.0)))
+        got = grid_round(df, keys, t, y, open_.select(*keys, pair(_log_steps(c - s, c + s, fine), F.array_distinct(bs)).alias("cands")), model)
+        return attach(got, open_.select(*keys, (s * 2.0 / (fine - 1)).alias("_step")), keys)
+
+    first = attach(grid_round(df, keys, t, y, cands, model), span.select(*keys, "_step"), keys)
+    return _refine(first, lambda open_, r: zoomed(open_, (2.0 / (fine - 1)) ** r), tolerance, rounds)
+
+
+def _refine(state: DataFrame, zoom: Callable[[DataFrame, int], DataFrame], tolerance: float, rounds: int | None) -> DataFrame:
+    """Rounds of `zoom` on the keys whose `_step` is above the tolerance; adds rounds and converged."""
+    open_ = cut_lineage(state.withColumn("rounds", F.lit(0)))
+    done, r = [], 0
+    wide = F.col("_step") > tolerance
+    while (rounds is None or r < rounds) and not open_.where(wide).isEmpty():
+        done.append(open_.where(~wide))
+        open_ = cut_lineage(zoom(open_.where(wide), r).withColumn("rounds", F.lit(r + 1)))
+        r += 1
+    out = reduce(DataFrame.unionByName, [*done, open_])
+    return out.withColumn("converged", ~wide).drop("_step")
 
-def double_grid_fit(df: DataFrame, keys: Sequence[str], t: str, y: str, points: int = 12, rounds: int = 2) -> DataFrame:
+
+def double_grid_fit(df: DataFrame, keys: Sequence[str], t: str, y: str, points: int = 12, rounds: int | None = None, tolerance: float = 1e-3) -> DataFrame:
     """Two exponentials with offset: pairs of time constants as candidates.
 
-    For each pair the 3x3 normal equations follow from centred sums.
+    For each pair the 3x3 normal equations follow from centred sums. Rounds
+    as in `grid_fit`.
     """
     keys = list(keys)
     x = F.col(t).cast("double")
@@ -263,15 +275,8 @@ def double_grid_fit(df: DataFrame, keys: Sequence[str], t: str, y: str, points:
 
     rows = df.select(*keys, x.alias("_t"), F.col(y).cast("double").alias("_y")).where(F.col("_t").isNotNull() & F.col("_y").isNotNull())
     grid = _log_steps(F.col("_a"), F.col("_z"), points)
-    cands = span.select(*keys, pairs(grid, grid).alias("cands"))
-    step, shrink, best = span.select(*keys, "_step"), 1.0, None
-    for r in range(rounds + 1):
-        if best is not None:
-            here = attach(best, step, keys)
-            s = F.col("_step") * shrink
-            cands = here.select(*keys, pairs(_log_steps(F.log10("tau0") - s, F.log10("tau0") + s, 7),
-                                             _log_steps(F.log10("tau1") - s, F.log10("tau1") + s, 7)).alias("cands"))
-            shrink /= 3.0
+
+    def best_of(cands: DataFrame) -> DataFrame:
         sp = attach(rows, cands, keys, "inner").select(*keys, "_t", "_y", F.explode("cands").alias("_c")).select(*keys, "_t", "_y", "_c.t1", "_c.t2")
         e1, e2, v = F.exp(-F.col("_t") / F.col("t1")), F.exp(-F.col("_t") / F.col("t2")), F.col("_y")
         agg = sp.groupBy(*keys, "t1", "t2").agg(
@@ -286,8 +291,15 @@ def double_grid_fit(df: DataFrame, keys: Sequence[str], t: str, y: str, points:
         rss = F.coalesce(F.greatest(F.col("yy") - a1 * F.col("y1") - a2 * F.col("y2"), F.lit(0.0)), F.lit(float("inf")))
         item = F.struct(a1.alias("a0"), F.col("t1").alias("tau0"), a2.alias("a1"), F.col("t2").alias("tau1"),
                         (F.col("my") - a1 * F.col("m1") - a2 * F.col("m2")).alias("b0"), rss.alias("rss"), "n")
-        best = agg.groupBy(*keys).agg(F.min_by(item, F.struct(rss, "t1", "t2")).alias("_b")).select(*keys, "_b.*")
-    return best.where(F.col("a0").isNotNull())
+        return agg.groupBy(*keys).agg(F.min_by(item, F.struct(rss, "t1", "t2")).alias("_b")).select(*keys, "_b.*")
+
+    def zoomed(open_: DataFrame, r: int) -> DataFrame:
+        s = F.col("_step")
+        cands = open_.select(*keys, pairs(_log_steps(F.log10("tau0") - s, F.log10("tau0") + s, 7), _log_steps(F.log10("tau1") - s, F.log10("tau1") + s, 7)).alias("cands"))
+        return attach(best_of(cands), open_.select(*keys, (s / 3.0).alias("_step")), keys)
+
+    first = attach(best_of(span.select(*keys, pairs(grid, grid).alias("cands"))), span.select(*keys, "_step"), keys)
+    return _refine(first.where(F.col("a0").isNotNull()), zoomed, tolerance, rounds).where(F.col("a0").isNotNull())
 
 
 # --- polish --------------------------------------------------------------------
@@ -320,10 +332,21 @@ def _derivatives(f: Callable, t: Column, params: Sequence[Column]) -> list[Colum
     return out
 
 
-def normal_equations(df: DataFrame, keys: Sequence[str], t: str, y: str, model, params: DataFrame, weight: str | None = None, loss: str = "linear") -> DataFrame:
+# Loss of a squared residual z and its derivative, which weights the row.
+LOSSES: dict[str, Callable[[Column], tuple[Column, Column]]] = {
+    "linear": lambda z: (z, F.lit(1.0)),
+    "cauchy": lambda z: (F.log1p(z), 1 / (1 + z)),
+    "soft_l1": lambda z: (2 * (F.sqrt(1 + z) - 1), 1 / F.sqrt(1 + z)),
+    "huber": lambda z: (F.when(z <= 1, z).otherwise(2 * F.sqrt(z) - 1), F.when(z <= 1, 1.0).otherwise(1 / F.sqrt(z))),
+    "arctan": lambda z: (F.atan(z), 1 / (1 + z * z)),
+}
+
+
+def normal_equations(df: DataFrame, keys: Sequence[str], t: str, y: str, model, params: DataFrame, weight: str | None = None, loss="linear") -> DataFrame:
     """Aggregated JtWJ (upper triangle), JtWr, cost and rows per key.
 
-    `params` has (keys, p array<double>).
+    `params` has (keys, p array<double>). `loss` is a name of LOSSES or a
+    function of the same kind.
     """
     f, names = model_of(model)
     rows = attach(df.select(*keys, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"),
@@ -334,9 +357,8 @@ def normal_equations(df: DataFrame, keys: Sequence[str], t: str, y: str, model,
         *keys, "_w", (F.col("_y") - f(F.col("_t"), *ps)).alias("_r"), *[j.alias(f"_j{k}") for k, j in enumerate(jac)]
     )
     r = F.col("_r") * F.col("_w")
-    robust = 1 / (1 + r * r) if loss == "cauchy" else F.lit(1.0)
+    cost, robust = (LOSSES[loss] if isinstance(loss, str) else loss)(r * r)
     w = F.col("_w") * F.col("_w") * robust
-    cost = F.log1p(r * r) if loss == "cauchy" else r * r
     k = len(names)
     aggs = [F.sum(w * F.col(f"_j{a}") * F.col(f"_j{b}")) for a in range(k) for b in range(a, k)]
     grads = [F.sum(w * F.col(f"_j{a}") * F.col("_r")) for a in range(k)]
@@ -352,15 +374,23 @@ def _square(flat: np.ndarray, k: int) -> np.ndarray:
     return a + np.triu(a, 1).T
 
 
+MOST_ROUNDS = 500
+
+
 def gauss_newton(
-    df: DataFrame, keys: Sequence[str], t: str, y: str, model, start: DataFrame, iterations: int = 8, weight: str | None = None,
-    loss: str = "linear", lower: str | None = None, upper: str | None = None,
+    df: DataFrame, keys: Sequence[str], t: str, y: str, model, start: DataFrame, iterations: int | None = None, weight: str | None = None,
+    loss="linear", lower: str | None = None, upper: str | None = None, ftol: float = 1e-8, xtol: float = 1e-8,
 ) -> DataFrame:
     """Damped Gauss-Newton for all segments together.
 
     `start` has (keys, p array<double>) and optional bound arrays. Each round
-    is one aggregation over the data and a small solve per key on the state
-    table. Result: (keys, p, std, cost, rss, n).
+    is one aggregation over the rows of the segments that are still open and
+    a small solve per key on the state table. A segment is done when a round
+    gains less than `ftol` of its cost, when its step is below `xtol` of the
+    parameters, or when no step lowers the cost any more. Result: (keys, p,
+    std, cost, rss, n, rounds, converged); segments that stay open for
+    `iterations` rounds (at most MOST_ROUNDS) or have no finite cost are not
+    converged.
     """
     keys = list(keys)
     _, names = model_of(model)
@@ -373,39 +403,57 @@ def gauss_newton(
         (F.col(upper) if upper else F.array(*[F.lit(inf)] * k)).cast("array<double>").alias("ub"),
         F.col("p").cast("array<double>").alias("best"), F.lit(inf).alias("best_cost"), F.lit(1e-3).alias("damp"),
         F.array().cast("array<double>").alias("a"), F.array().cast("array<double>").alias("g"),
-        F.lit(inf).alias("best_rss"), F.lit(0).cast("long").alias("rows"),
+        F.lit(inf).alias("best_rss"), F.lit(0).cast("long").alias("rows"), F.lit(0).alias("rounds"), F.lit(True).alias("open"), F.lit(False).alias("converged"),
     )
-    fields = ["p", "lb", "ub", "best", "best_cost", "damp", "a", "g", "best_rss", "rows"]
+    fields = ["p", "lb", "ub", "best", "best_cost", "damp", "a", "g", "best_rss", "rows", "rounds", "open", "converged"]
     schema = "".join(f"`{c}` {types[c]}, " for c in keys) + (
         "p array<double>, lb array<double>, ub array<double>, best array<double>, best_cost double, damp double, "
-        "a array<double>, g array<double>, best_rss double, rows long"
+        "a array<double>, g array<double>, best_rss double, rows long, rounds int, open boolean, converged boolean"
     )
 
+    def advance(row: dict) -> None:
+        cost, before = row["cost"], row["best_cost"]
+        row["rounds"] += 1
+        done = False
+        if cost is not None and np.isfinite(cost) and cost < before:
+            done = np.isfinite(before) and before - cost <= ftol * max(cost, 1e-300) or cost == 0
+            row.update(best=row["p"], best_cost=cost, a=row["jtj"], g=row["jtr"], best_rss=row["rss"], rows=row["n"], damp=max(row["damp"] / 6, 1e-12))
+        else:
+            row["damp"] *= 8
+            done = row["damp"] > 1e10
+        best = np.asarray(row["best"], float)
+        solid = len(row["a"]) and np.all(np.isfinite(row["a"])) and np.all(np.isfinite(row["g"]))
+        if solid and not done:
+            a = _square(np.asarray(row["a"], float), k)
+            d = np.where(np.diag(a) > 0, np.diag(a), 1.0)
+            step = np.linalg.lstsq(a + row["damp"] * np.diag(d), np.asarray(row["g"], float), rcond=None)[0]
+            row["p"] = np.clip(best + step, row["lb"], row["ub"])
+            done = bool(np.all(np.abs(row["p"] - best) <= xtol * np.abs(best)))
+        row["open"] = bool(solid and not done)
+        row["converged"] = bool(solid and done)
+
     def update(batches):
         for pdf in batches:
             new = []
             for row in pdf.to_dict("records"):
-                cost = row["cost"]
-                if cost is not None and np.isfinite(cost) and cost < row["best_cost"]:
-                    row.update(best=row["p"], best_cost=cost, a=row["jtj"], g=row["jtr"], best_rss=row["rss"], rows=row["n"],
-                               damp=max(row["damp"] / 6, 1e-12))
-                else:
-                    row["damp"] = min(row["damp"] * 8, 1e12)
-                best = np.asarray(row["best"], float)
-                if len(row["a"]):
-                    a = _square(np.asarray(row["a"], float), k)
-                    d = np.where(np.diag(a) > 0, np.diag(a), 1.0)
-                    if np.all(np.isfinite(a)) and np.all(np.isfinite(row["g"])):
-                        step = np.linalg.lstsq(a + row["damp"] * np.diag(d), np.asarray(row["g"], float), rcond=None)[0]
-                        row["p"] = np.clip(best + step, row["lb"], row["ub"])
+                advance(row)
                 new.append({c: row[c] for c in [*keys, *fields]})
             yield pd.DataFrame(new, columns=[*keys, *fields])
 
-    for r in range(iterations):
+    closed: list[DataFrame] = []
+    for r in range(MOST_ROUNDS if iterations is None else iterations):
         eq = normal_equations(df, keys, t, y, model, state, weight, loss)
-        state = attach(state, eq, keys).mapInPandas(update, schema)
         # Plans grow by one scan per round; materialise the small state table.
-        state = cut_lineage(state)
+        moved = cut_lineage(attach(state, eq, keys).mapInPandas(update, schema))
+        left = moved.agg(F.count(F.when(F.col("open"), 1)), F.count(F.when(~F.col("open"), 1))).first()
+        state = moved.where("open")
+        if left[1]:
+            closed.append(moved.where("NOT open"))
+            if len(closed) > 16:
+                closed = [cut_lineage(reduce(DataFrame.unionByName, closed))]
+        if not left[0]:
+            break
+    state = reduce(DataFrame.unionByName, [*closed, state])
 
     def finish(batches):
         for pdf in batches:
@@ -420,9 +468,10 @@ def gauss_newton(
             out = pdf[[*keys]].copy()
             out["p"], out["std"] = pdf["best"], stds
             out["cost"], out["rss"], out["n"] = pdf["best_cost"], pdf["best_rss"], pdf["rows"]
+            out["rounds"], out["converged"] = pdf["rounds"], pdf["converged"]
             yield out
 
-    tail = "".join(f"`{c}` {types[c]}, " for c in keys) + "p array<double>, std array<double>, cost double, rss double, n long"
+    tail = "".join(f"`{c}` {types[c]}, " for c in keys) + "p array<double>, std array<double>, cost double, rss double, n long, rounds int, converged boolean"
     return state.mapInPandas(finish, tail)
 
 
@@ -433,27 +482,34 @@ def fitted(df: DataFrame, keys: Sequence[str], t: str, model, params: DataFrame,
     return rows.withColumn(name, f(F.col(t).cast("double"), *[F.get("_p", F.lit(k)) for k in range(len(names))])).drop("_p")
 
 
-def curve_error(df: DataFrame, keys: Sequence[str], t: str, y: str, model, params: DataFrame, metric: str = "mean_abs_perc_err", weight: str | None = None) -> DataFrame:
+def curve_error(df: DataFrame, keys: Sequence[str], t: str, y: str, model, params: DataFrame, metric="mean_abs_perc_err", weight: str | None = None) -> DataFrame:
+    """Error of every segment by a named metric, or by a function of (measured, fitted, weight) that gives an aggregate."""
     rows = fitted(df, keys, t, model, params, "_fit").where(F.col("_fit").isNotNull())
+    if callable(metric):
+        return rows.groupBy(*keys).agg(metric(F.col(y), F.col("_fit"), F.col(weight) if weight else F.lit(1.0)).alias("error"))
     return error_metrics(rows, keys, y, "_fit", weight, [metric]).withColumnRenamed(metric, "error")
 
 
 def fit_curves(
     df: DataFrame, keys: Sequence[str], t: str, y: str, model: str = "exp", prior: DataFrame | None = None, start: DataFrame | None = None,
-    iterations: int = 6, loss: str = "linear", metric: str = "mean_abs_perc_err", weight: str | None = None, retain_best: bool = True,
+    iterations: int | None = None, loss="linear", metric="mean_abs_perc_err", weight: str | None = None, retain_best: bool = True, weight_inflect: float | None = None,
 ) -> DataFrame:
     """Fit every segment and keep the better of start, result and prior.
 
-    Output (keys, p, std, error, change, updated): `change` is the percent
-    gain over the prior error, within +-100.
+    Output (keys, p, std, error, rounds, converged, change, updated):
+    `change` is the percent gain over the prior error, within +-100; rounds
+    and converged are those of `gauss_newton`. Loss and metric may be names or
+    functions. `weight_inflect` gives the weights of `time_weights`.
     """
+    if weight_inflect is not None:
+        df, weight = time_weights(df, keys, t, max(-1.0, min(1.0, weight_inflect)), "_tw"), "_tw"
     keys = list(keys)
     _, names = model_of(model)
     if start is None:
         if model in ("exp", "power", "stretch_exp"):
-            grid = grid_fit(df, keys, t, y, model)
+            grid = grid_fit(df, keys, t, y, model, tolerance=1e-2)
         elif model == "double_exp":
-            grid = double_grid_fit(df, keys, t, y)
+            grid = double_grid_fit(df, keys, t, y, tolerance=1e-2)
         else:
             grid = GUESSES[model](df, keys, t, y)
         start = grid.select(*keys, F.array(*[F.col(n) for n in names]).alias("p"))
@@ -473,7 +529,7 @@ def fit_curves(
     out = out.select(
         *keys, F.when(worse, F.col("_p0")).otherwise(F.col("p")).alias("p"),
         F.when(worse, F.transform("std", lambda s: F.lit(1.0))).otherwise(F.col("std")).alias("std"),
-        F.least("_after", "_before").alias("error"),
+        F.least("_after", "_before").alias("error"), "rounds", "converged",
     )
     if prior is None:
         return out.withColumn("change", F.lit(0.0)).withColumn("updated", F.lit(True))
@@ -484,7 +540,7 @@ def fit_curves(
     take = F.lit(not retain_best) | (change >= 0) | F.col("_op").isNull()
     return both.select(
         *keys, F.when(take, F.col("p")).otherwise(F.col("_op")).alias("p"), F.when(take, F.col("std")).otherwise(F.col("_os")).alias("std"),
-        F.when(take, F.col("error")).otherwise(F.col("_oe")).alias("error"), change.alias("change"), take.alias("updated"),
+        F.when(take, F.col("error")).otherwise(F.col("_oe")).alias("error"), "rounds", "converged", change.alias("change"), take.alias("updated"),
     )
 
 
@@ -555,7 +611,7 @@ def run_fit_jobs(
     """A sequence of fits, each on the targets left by the one before.
 
     A job is {model, targets (expression on error/p0.. columns), bias,
-    iterations, loss}. The prior result is pulled towards its group before
+    iterations, loss, metric}. The prior result is pulled towards its group before
     the refit, only target segments are fitted again, and the better result
     stays. Output rows carry the number of the job that set them.
     """
@@ -566,7 +622,7 @@ def run_fit_jobs(
         _, names = model_of(model)
         same = current is not None and current.schema["p"].dataType is not None and job.get("refine", True)
         if current is None or not same:
-            got = fit_curves(segments, keys, t, y, model, iterations=job.get("iterations", 6), loss=job.get("loss", "linear"))
+            got = fit_curves(segments, keys, t, y, model, iterations=job.get("iterations"), loss=job.get("loss", "linear"), metric=job.get("metric", "mean_abs_perc_err"))
             current = cut_lineage(got.withColumn("fit_no", F.lit(no)))
             continue
         wide = current.select(*keys, "error", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(names)])
@@ -576,7 +632,7 @@ def run_fit_jobs(
             start = bias_to_group(targets, group, names, job["bias"], job.get("method", "mean"))
         start = start.select(*keys, F.array(*[F.col(n) for n in names]).alias("p"))
         todo = attach(segments, targets.select(*keys), keys, "left_semi")
-        got = fit_curves(todo, keys, t, y, model, prior=current, start=start, iterations=job.get("iterations", 6), loss=job.get("loss", "linear"))
+        got = fit_curves(todo, keys, t, y, model, prior=current, start=start, iterations=job.get("iterations"), loss=job.get("loss", "linear"), metric=job.get("metric", "mean_abs_perc_err"))
         got = got.withColumn("fit_no", F.when(F.col("updated"), no).otherwise(no - 1))
         kept = attach(current, targets.select(*keys), keys, "left_anti")
         current = cut_lineage(kept.unionByName(got, allowMissingColumns=True))
