@@ -41,7 +41,7 @@ def byte_letters() -> dict[str, int]:
 class PairTable:
     """Merge trees of a vocabulary and, kept as they are asked for, the compatible pairs."""
 
-    def __init__(self, merges: list[tuple[int, int, int]], room: int = 1 << 20):
+    def __init__(self, merges: list[tuple[int, int, int]], room: int = 1 << 18):
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(merges)}
         self.parts = {c: (r, a, b) for r, (a, b, c) in enumerate(merges)}
         self.known: dict[tuple[int, int], bool] = {}
@@ -272,8 +272,9 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = encoder(tokenizer)
         for texts in batches:
-            ids = [bpe.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(b).decode() for b in ids]})
+            for at in range(0, len(texts), 256):  # results leave in small parts
+                ids = [bpe.encode(t) for t in texts.iloc[at:at + 256]]
+                yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(b).decode() for b in ids]})
 
     return docs.select("doc_id", both(F.coalesce(F.col("text"), F.lit(""))).alias("_bpe")).select("doc_id", "_bpe.ids", "_bpe.decoded")
 
