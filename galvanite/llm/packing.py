@@ -12,12 +12,15 @@ most two groups). Rows find their place by their rank within their length.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,60 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SEGMENTS = "seg_length long, rank_from long, rank_to long, bin_from long, per_bin long, at long"
 
 
+class PieceMemo:
+    """Ids of whole texts by a memo of their pre-tokens, as little-endian bytes.
+
+    A byte-level BPE without normalizer never merges across its pre-tokens, so
+    the ids of a text are those of its pre-tokens in a row. Texts with added
+    tokens or with characters that the pattern here may class otherwise, and
+    tokenizers of another kind, go through the library as a whole. Words that
+    are new go through it too, all of a batch at once.
+    """
+
+    # Fixed value: the splitting pattern of byte-level pre-tokenizers.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, path: str, room: int = 500_000, longest: int = 64):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.able = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") \
+            and not spec["model"].get("dropout")
+        self.pattern, self.room, self.longest = regex.compile(self.PATTERN), room, longest
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.usual = set(map(chr, range(128)))
+        self.ids: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bool:
+        if not self.able or any(t in text for t in self.added):
+            return False
+        if not text.isascii() and (fresh := set(text) - self.usual):
+            self.usual |= {c for c in fresh if unicodedata.category(c) != "Cn"}
+            return not fresh - self.usual
+        return True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [self.pattern.findall(t) if self.plain(t) else None for t in texts]
+        new = set().union(*filter(None, words)).difference(self.ids)
+        if len(self.ids) + len(new) > self.room:
+            new |= set().union(*filter(None, words))
+            self.ids.clear()
+        asked = [*new, *(t for t, w in zip(texts, words) if w is None)]
+        raw = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(asked, add_special_tokens=False)]
+        self.ids.update(zip(new, raw))
+        rest = iter(raw[len(new):])
+        out = [next(rest) if w is None else b"".join(map(self.ids.__getitem__, w)) for w in words]
+        for w in new:
+            if len(w) > self.longest:
+                del self.ids[w]
+        return out
+
+
 def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, batch_chars: int = 1 << 19) -> DataFrame:
     """Token ids of each text plus `end_id`, cut into pieces of `capacity`; the first piece takes the rest.
 
@@ -37,21 +94,17 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         path = tokenizer
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        tok = Tokenizer.from_file(str(path))
-        tok.no_truncation()
-        tok.no_padding()
+        memo, end = PieceMemo(str(path)), end_id.to_bytes(4, "little")
 
         def rows(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
             of, piece, start, length, crc = [], [], [], [], []
-            for i, enc in enumerate(tok.encode_batch_fast(texts, add_special_tokens=False)):
-                tokens = np.array([*enc.ids, end_id], dtype="<u4")
+            for i, raw in enumerate(memo.encode(texts)):
+                tokens = np.frombuffer(raw + end, dtype="<u4")
                 a, n = 0, len(tokens)
                 b = n % capacity or min(capacity, n)
                 k = 0
