@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from galvanite.llm.shared import staged
+
 # Identity terms; each is swapped for the next of its line.
 IDENTITY = [
     "women men", "woman man", "girls boys", "girl boy", "gay straight lesbian bisexual", "muslim christian jewish hindu buddhist atheist",
@@ -74,6 +76,21 @@ def features_column(text: Column) -> Column:
     return make(F.coalesce(text, F.lit("")))
 
 
+def only_column(features: Column, kept: np.ndarray) -> Column:
+    """Feature lists without the features that are not kept."""
+    wanted = np.zeros(1 << BITS, dtype=bool)
+    wanted[kept] = True
+    packed = np.packbits(wanted)
+
+    @pandas_udf("array<int>")
+    def only(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.unpackbits(packed).astype(bool)
+        for lists in batches:
+            yield lists.map(lambda f: f[bits[f]])
+
+    return only(features)
+
+
 def is_held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
@@ -81,45 +98,50 @@ def is_held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, rounds: int = 200, swap_weight: float = 1.0, l2: float = 1e-3) -> np.ndarray:
     """Weights, the last one for the constant, from at most `max_rows` labelled rows.
 
-    The rows are the first ones by a hash of the id, the same on every run.
-    Only their feature numbers come to the driver, not their texts. Rows
+    The rows are the first ones by a hash of the id, the same on every run; of
+    repeated ids the least text counts. Features are counted and chosen in
+    Spark; only the chosen ones come to the driver, as one Arrow table. Rows
     without id, held-out rows and null labels are left out; without any row
     the weights give a score of one half everywhere below the threshold.
     """
     use = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id")  # at most max_rows lines of two numbers
-    rows = rows.select("doc_id", "toxic", features_column(F.col("text")).alias("f")).select("doc_id", "toxic", "f.*").dropDuplicates(["doc_id"])
-    table = rows.orderBy("doc_id").toPandas()
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = staged(rows.select("doc_id", "toxic", features_column(F.col("text")).alias("f")).select("doc_id", "toxic", "f.*"), "labelled")
+    n1, n0 = rows.agg(F.sum((F.col("toxic") > 0).cast("long")), F.sum((F.col("toxic") <= 0).cast("long"))).first()
     width = 1 << BITS
     weights = np.zeros(width + 1)
-    if not len(table):
+    if not (n1 or n0):
         weights[-1] = -2.0
         return weights
-    y = table["toxic"].to_numpy(dtype=float)
-
-    def matrix(column: pd.Series):
-        sizes = column.map(len).to_numpy()
-        return np.repeat(np.arange(len(column)), sizes), np.concatenate([np.asarray(c, dtype=np.int64) for c in column]) if sizes.sum() else np.zeros(0, dtype=np.int64)
-
-    own, other = matrix(table["own"]), matrix(table["other"])
-    # Words of few texts carry noise only: they get no weight.
-    often = np.bincount(own[1], minlength=width) >= 5
+    n1, n0 = max(n1, 1), max(n0, 1)
+    # Words of few texts carry noise only, and those alike in both kinds say nothing: they get no weight.
     # Log-odds of a word in toxic texts scale its feature, so that few rounds suffice.
-    pos = np.bincount(own[1], weights=y[own[0]], minlength=width) + 0.5
-    neg = np.bincount(own[1], weights=1 - y[own[0]], minlength=width) + 0.5
-    n1, n0 = max(y.sum(), 1.0), max((1 - y).sum(), 1.0)
-    scale = np.where(often, np.log(pos / n1) - np.log(neg / n0), 0.0)
-    scale[np.abs(scale) < 2.0] = 0.0
+    seen = rows.select(F.explode("own").alias("f"), "toxic").groupBy("f").agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("pos"))
+    scale = F.log((F.col("pos") + 0.5) / n1) - F.log((F.col("n") - F.col("pos") + 0.5) / n0)
+    found = seen.where(F.col("n") >= 5).select("f", scale.alias("scale")).where(F.abs("scale") >= 2.0).toArrow().sort_by("f")  # fewer than 2^BITS lines of two numbers
+    kept, scale = found["f"].to_numpy(), found["scale"].to_numpy()
+    table = rows.orderBy("doc_id").select("toxic", only_column(F.col("own"), kept).alias("own"), only_column(F.col("other"), kept).alias("other")).toArrow()
+    y = (table["toxic"].to_numpy() > 0).astype(float)
+    k = len(kept)
+    full, weights = weights, np.zeros(k + 1)
+
+    def matrix(name: str):
+        column = table[name].combine_chunks()
+        sizes = np.diff(column.offsets.to_numpy())
+        return np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(kept, column.flatten().to_numpy())
+
+    own, other = matrix("own"), matrix("other")
     case = np.where(y > 0, n0 / n1, 1.0) / (2 * n0)
-    n, at, m1, m2 = len(y), 0, np.zeros(width + 1), np.zeros(width + 1)
+    n, at, m1, m2 = len(y), 0, np.zeros(k + 1), np.zeros(k + 1)
 
     def margin(part):
         return np.bincount(part[0], weights=weights[part[1]] * scale[part[1]], minlength=n) + weights[-1]
 
     def back(part, g):
-        out = np.zeros(width + 1)
-        out[:-1] = np.bincount(part[1], weights=g[part[0]], minlength=width) * scale
+        out = np.zeros(k + 1)
+        out[:-1] = np.bincount(part[1], weights=g[part[0]], minlength=k) * scale
         out[-1] = g.sum()
         return out
 
@@ -130,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, rounds: in
         g = back(own, case * (p - y) + d) + back(other, -d) + l2 * weights / n
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         weights = weights - 0.1 * (m1 / (1 - 0.9**at)) / (np.sqrt(m2 / (1 - 0.99**at)) + 1e-9)
-    weights[:-1] *= scale
-    return weights
+    full[kept], full[-1] = weights[:-1] * scale, weights[-1]
+    return full
 
 
 def score_column(text: Column, weights: np.ndarray) -> Column:
