@@ -40,7 +40,7 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=100_000)
 def word_slots(word: str) -> tuple[int, ...]:
     """Feature numbers of a word and of its stems (first letters), which catch inflected forms."""
     return tuple(zlib.crc32(x.encode()) & MASK for x in (word, *(f"{word[:k]}^" for k in STEMS if len(word) >= k)))
@@ -70,8 +70,9 @@ def features_column(text: Column) -> Column:
     @pandas_udf("own array<int>, other array<int>")
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [words_of(t) for t in texts]
-            yield pd.DataFrame({"own": [slots(s) for s in sets], "other": [slots([SWAP.get(w, w) for w in s]) for s in sets]})
+            for at in range(0, len(texts), 128):  # feature lists are long: they leave in small parts
+                sets = [words_of(t) for t in texts.iloc[at:at + 128]]
+                yield pd.DataFrame({"own": [slots(s).astype(np.int32) for s in sets], "other": [slots([SWAP.get(w, w) for w in s]).astype(np.int32) for s in sets]})
 
     return make(F.coalesce(text, F.lit("")))
 
@@ -86,7 +87,8 @@ def only_column(features: Column, kept: np.ndarray) -> Column:
     def only(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bits = np.unpackbits(packed).astype(bool)
         for lists in batches:
-            yield lists.map(lambda f: f[bits[f]])
+            for at in range(0, len(lists), 128):
+                yield lists.iloc[at:at + 128].map(lambda f: f[bits[f]])
 
     return only(features)
 
@@ -174,7 +176,7 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
                 size, counts, z = max(len(words), 1), Counter(), bias
                 for word, n in Counter(words).items():
                     if (own := known.get(word)) is None:
-                        if len(known) > 200_000:
+                        if len(known) > 100_000:
                             known.clear()
                         own = known[word] = tuple(f for f in word_slots(word) if f in table)
                     for f in own:
