@@ -58,6 +58,21 @@ class PieceMemo:
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.usual = set(map(chr, range(128)))
         self.ids: dict[str, bytes] = {}
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.able and len(line) == 1 else None
+
+    def ask(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str], step: int = 1000) -> None:
+        solid = [w for w in words if not w.isspace()] if self.line is not None else []
+        groups = [solid[k:k + step] for k in range(0, len(solid), step)]
+        for group, raw in zip(groups, self.ask(["\n".join(g) for g in groups])):
+            cuts = (np.flatnonzero(np.frombuffer(raw, dtype="<u4") == self.line) * 4).tolist()
+            if len(cuts) + 1 == len(group):
+                self.ids.update(zip(group, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))))
+        rest = [w for w in words if w not in self.ids]
+        self.ids.update(zip(rest, self.ask(rest)))
 
     def plain(self, text: str) -> bool:
         if not self.able or any(t in text for t in self.added):
@@ -73,10 +88,8 @@ class PieceMemo:
         if len(self.ids) + len(new) > self.room:
             new |= set().union(*filter(None, words))
             self.ids.clear()
-        asked = [*new, *(t for t, w in zip(texts, words) if w is None)]
-        raw = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(asked, add_special_tokens=False)]
-        self.ids.update(zip(new, raw))
-        rest = iter(raw[len(new):])
+        self.learn(list(new))
+        rest = iter(self.ask([t for t, w in zip(texts, words) if w is None]))
         out = [next(rest) if w is None else b"".join(map(self.ids.__getitem__, w)) for w in words]
         for w in new:
             if len(w) > self.longest:
