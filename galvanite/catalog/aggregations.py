@@ -146,10 +146,10 @@ def nyquist_band(spark, sf):
     return rounded(out.withColumn("real", F.col("real") + 1e-7), {"real": 4, "low": 6, "high": 6})
 
 
-@query("array_attrs", """WITH a AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: round(x::DOUBLE, 1) + 0.0) AS a FROM embeddings)
+@query("array_attrs", """WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 1) + 0.0) AS a FROM embeddings)
 SELECT vec_id, list_min(a) AS low, a[1] AS first, CASE WHEN len(list_distinct(a)) = 1 THEN a[1] END AS only FROM a""")
 def array_attrs(spark, sf):
-    vals = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 1) + F.lit(0.0))
+    vals = F.transform("embedding", lambda x: F.round(x.cast("double"), 1) + F.lit(0.0))
     return table(spark, sf, "embeddings").select(
         "vec_id", A.array_attrs(vals, "min").alias("low"), A.array_attrs(vals, "first").alias("first"), A.array_attrs(vals).alias("only")
     )

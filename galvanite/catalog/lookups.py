@@ -166,10 +166,10 @@ def metadata_precedence(spark, sf):
     return both.select("doc_id", J.metadata_precedence(F.col("toxic"), F.col("quality"), F.lit(7)).cast("int").alias("flag"))
 
 
-@query("union_datasets", """SELECT 'a' AS dataset, user_id, value, NULL::VARCHAR AS event_type FROM events WHERE value < 10 UNION ALL SELECT 'b', user_id, value, event_type FROM events WHERE value >= 100""")
+@query("union_datasets", """SELECT 'a' AS dataset, user_id, value, NULL::VARCHAR AS event_type FROM events WHERE value < 10 UNION ALL SELECT 'b', user_id, value, event_type FROM events WHERE value >= 10""")
 def union_datasets(spark, sf):
     ev = events(spark, sf)
-    return J.union_datasets({"a": ev.where("value < 10").select("user_id", "value"), "b": ev.where("value >= 100").select("user_id", "value", "event_type")}, sort=["value"])
+    return J.union_datasets({"a": ev.where("value < 10").select("user_id", "value"), "b": ev.where("value >= 10").select("user_id", "value", "event_type")}, sort=["value"])
 
 
 @query("union_keep_first", """SELECT user_id, event_id, 0 AS source FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, event_id, 1 FROM events e WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')""")

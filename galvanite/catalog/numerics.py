@@ -188,7 +188,7 @@ def collapse_sweeps(spark, sf):
 
 @query("linkk", None)
 def linkk(spark, sf):
-    return C.linkk(sweeps(spark, sf), ["l_suppkey"], "f", "re", "im", max_m=12).select("l_suppkey", "m", "mu", "rms")
+    return C.linkk(sweeps(spark, sf), ["l_suppkey"], "f", "re", "im").select("l_suppkey", "m", "mu", "rms", "converged")
 
 
 def rc_start(df, key):

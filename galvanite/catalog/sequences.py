@@ -171,12 +171,14 @@ def sort_parameters(spark, sf):
     return rounded(W.sort_groups(long, ["l_orderkey"], "number", "R", "role").select("l_orderkey", "number", "value", "role"), 6)
 
 
-@query("sort_exponentials", """WITH s AS (SELECT vec_id, embedding[1]::DOUBLE AS a0, embedding[2]::DOUBLE AS t0, embedding[3]::DOUBLE AS a1, embedding[4]::DOUBLE AS t1, embedding[5]::DOUBLE AS b FROM embeddings)
-SELECT vec_id, CASE WHEN t0 <= t1 THEN a0 ELSE a1 END AS a0, CASE WHEN t0 <= t1 THEN t0 ELSE t1 END AS tau0, CASE WHEN t0 <= t1 THEN a1 ELSE a0 END AS a1, CASE WHEN t0 <= t1 THEN t1 ELSE t0 END AS tau1, b AS b0 FROM s""")
+@query("sort_exponentials", """WITH p AS (SELECT vec_id, list_transform(list_append(embedding, 0.5), lambda x: x::DOUBLE) AS p, len(embedding) // 2 AS n FROM embeddings),
+o AS (SELECT vec_id, p, n, list_sort(list_transform(range(n), lambda i: {'tau': p[2 * i + 2], 'i': i})) AS o FROM p),
+r AS (SELECT vec_id, list_concat(flatten(list_transform(o, lambda e: [p[2 * e.i + 1], p[2 * e.i + 2]])), p[2 * n + 1:]) AS v FROM o)
+SELECT vec_id, unnest(range(len(v)))::INT AS pos, unnest(v) AS value FROM r""")
 def sort_exponentials(spark, sf):
-    p = W.sort_exponentials(F.slice(F.col("embedding").cast("array<double>"), 1, 5))["params"]
-    df = table(spark, sf, "embeddings").select("vec_id", p.alias("p"))
-    return df.select("vec_id", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(["a0", "tau0", "a1", "tau1", "b0"])])
+    """All components as pairs of amplitude and time constant, and an offset behind them."""
+    p = W.sort_exponentials(F.array_append(F.col("embedding").cast("array<double>"), F.lit(0.5)))["params"]
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(p).alias("pos", "value"))
 
 
 @query("downsample", f"""WITH {EV}, m AS (SELECT *, n - 1 AS len, 20 AS m0, (n - 1) / 20.0 AS raw FROM ev),

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from hashlib import blake2b
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from galvanite.keyed import attach
+from galvanite.session import cut_lineage
 
 # Engineering prefixes, readable bytes encodings, condition names.
 ENGINEERING = {-15: "f", -12: "p", -9: "n", -6: "u", -3: "m", 0: "", 3: "k", 6: "M", 9: "G", 12: "T"}
@@ -200,26 +204,64 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+RUN_BASE, RUN_MODULUS = 0x9E3779B97F4A7C15F39CC0605CEDC835, (1 << 107) - 1
+
+
+def run_marks(tokens: Column, length: Column) -> Column:
+    """Distinct runs of `length` tokens as (mark, start): rolling hashes of 107 bits, the first start of each."""
+
+    @pandas_udf("array<struct<mark: string, start: int>>")
+    def marks(lists: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for toks, m in zip(lists, sizes):
+            lead, seen, h = pow(RUN_BASE, int(m), RUN_MODULUS), {}, 0
+            own = [int.from_bytes(blake2b(t.encode(), digest_size=13).digest()) for t in toks]
+            for i, x in enumerate(own):
+                h = (h * RUN_BASE + x) % RUN_MODULUS
+                if i >= m:
+                    h = (h - own[i - m] * lead) % RUN_MODULUS
+                if i + 1 >= m:
+                    seen.setdefault(h, i + 1 - m)
+            out.append([{"mark": f"{k:x}", "start": at} for k, at in seen.items()])
+        return pd.Series(out)
+
+    return marks(tokens, length)
+
+
 def common_tokens(df: DataFrame, keys: Sequence[str], name: str, sep: str = r"[_\s-]+") -> DataFrame:
-    """Longest run of tokens shared by all names of a key.
+    """Longest run of tokens shared by all names of a key; of equal ones the one with the longest text, then the least.
 
-    Every name emits its distinct token runs of every length; a run is common
-    when as many names hold it as the key has.
+    If a run is shared, so are all parts of it. The length is therefore found
+    by bisection, for all keys together: every round counts the rolling
+    hashes of the runs of one length per key. A name gives as many hashes as
+    it has tokens, and texts of runs are made for one name of a key only.
     """
-    names = df.select(*keys, name).distinct()
+    keys = list(keys)
     toks = F.filter(F.split(F.col(name), sep), lambda t: t != "")
-    size = F.size(toks)
-    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.array_join(F.slice(toks, i, k), "_"))))
-    spread = names.select(*keys, F.explode(F.array_distinct(runs)).alias("run"))
-    counts = spread.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("_k"))
-    total = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("names"))
-    both = attach(counts, total, keys).where(F.col("_k") == F.col("names"))
-    size = F.size(F.split("run", "_"))
-    best = both.groupBy(*keys).agg(
-        F.min_by("run", F.struct(-size, -F.length("run"), F.col("run"))).alias("common")
-    )
-    return attach(total, best, keys)
+    names = df.select(*keys, name).distinct().select(*keys, F.col(name).alias("_name"), F.coalesce(toks, F.array().cast("array<string>")).alias("_toks"))
+    total = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("names"), F.min(F.size("_toks")).alias("_high"))
+    state = cut_lineage(total.select(*keys, "names", F.lit(0).alias("_low"), "_high"))
+
+    def shared(lengths: DataFrame) -> DataFrame:
+        """Runs of the length `_m` that all names of a key hold."""
+        spread = attach(names, lengths.select(*keys, "names", "_m"), keys, "inner")
+        spread = spread.select(*keys, "names", F.explode(run_marks(F.col("_toks"), F.col("_m"))["mark"]).alias("_mark"))
+        return spread.groupBy(*keys, "_mark").agg(F.count(F.lit(1)).alias("_k"), F.max("names").alias("_all")).where("_k = _all")
+
+    while not (open_ := state.where("_low < _high")).isEmpty():
+        tried = open_.withColumn("_m", F.floor((F.col("_low") + F.col("_high") + 1) / 2).cast("int"))
+        hit = shared(tried).select(*keys).distinct().withColumn("_hit", F.lit(True))
+        moved = attach(tried, hit, keys).select(
+            *keys, "names", F.when(F.col("_hit"), F.col("_m")).otherwise(F.col("_low")).alias("_low"), F.when(F.col("_hit"), F.col("_high")).otherwise(F.col("_m") - 1).alias("_high"))
+        state = cut_lineage(state.where("_low >= _high").unionByName(moved))
+    found = state.where("_low > 0").withColumn("_m", F.col("_low"))
+    marks = shared(found).select(*keys, "_mark")
+    one = attach(names.groupBy(*keys).agg(F.min_by("_toks", "_name").alias("_toks")), found.select(*keys, "_m"), keys, "inner")
+    runs = one.select(*keys, "_toks", "_m", F.explode(run_marks(F.col("_toks"), F.col("_m"))).alias("_r"))
+    runs = attach(runs.withColumn("_mark", F.col("_r.mark")), marks, [*keys, "_mark"], "left_semi")
+    runs = runs.select(*keys, F.array_join(F.slice("_toks", F.col("_r.start") + 1, F.col("_m")), "_").alias("run"))
+    best = runs.groupBy(*keys).agg(F.min_by("run", F.struct(-F.length("run"), F.col("run"))).alias("common"))
+    return attach(total.drop("_high"), best, keys)
 
 
 def without_common(text: Column, common: Column, sep: str = "_") -> Column:

@@ -308,6 +308,47 @@ def arrhenius_points(
     return group_trend(points, keys, temp, have, "arrhenius", error, fixed_ea={current_offset: FIXED_EA})
 
 
+def temperature_moments(points: DataFrame, keys: Sequence[str], temp: str, columns: Sequence[str]) -> DataFrame:
+    """Moments of every column per key and temperature: (keys, column, x, n, neg, pos, logs, mean, m2), x in 1/K."""
+    long = points.select(*keys, temp, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([*keys, temp], list(columns), "column", "_y")
+    x, y = inverse_kelvin(temp), F.col("_y")
+    y = F.when(_finite(x) & _finite(y), y)
+    rows = long.select(*keys, "column", x.alias("x"), y.alias("_y"))
+    y = F.col("_y")
+    return rows.groupBy(*keys, "column", "x").agg(
+        F.count(y).alias("n"), F.count_if(y < 0).alias("neg"), F.count_if(y > 0).alias("pos"), F.sum(F.log(F.when(y == 0, MIN_READING).otherwise(F.abs(y)))).alias("logs"),
+        F.avg(y).alias("mean"), (F.var_pop(y) * F.count(y)).alias("m2"))
+
+
+def arrhenius_rollup(moments: DataFrame, keys: Sequence[str], sign: int = 1, fixed_ea: dict[str, float] | None = None) -> DataFrame:
+    """Arrhenius trend per key from moments per temperature, as `arrhenius_fit` gives it from the rows.
+
+    At one temperature the fitted value is one number, so slopes, residual
+    sums and deviations follow from count, mean and spread there.
+    """
+    keys = list(keys)
+    n, x = F.col("n"), F.col("x")
+    fixed = F.lit(None).cast("double")
+    for name, ea in (fixed_ea if fixed_ea is not None else {"Current_b0": FIXED_EA}).items():
+        fixed = F.when(F.col("column") == name, -ea / BOLTZMANN_EV).otherwise(fixed)
+    total = F.sum("n")
+    rows = with_group(
+        moments, keys, total.alias("_n"), F.try_divide(F.sum(n * x), total).alias("_x"), F.try_divide(F.sum("logs"), total).alias("_z"), F.try_divide(F.sum(n * F.col("mean")), total).alias("_y"),
+        F.when(F.sum("neg") * 2 > total, -1).when(F.sum("pos") * 2 > total, 1).otherwise(sign).alias("_sign"))
+    apart = x - F.col("_x")
+    slope = F.try_divide(F.sum(apart * F.col("logs")), F.sum(n * apart * apart))
+    fit = rows.groupBy(*keys).agg(F.coalesce(F.max(fixed), slope).alias("_beta"))
+    rows = attach(rows, fit, keys)
+    level = F.col("_z") - F.col("_beta") * F.col("_x")
+    enough = F.col("_n") >= 2
+    alpha = F.when(enough, F.col("_sign") * F.exp(F.when(level > MAX_EXPONENT, MAX_EXPONENT).otherwise(level)))
+    gap, spread = F.col("mean") - exponential_value(x, alpha, F.col("_beta")), F.col("mean") - F.col("_y")
+    out = rows.groupBy(*keys).agg(
+        F.max("_n").alias("n"), F.max(alpha).alias("A"), F.max(F.when(enough, -F.col("_beta") * BOLTZMANN_EV)).alias("Ea"),
+        F.sum(F.col("m2") + n * gap * gap).alias("rss"), F.sum(F.col("m2") + n * spread * spread).alias("_syy"))
+    return out.select(*keys, "n", "A", "Ea", (1 - F.try_divide(F.col("rss"), F.col("_syy"))).alias("r2"), "rss", aicc(F.col("rss"), F.col("n"), 2).alias("aicc"))
+
+
 def log_spacing(df: DataFrame, keys: Sequence[str], freq: str, rtol: float = 1e-2) -> DataFrame:
     """True per key when all steps of log10(freq) agree with the first one."""
     logf = F.log10(F.when(F.col(freq) > 0, F.col(freq)))

@@ -150,12 +150,14 @@ def bootstrap_circuits(sweeps: DataFrame, keys: Sequence[str], order: Sequence[s
 
 
 def linkk(
-    sweeps: DataFrame, keys: Sequence[str], freq: str, re: str, im: str, c: float = 0.85, max_m: int = 50, fit_type: str = "complex", add_cap: bool = False
+    sweeps: DataFrame, keys: Sequence[str], freq: str, re: str, im: str, c: float = 0.85, max_m: int = 200, fit_type: str = "complex", add_cap: bool = False
 ) -> DataFrame:
     """Kramers-Kronig test by RC elements with log-spaced time constants.
 
     Rows weigh 1 / |Z|. M grows from 1 until mu = 1 - sum |R < 0| / sum |R >= 0|
-    falls to c. Output: keys, m, mu, taus, elements (R0, R_k.., [1/C0], L0), rms.
+    falls to c. Output: keys, m, mu, taus, elements (R0, R_k.., [1/C0], L0), rms,
+    and `converged`, which is false for sweeps whose mu stays above c for all
+    of `max_m` terms.
     """
     keys = list(keys)
     x, y = F.col(re).cast("double"), F.col(im).cast("double")
@@ -166,7 +168,7 @@ def linkk(
     if has_hot_group(flat, keys):
         raise ValueError("a sweep has more distinct frequencies than the group limit; restrict the band")
     types = dict(flat.dtypes)
-    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "m int, mu double, taus array<double>, elements array<double>, rms double"
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "m int, mu double, taus array<double>, elements array<double>, rms double, converged boolean"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("f")
@@ -201,6 +203,7 @@ def linkk(
         out = pdf.iloc[:1][keys].copy()
         out["m"], out["mu"], out["taus"], out["elements"] = m, mu, [taus.tolist()], [el.tolist()]
         out["rms"] = float(np.sqrt(np.mean(np.abs(fit - z) ** 2)))
+        out["converged"] = bool(mu <= c)
         return out
 
     return flat.groupBy(*keys).applyInPandas(solve, schema)

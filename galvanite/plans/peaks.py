@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Sequence
 
@@ -14,7 +15,7 @@ from galvanite.keyed import Ordered, attach, checked_once, has_hot_group, quanti
 from galvanite.operators.regress import log_spacing
 from galvanite.operators.windows import best_flags, normalise_weights, rank_quantiles
 from galvanite.plans.kernels import peak_properties
-from galvanite.session import cut_lineage
+from galvanite.session import cut_lineage, group_limit
 
 LOWEST_PROMINENCE = 1e-6
 
@@ -22,11 +23,13 @@ LOWEST_PROMINENCE = 1e-6
 def local_maxima(df: DataFrame, keys: Sequence[str], freq: str, value: str) -> DataFrame:
     """Every local maximum of a curve with prominence and width in points.
 
-    A curve is the output of the spectrum step (some hundred points). One
-    longer than the group limit has to be thinned first.
+    Curves within the group limit are worked on in one task each. Larger ones
+    are cut into blocks (`spread_maxima`).
     """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(freq).cast("double").alias("_f"), F.col(value).cast("double").alias("_v"))
     if has_hot_group(df, keys):
-        raise ValueError("a curve exceeds the group limit; thin it with downsample first")
+        return spread_maxima(rows, keys)
     types = dict(df.dtypes)
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "peak_freq double, peak_value double, points double, prominence double"
 
@@ -34,15 +37,148 @@ def local_maxima(df: DataFrame, keys: Sequence[str], freq: str, value: str) -> D
         pdf = pdf.sort_values("_f")
         y = pdf["_v"].to_numpy()
         at, prom, width = peak_properties(y)
-        out = pdf.iloc[at][list(keys)].copy()
+        out = pdf.iloc[at][keys].copy()
         out["peak_freq"], out["peak_value"] = pdf["_f"].to_numpy()[at], y[at]
         out["points"], out["prominence"] = width, prom
         return out
 
-    rows = df.select(*keys, F.col(freq).cast("double").alias("_f"), F.col(value).cast("double").alias("_v"))
     return rows.groupBy(*keys).applyInPandas(find, schema)
 
 
+def spread_maxima(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`local_maxima` of curves (keys, _f, _v) of any length.
+
+    Flat stretches are joined first; a maximum is a stretch above both of its
+    neighbours. Its bases lie before the nearest higher point on either side,
+    its half-height points at the nearest points at or below that level:
+    both are searches for the nearest point beyond a bound (`nearest_beyond`).
+    """
+    pos = cut_lineage(Ordered(rows, keys, ["_f"]).positions("_i"))
+    steps = Ordered(pos, keys, ["_i"]).frame({"_new": lambda w: F.coalesce(F.col("_v") != F.lag("_v").over(w), F.lit(True)).cast("long")})
+    flat = Ordered(steps, keys, ["_i"]).running({"_run": ("sum", F.col("_new"))}).groupBy(*keys, "_run").agg(F.min("_i").alias("_a"), F.max("_i").alias("_b"), F.max("_v").alias("_v"))
+    near = Ordered(flat, keys, ["_run"]).frame({"_l": lambda w: F.lag("_v").over(w), "_r": lambda w: F.lead("_v").over(w)})
+    tops = cut_lineage(near.where((F.col("_l") < F.col("_v")) & (F.col("_r") < F.col("_v"))).select(*keys, F.floor((F.col("_a") + F.col("_b")) / 2).alias("_p"), F.col("_v").alias("_top")))
+    blocks = block_arrays(pos, keys, group_limit(rows.sparkSession))
+    both = lambda df, bound: df.select(*keys, "_p", F.explode(F.array(F.lit(-1), F.lit(1))).alias("_side"), bound.alias("_bound"))
+    higher = nearest_beyond(blocks, keys, both(tops, F.col("_top")), True)
+    base = higher.groupBy(*keys, "_p").agg(F.max("_low").alias("_base"))
+    tops = attach(tops, base, [*keys, "_p"]).withColumn("prominence", F.col("_top") - F.col("_base"))
+    half = F.col("_top") - F.col("prominence") / 2
+    level = nearest_beyond(blocks, keys, both(tops, half), False)
+    # Between the found point and the one before it the curve passes the level.
+    part = F.when(F.col("_value") < F.col("_bound"), F.try_divide(F.col("_bound") - F.col("_value"), F.col("_inner") - F.col("_value"))).otherwise(0.0)
+    width = level.groupBy(*keys, "_p").agg(F.sum(F.col("_side") * (F.col("_at") - F.col("_side") * part)).alias("points"))
+    out = attach(attach(tops, width, [*keys, "_p"]), pos.select(*keys, F.col("_i").alias("_p"), F.col("_f").alias("peak_freq")), [*keys, "_p"])
+    return out.select(*keys, "peak_freq", F.col("_top").alias("peak_value"), "points", "prominence")
+
+
+def block_arrays(pos: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Blocks (keys, _b, _ys, _high, _least) of `size` values each, in order."""
+    blocks = pos.groupBy(*keys, F.floor(F.col("_i") / size).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_rows"))
+    ys = F.transform("_rows", lambda r: r["_v"])
+    return cut_lineage(blocks.select(*keys, "_b", ys.alias("_ys"), F.array_max(ys).alias("_high"), F.array_min(ys).alias("_least"), F.lit(size).alias("_size")))
+
+
+SOUGHT = "_at double, _value double, _inner double, _low double, _left boolean"
+
+
+def nearest_beyond(blocks: DataFrame, keys: list[str], asked: DataFrame, above: bool) -> DataFrame:
+    """The nearest point beyond a bound, left (`_side` -1) or right (1) of a place.
+
+    `asked` has (keys, _p, _side, _bound); beyond means higher than the bound
+    (`above`), else at or below it. Adds its position `_at`, its value, the
+    value next to it on the inner side, and `_low`, the least value from the
+    place up to it. A place looks into its own block first; what is not found
+    there goes on to the nearest block whose largest (or least) value is
+    beyond the bound, by the table of blocks of its key, one line per block.
+    Without such a point `_at` is null and `_low` runs to the end.
+    """
+
+    def seek(ys: np.ndarray, places: np.ndarray, sides: np.ndarray, bounds: np.ndarray) -> list[tuple]:
+        """Within one block; a place may lie one beyond either end. For each side the points that are not passed yet form a stack."""
+        n, out = len(ys), [None] * len(places)
+        for side in (-1, 1):
+            y = ys if side < 0 else ys[::-1]
+            at = places if side < 0 else n - 1 - places
+            order = sorted(np.flatnonzero(sides == side).tolist(), key=lambda k: at[k])
+            # Stack of positions that can be the answer for a later place: falling values for `above`, rising ones else.
+            stack: list[int] = []
+            keyed: list[float] = []
+            lows: list[tuple[float, int]] = []
+            i = 0
+            for k in order:
+                while i < min(at[k], n):
+                    v = y[i] if above else -y[i]
+                    while keyed and keyed[-1] >= -v:
+                        keyed.pop()
+                        stack.pop()
+                    keyed.append(-v)
+                    stack.append(i)
+                    while lows and lows[-1][0] >= y[i]:
+                        lows.pop()
+                    lows.append((y[i], i))
+                    i += 1
+                b = bounds[k] if above else -bounds[k]
+                # keyed rises: values beyond the bound come first, the last of them is the nearest.
+                j = (bisect.bisect_left(keyed, -b) if above else bisect.bisect_right(keyed, -b)) - 1
+                found = stack[j] if j >= 0 else -1
+                here = y[at[k]] if at[k] < n else np.inf
+                start = found + 1 if above else found
+                low = min((lows[bisect.bisect_left(lows, max(start, 0), key=lambda e: e[1])][0] if lows and lows[-1][1] >= max(start, 0) else np.inf), here)
+                if found < 0:
+                    out[k] = (None, None, None, float(low), True)
+                else:
+                    inner = float(y[found + 1]) if found + 1 < n else None
+                    out[k] = (float(found if side < 0 else n - 1 - found), float(y[found]), inner, float(low), False)
+        return out
+
+    kinds = dict(asked.dtypes)
+    lead = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    shape = lead + "_p long, _side int, _bound double, _b long, " + SOUGHT
+
+    def inside(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Questions to one block; `_shift` is the place within it."""
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[*keys, "_p", "_side", "_bound", "_b", "_at", "_value", "_inner", "_low", "_left"])
+        block = right.iloc[0]
+        got = seek(np.asarray(block["_ys"], float), left["_shift"].to_numpy(), left["_side"].to_numpy(), left["_bound"].to_numpy(float))
+        out = left[[*keys, "_p", "_side", "_bound", "_b"]].copy()
+        out[["_at", "_value", "_inner", "_low", "_left"]] = pd.DataFrame(got, index=out.index, columns=["_at", "_value", "_inner", "_low", "_left"])
+        out["_at"] += block["_there__b"] * block["_size"]
+        return out
+
+    # Names of their own: questions and blocks come from one table.
+    there = blocks.select(*[F.col(c).alias(f"_there_{c}") for c in [*keys, "_b"]], "_ys", "_size")
+
+    def look(questions: DataFrame) -> DataFrame:
+        return cut_lineage(questions.groupBy(*keys, "_b").cogroup(there.groupBy(*[f"_there_{c}" for c in [*keys, "_b"]])).applyInPandas(inside, shape))
+
+    size = blocks.select(*keys, "_size").groupBy(*keys).agg(F.max("_size").alias("_size"))
+    own = attach(asked, size, keys)
+    own = own.select(*keys, "_p", "_side", "_bound", F.floor(F.col("_p") / F.col("_size")).alias("_b"), (F.col("_p") % F.col("_size")).alias("_shift"))
+    near = look(own)
+    # The table of blocks of a key has rows / limit lines.
+    table = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_high", "_least", F.size("_ys").alias("n"), F.element_at("_ys", 1).alias("first"), F.element_at("_ys", -1).alias("last")))).alias("_table"))
+    lost = attach(near.where("_left"), table, keys)
+    beyond = lambda e: (e["_high"] > F.col("_bound")) if above else (e["_least"] <= F.col("_bound"))
+    ahead = F.filter("_table", lambda e: (F.col("_side") * (e["_b"] - F.col("_b")) > 0) & beyond(e))
+    to = F.when(F.col("_side") < 0, F.try_element_at(ahead, F.lit(-1))).otherwise(F.try_element_at(ahead, F.lit(1)))
+    lost = lost.withColumn("_to", to)
+    passed = F.filter("_table", lambda e: (F.col("_side") * (e["_b"] - F.col("_b")) > 0) & (F.col("_to").isNull() | (F.col("_side") * (F.col("_to._b") - e["_b"]) > 0)))
+    # The value at the border that is next to the target block, should the point found be the first one in it.
+    edge = F.filter("_table", lambda e: e["_b"] == F.col("_to._b") - F.col("_side"))
+    lost = cut_lineage(lost.select(
+        *keys, "_p", "_side", "_bound", F.col("_low").alias("_low0"), F.array_min(F.transform(passed, lambda e: e["_least"])).alias("_low1"),
+        F.col("_to._b").alias("_b"), F.when(F.col("_side") < 0, F.col("_to.n")).otherwise(F.lit(-1)).cast("long").alias("_shift"),
+        F.when(F.col("_side") < 0, F.try_element_at(edge, F.lit(1))["first"]).otherwise(F.try_element_at(edge, F.lit(1))["last"]).alias("_edge")))
+    far = look(lost.where("_b IS NOT NULL").select(*keys, "_p", "_side", "_bound", "_b", "_shift"))
+    on = [*keys, "_p", "_side"]
+    merged = attach(lost.select(*on, "_bound", "_low0", "_low1", "_edge"), far.select(*on, "_at", "_value", "_inner", "_low"), on)
+    least = F.least(F.col("_low0"), F.col("_low1"), F.col("_low"))
+    merged = merged.select(*on, "_bound", "_at", "_value", F.coalesce("_inner", "_edge").alias("_inner"), least.alias("_low"))
+    return near.where("NOT _left").select(*on, "_bound", "_at", "_value", "_inner", "_low").unionByName(merged)
+
+
 def find_wide_peaks(
     df: DataFrame, keys: Sequence[str], freq: str, value: str, min_width: float = 0.05, min_prominence: float = 0.05,
     min_peaks: int = 2, background: bool = True, weighting: Callable[[Column, Column], Column] | None = None,

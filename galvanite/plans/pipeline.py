@@ -16,7 +16,7 @@ from galvanite.operators.aggregates import decay_verdict, group_points, polarity
 from galvanite.operators.channels import channel_traits, enforce_trend, infer_multiplier, resolve_channels
 from galvanite.operators.cleaning import clean_segments
 from galvanite.operators.joins import map_channels, split_by_verdict
-from galvanite.operators.regress import arrhenius_points, group_trend
+from galvanite.operators.regress import arrhenius_points, arrhenius_rollup, temperature_moments, group_trend
 from galvanite.operators.windows import polarity, savgol, savgol_fraction, segments_from_breakpoints, time_axis
 from galvanite.plans.spectra import detect_period
 from galvanite.session import cut_lineage
@@ -175,17 +175,23 @@ def point_trends(tables: dict[str, DataFrame], keys: Sequence[str], temp: str, c
     """Arrhenius trends of several point tables in one job.
 
     The tables are stacked with a `kind`; each row also counts for its
-    polarity and for the groups by every key prefix. Output: kind, group_id,
-    column, n, A, Ea, r2.
+    polarity and for the groups by every key prefix and every single key.
+    Output: kind, group_id, column, n, A, Ea, r2, rss, aicc. Without errors
+    the rows are reduced once to moments per finest group and temperature,
+    and only these take part in all groups (`arrhenius_rollup`); weights from
+    errors belong to a group, so rows with errors do.
     """
+    keys = list(keys)
     parts = []
     for kind, df in tables.items():
         sel = [*keys, temp, *columns, reference, *([error] if error and error in df.columns else [])]
         parts.append(df.select(*dict.fromkeys(sel)).withColumn("kind", F.lit(kind)))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    side = F.when(F.col(reference) < 0, "neg").otherwise("pos")
-    heads = [F.col("kind"), F.concat_ws(" ", F.col("kind"), side)]
-    levels = [[keys[0]], [keys[1]], list(keys[:2])] if len(keys) > 1 else [[keys[0]]]
-    ids = [h for h in heads] + [F.concat_ws(" ", h, *[F.col(c).cast("string") for c in lv]) for h in heads for lv in levels]
-    spread = rows.withColumn("group_id", F.explode(F.array(*ids)))
-    return arrhenius_points(spread, ["kind", "group_id"], temp, columns, error)
+    rows = rows.withColumn("_side", F.when(F.col(reference) < 0, "neg").otherwise("pos"))
+    levels = [keys[:k] for k in range(1, len(keys) + 1)] + [[k] for k in keys[1:]]
+    heads = [F.col("kind"), F.concat_ws(" ", "kind", "_side")]
+    ids = F.array(*heads, *[F.concat_ws(" ", h, *[F.col(c).cast("string") for c in lv]) for h in heads for lv in levels])
+    if error:
+        return arrhenius_points(rows.withColumn("group_id", F.explode(ids)), ["kind", "group_id"], temp, columns, error)
+    moments = cut_lineage(temperature_moments(rows, ["kind", "_side", *keys], temp, [c for c in columns if c in rows.columns]))
+    return arrhenius_rollup(moments.withColumn("group_id", F.explode(ids)), ["kind", "group_id", "column"])
