@@ -43,7 +43,7 @@ class PieceMemo:
     # Fixed value: the splitting pattern of byte-level pre-tokenizers.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, room: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, room: int = 200_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

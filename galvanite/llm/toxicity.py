@@ -40,7 +40,7 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def word_slots(word: str) -> tuple[int, ...]:
     """Feature numbers of a word and of its stems (first letters), which catch inflected forms."""
     return tuple(zlib.crc32(x.encode()) & MASK for x in (word, *(f"{word[:k]}^" for k in STEMS if len(word) >= k)))
@@ -176,7 +176,7 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
                 size, counts, z = max(len(words), 1), Counter(), bias
                 for word, n in Counter(words).items():
                     if (own := known.get(word)) is None:
-                        if len(known) > 100_000:
+                        if len(known) > 50_000:
                             known.clear()
                         own = known[word] = tuple(f for f in word_slots(word) if f in table)
                     for f in own:
