@@ -43,7 +43,7 @@ class PieceMemo:
     # Fixed value: the splitting pattern of byte-level pre-tokenizers.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, room: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, room: int = 500_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -58,22 +58,10 @@ class PieceMemo:
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.usual = set(map(chr, range(128)))
         self.ids: dict[str, bytes] = {}
-        line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if self.able and len(line) == 1 else None
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str], step: int = 1000) -> None:
-        solid = [w for w in words if not w.isspace()] if self.line is not None else []
-        groups = [solid[k:k + step] for k in range(0, len(solid), step)]
-        for group, raw in zip(groups, self.ask(["\n".join(g) for g in groups])):
-            cuts = (np.flatnonzero(np.frombuffer(raw, dtype="<u4") == self.line) * 4).tolist()
-            if len(cuts) + 1 == len(group):
-                self.ids.update(zip(group, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))))
-        rest = [w for w in words if w not in self.ids]
-        self.ids.update(zip(rest, self.ask(rest)))
-
     def plain(self, text: str) -> bool:
         if not self.able or any(t in text for t in self.added):
             return False
@@ -88,7 +76,8 @@ class PieceMemo:
         if len(self.ids) + len(new) > self.room:
             new |= set().union(*filter(None, words))
             self.ids.clear()
-        self.learn(list(new))
+        asked = list(new)
+        self.ids.update(zip(asked, self.ask(asked)))
         rest = iter(self.ask([t for t, w in zip(texts, words) if w is None]))
         out = [next(rest) if w is None else b"".join(map(self.ids.__getitem__, w)) for w in words]
         for w in new:
@@ -97,7 +86,7 @@ class PieceMemo:
         return out
 
 
-def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, batch_chars: int = 1 << 19) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, batch_chars: int = 1 << 19, memo_words: int = 500_000) -> DataFrame:
     """Token ids of each text plus `end_id`, cut into pieces of `capacity`; the first piece takes the rest.
 
     Null texts count as empty (one piece with `end_id` alone), null ids stay
@@ -112,7 +101,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        memo, end = PieceMemo(str(path)), end_id.to_bytes(4, "little")
+        memo, end = PieceMemo(str(path), memo_words), end_id.to_bytes(4, "little")
 
         def rows(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
             of, piece, start, length, crc = [], [], [], [], []
@@ -227,6 +216,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_rank: int = 1_000_000
         (F.col("at") + nth % F.col("per_bin") * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
-    """Tokenize once into a written table of numbers, then pack."""
-    return pack(staged(token_pieces(docs, capacity, tokenizer), "pieces"), capacity)
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, memo_words: int = 500_000) -> DataFrame:
+    """Tokenize once into a written table of numbers, then pack; a worker remembers the ids of at most `memo_words` words."""
+    return pack(staged(token_pieces(docs, capacity, tokenizer, memo_words=memo_words), "pieces"), capacity)
