@@ -40,7 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, memo_words=200_000)  # workers still hold what earlier stages remember
 
 
 STAGES = [
@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Training, sketches and tokenizers are beyond SQL; tests compare the stages with brute force.
+#: Training, sketches and tokenizers are beyond SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
