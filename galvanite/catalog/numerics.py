@@ -52,7 +52,7 @@ def initial_guess_exp(spark, sf):
     return rounded(out.select("user_id", "b0", "tau0"), {"b0": 6, "tau0": 2})
 
 
-def _grid_sql(rounds: int = 8) -> str:
+def _grid_sql(rounds: int = 6) -> str:
     """The refined grid in SQL: a key takes part in a round while its step is above the tolerance."""
     best = lambda c, step: f"""SELECT user_id, arg_min(tau, {{'r': rss, 't': tau}}) AS tau, min(rss) AS rss, max(step) {step} AS step FROM (SELECT d.user_id, tau, max(step) AS step,
   coalesce(greatest(regr_syy(value, exp(-t / tau)) - regr_slope(value, exp(-t / tau)) * regr_sxy(value, exp(-t / tau)), 0), 'inf'::DOUBLE) AS rss FROM d JOIN {c} ON {c}.user_id = d.user_id GROUP BY 1, 2) GROUP BY 1"""
@@ -60,9 +60,9 @@ def _grid_sql(rounds: int = 8) -> str:
 s AS (SELECT user_id, log10((hi - lo) / n / 10) AS a, (log10((hi - lo) * 10) - log10((hi - lo) / n / 10)) / 30 AS step FROM (SELECT user_id, min(t) AS lo, max(t) AS hi, count(*) AS n FROM d GROUP BY 1) WHERE n >= 3 AND hi > lo),
 c0 AS (SELECT user_id, pow(10, a + step * k) AS tau, step FROM (SELECT *, unnest(range(31)) AS k FROM s)), b0 AS MATERIALIZED ({best("c0", "")})"""]
     for r in range(1, rounds + 1):
-        parts.append(f"""c{r} AS (SELECT user_id, pow(10, log10(tau) - step + 2 * step * k / 12) AS tau, step FROM (SELECT *, unnest(range(13)) AS k FROM b{r - 1} WHERE step > 1e-6)),
-b{r} AS MATERIALIZED ({best(f"c{r}", "/ 6")} UNION ALL SELECT * FROM b{r - 1} WHERE step <= 1e-6)""")
-    return ", ".join(parts) + f" SELECT user_id, round(rss, 3) AS rss, step <= 1e-6 AS converged FROM b{rounds}"
+        parts.append(f"""c{r} AS (SELECT user_id, pow(10, log10(tau) - step + 2 * step * k / 12) AS tau, step FROM (SELECT *, unnest(range(13)) AS k FROM b{r - 1} WHERE step > 1e-4)),
+b{r} AS MATERIALIZED ({best(f"c{r}", "/ 6")} UNION ALL SELECT * FROM b{r - 1} WHERE step <= 1e-4)""")
+    return ", ".join(parts) + f" SELECT user_id, round(rss, 3) AS rss, step <= 1e-4 AS converged FROM b{rounds}"
 
 
 @query("grid_fit", _grid_sql())

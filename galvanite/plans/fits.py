@@ -202,7 +202,7 @@ def _log_steps(lo: Column, hi: Column, count: int) -> Column:
 
 def grid_fit(
     df: DataFrame, keys: Sequence[str], t: str, y: str, model: str = "exp", points: int = 31, rounds: int | None = None, fine: int = 13,
-    betas: Sequence[float] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), low: float | None = None, high: float | None = None, tolerance: float = 1e-6,
+    betas: Sequence[float] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), low: float | None = None, high: float | None = None, tolerance: float = 1e-4,
 ) -> DataFrame:
     """One-term fit (exp, power, stretch_exp) by refined candidate grids.
 
