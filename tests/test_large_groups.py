@@ -118,3 +118,18 @@ def test_grubbs_matches_brute_force(spark, tail):
     got = CL.grubbs_clip(df, ["k"], ["i"], "v", tail=tail).where("removed").collect()
     for k, a in data.items():
         assert sorted(r["i"] for r in got if r["k"] == k) == brute_grubbs(a, 0.05, 2)
+
+
+@pytest.mark.parametrize("name", ["_w", "_n", "_cum", "_total"])
+def test_value_columns_named_like_helpers(spark, runs, name):
+    """Weights named `_w` failed above the limit: the counts had the same name."""
+    df = runs.withColumnRenamed("v", name)
+    both(spark, lambda: quantiles(df, ["k"], name, {"q": 0.3, "m": 0.5}))
+    both(spark, lambda: weighted_median(df, ["k"], name, "id", "m"))
+
+
+def test_trend_candidates_of_large_groups(spark):
+    from galvanite.plans.peaks import trend_candidates
+
+    df = spark.range(80).select(F.lit("a").alias("k"), (F.col("id") % 5).alias("temp"), (F.col("id") * 37 % 101 + 1.0).alias("f"), (F.col("id") % 9 / 9.0).alias("w"))
+    assert len(both(spark, lambda: trend_candidates(df, ["k"], "temp", "f", "w", ["weight"]))) == 5
