@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from galvanite.functions.ieee import divide
+
 
 def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
@@ -54,12 +56,12 @@ class Cx:
 
     def inverse(self):
         m = self.re * self.re + self.im * self.im
-        return Cx(F.try_divide(self.re, m), F.try_divide(-self.im, m), self.sign)
+        return Cx(divide(self.re, m), divide(-self.im, m), self.sign)
 
     def __truediv__(self, o):
         if isinstance(o, (Cx, complex)):
             return self * Cx.of(o).inverse()
-        return Cx(F.try_divide(self.re, _lit(o)), F.try_divide(self.im, _lit(o)), self.sign)
+        return Cx(divide(self.re, _lit(o)), divide(self.im, _lit(o)), self.sign)
 
     def __rtruediv__(self, o):
         return Cx.of(o) * self.inverse()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galvanite.functions.complexnum import Cx
+from galvanite.functions.ieee import divide
 from galvanite.keyed import attach, with_group
 from galvanite.operators.aggregates import edge_means
 
@@ -65,12 +66,12 @@ def from_impedance(z: Cx, form: str, s: Sample) -> Cx:
     if form == "modulus":
         return s.mu * z
     if form == "capacitance":
-        return (Cx(F.lit(0.0), s.omega) * z).inverse()
+        return _inverse_of_j(z, s.omega)
     if form == "conductivity":
         return z.inverse() / s.a_d
     if form == "resistivity":
         return z * s.a_d
-    e_r = (s.mu * z).inverse()
+    e_r = _inverse_of_j(z, s.omega * s.c0)
     if form == "permittivity":
         e_r = e_r * EPS0
     elif form == "relative_permittivity_corrected":
@@ -80,9 +81,15 @@ def from_impedance(z: Cx, form: str, s: Sample) -> Cx:
     return e_r.with_sign(-1)
 
 
+def _inverse_of_j(z: Cx, k: Column) -> Cx:
+    """1 / (j k z); infinite at k = 0."""
+    m = k * (z.re * z.re + z.im * z.im)
+    return Cx(divide(-z.im, m), divide(-z.re, m))
+
+
 def dc_loss(s: Sample) -> Column:
     """Loss of the dc conductivity: sigma_dc / (eps0 omega)."""
-    return s.sigma_dc / (EPS0 * s.omega)
+    return divide(s.sigma_dc, EPS0 * s.omega)
 
 
 def to_impedance(x: Cx, form: str, s: Sample) -> Cx:
@@ -148,7 +155,8 @@ def with_forms(
     """Add columns for wanted parts: name -> `form.part` or an expression.
 
     A part like `Z.real` is replaced by its column inside a Spark SQL
-    expression, so `log10(Z.mag)` or `abs(M.imag)/2` work as written.
+    expression, so `log10(Z.mag)` or `abs(M.imag)/2` work as written. The
+    logarithm of zero is minus infinity.
     """
     import re as regex
 
@@ -164,11 +172,26 @@ def with_forms(
             found[token] = from_impedance(z, m.group(1), s).part(m.group(2))
             return token
 
-        texts[name] = regex.sub(r"\b([A-Za-z_]\w*)\.(real|imag|mag|phase|slope)\b", swap, text)
+        texts[name] = _logs_of_zero(regex.sub(r"\b([A-Za-z_]\w*)\.(real|imag|mag|phase|slope)\b", swap, text))
     out = df.select("*", *[c.alias(t) for t, c in found.items()])
     return out.select("*", *[F.expr(t).alias(n) for n, t in texts.items()]).drop(*found)
 
 
+def _logs_of_zero(text: str) -> str:
+    """The expression with log10(x), log2(x) and ln(x) giving minus infinity at x = 0."""
+    import re as regex
+
+    for found in reversed(list(regex.finditer(r"\b(log10|log2|ln)\s*\(", text))):
+        depth, end = 1, found.end()
+        while depth and end < len(text):
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        arg = text[found.end():end - 1]
+        if depth == 0:
+            text = f"{text[:found.start()]}(CASE WHEN ({arg}) = 0 THEN -double('infinity') ELSE {found.group(1)}({arg}) END){text[end:]}"
+    return text
+
+
 def convert_checked(
     df: DataFrame, keys: Sequence[str], freq: str, re: str, im: str, from_form: str, to_form: str,
     area: Column | float = 1.0, thickness: Column | float = 1.0,
@@ -187,7 +210,8 @@ def convert_checked(
         z = to_impedance(x, from_form, s)
         rows = rows.withColumn(f"_re_{tag}", z.re).withColumn(f"_im_{tag}", z.im)
         zc = Cx(F.col(f"_re_{tag}"), F.col(f"_im_{tag}"))
-        worst = F.greatest(*[F.abs(from_impedance(zc, f, s).phase) for f in forms])
+        # A value of zero has no phase in some forms.
+        worst = F.greatest(*[F.nanvl(F.abs(from_impedance(zc, f, s).phase), F.lit(None)) for f in forms])
         rows = rows.withColumn(f"_w_{tag}", worst)
     rows = with_group(
         rows, keys,
