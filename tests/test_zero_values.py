@@ -28,6 +28,12 @@ def test_forms_at_zero_frequency(spark):
     assert got["chi"] == math.inf and math.isnan(got["corr"])
 
 
+def test_decade_of_zero(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([2.0, 0.0, 0.0, 3.0, 4.0])], "k string, i int, v double")
+    got = W.decade_labels(df, ["k"], ["i"], "v").orderBy("i").collect()
+    assert [r["marked"] for r in got] == [True, True, False, True, False]
+
+
 def test_form_expressions_at_zero(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "f double, re double, im double")
     got = one(M.with_forms(df, "f", "re", "im", {"lg": "log10(abs(Z.mag)) * 2", "y": "Y.real"}))
