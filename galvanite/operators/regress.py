@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galvanite.functions.ieee import finite, log10
 from galvanite.keyed import Ordered, attach, with_group
 from galvanite.operators.metrics import aicc
 
@@ -350,8 +351,8 @@ def arrhenius_rollup(moments: DataFrame, keys: Sequence[str], sign: int = 1, fix
 
 
 def log_spacing(df: DataFrame, keys: Sequence[str], freq: str, rtol: float = 1e-2) -> DataFrame:
-    """True per key when all steps of log10(freq) agree with the first one."""
-    logf = F.log10(F.when(F.col(freq) > 0, F.col(freq)))
+    """True per key when all steps of log10(freq) agree with the first one; a step from zero is infinite and agrees with none."""
+    logf = log10(F.col(freq))
     rows = Ordered(df.select(*keys, freq), keys, [freq]).frame(
         {"_d": lambda w: logf - F.lag(logf).over(w)}, halo=1
     )
@@ -359,12 +360,12 @@ def log_spacing(df: DataFrame, keys: Sequence[str], freq: str, rtol: float = 1e-
     rows = with_group(rows, keys, first.alias("_first"), F.min(freq).alias("_lowest"))
     ok = F.abs(F.col("_d") - F.col("_first")) <= 1e-8 + rtol * F.abs("_first")
     return rows.groupBy(*keys).agg(
-        (F.coalesce(F.bool_and(ok), F.lit(True)) & (F.min("_lowest") > 0)).alias("log_spaced")
+        (F.coalesce(F.bool_and(ok), F.lit(True)) & (F.min("_lowest") >= 0)).alias("log_spaced")
     )
 
 
 def detrend(df: DataFrame, keys: Sequence[str], x: Column, y: str, name: str = "detrended") -> DataFrame:
-    """Value minus the least-squares line over `x` of its key."""
+    """Value minus the least-squares line over `x` of its key; null where infinite values of x leave no line."""
     rows = df.withColumn("_x", x)
-    rows = with_group(rows, keys, F.regr_slope(F.col(y), F.col("_x")).alias("_m"), F.regr_intercept(F.col(y), F.col("_x")).alias("_b"))
+    rows = with_group(rows, keys, finite(F.regr_slope(F.col(y), F.col("_x"))).alias("_m"), finite(F.regr_intercept(F.col(y), F.col("_x"))).alias("_b"))
     return rows.withColumn(name, F.col(y) - (F.col("_m") * F.col("_x") + F.col("_b"))).drop("_x", "_m", "_b")

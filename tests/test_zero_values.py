@@ -34,6 +34,17 @@ def test_decade_of_zero(spark):
     assert [r["marked"] for r in got] == [True, True, False, True, False]
 
 
+def test_detrend_over_log_of_zero(spark):
+    df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 10.0, 2.0), ("b", 1.0, 1.0), ("b", 10.0, 2.0)], "k string, f double, y double")
+    got = R.detrend(df, ["k"], log10(F.col("f")), "y").orderBy("k", "f").collect()
+    assert [r["detrended"] for r in got[:2]] == [None, None] and got[3]["detrended"] == pytest.approx(0.0)
+
+
+def test_log_spacing_from_zero(spark):
+    df = spark.createDataFrame([("a", v) for v in (0.0, 1.0, 10.0)] + [("b", v) for v in (1.0, 10.0, 100.0)] + [("c", 0.0)], "k string, f double")
+    assert {r["k"]: r["log_spaced"] for r in R.log_spacing(df, ["k"], "f").collect()} == {"a": False, "b": True, "c": True}
+
+
 def test_form_expressions_at_zero(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "f double, re double, im double")
     got = one(M.with_forms(df, "f", "re", "im", {"lg": "log10(abs(Z.mag)) * 2", "y": "Y.real"}))
