@@ -98,8 +98,22 @@ def typed_value(text: Column) -> Column:
     return F.struct(kind.alias("kind"), num.alias("number"), flag.alias("flag"), items.alias("items"))
 
 
+def exact_text(x: Column, pattern: str) -> Column:
+    """Number in a format like `.2E`, rounded from its exact binary value, ties to even, as C's printf does.
+
+    Java's formatter rounds the shortest decimal text of a number instead, ties up.
+    """
+
+    @pandas_udf("string")
+    def write(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: format(v, pattern))
+
+    x = x.cast("double")
+    return F.when(F.abs(x) < float("inf"), write(x)).otherwise(x.cast("string"))
+
+
 def scientific(x: Column, precision: int = 2) -> Column:
-    return F.format_string(f"%.{int(precision)}E", x.cast("double"))
+    return exact_text(x, f".{int(precision)}E")
 
 
 def engineering(x: Column, precision: int = 2, space: str = "") -> Column:
@@ -109,7 +123,7 @@ def engineering(x: Column, precision: int = 2, space: str = "") -> Column:
     lg = F.log10(F.when(ok, x))
     power = (F.floor(lg / 3) * 3).cast("int")
     prefixes = F.create_map(*[F.lit(v) for kv in ENGINEERING.items() for v in kv])
-    body = F.format_string(f"%.{int(precision)}f", F.pow(F.lit(10.0), lg - power))
+    body = exact_text(F.pow(F.lit(10.0), lg - power), f".{int(precision)}f")
     return F.when(ok, F.concat(body, F.lit(space), F.coalesce(prefixes[power], F.concat(F.lit("e"), power.cast("string"))))
                   ).otherwise(x.cast("string"))
 

@@ -45,6 +45,12 @@ def test_log_spacing_from_zero(spark):
     assert {r["k"]: r["log_spaced"] for r in R.log_spacing(df, ["k"], "f").collect()} == {"a": False, "b": True, "c": True}
 
 
+def test_number_text_of_ties(spark):
+    df = spark.createDataFrame([(198500.0,), (65450.0,), (9725.0,), (1.005,), (None,)], "v double")
+    got = [r["t"] for r in df.select(X.scientific(F.col("v")).alias("t")).collect()]
+    assert got == ["1.98E+05", "6.54E+04", "9.72E+03", "1.00E+00", None]
+
+
 def test_form_expressions_at_zero(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "f double, re double, im double")
     got = one(M.with_forms(df, "f", "re", "im", {"lg": "log10(abs(Z.mag)) * 2", "y": "Y.real"}))
