@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galvanite.functions.ieee import divide
 from galvanite.functions.units import millivolt_to_celsius
 from galvanite.keyed import attach, quantiles, with_group
 
@@ -31,7 +32,7 @@ def raw_to_standard(df: DataFrame, temp: str | None = None, multiplier: str | No
 
     Sign: the first of raw V, V rms, I, I rms. Voltage: raw, |raw| * sign,
     rms / sqrt 2, nominal. Current likewise, then V / R. Resistance: raw,
-    then V / I. Readings below 10 degrees are thermocouple millivolts.
+    then V / I (infinite or NaN at I = 0). Readings below 10 degrees are thermocouple millivolts.
     """
     raw = {k: (F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")) for k, c in RAW.items()}
     sign = F.signum(F.coalesce(raw["voltage"], raw["voltage_rms"], raw["current"], raw["current_rms"], F.lit(1.0)))
@@ -46,10 +47,10 @@ def raw_to_standard(df: DataFrame, temp: str | None = None, multiplier: str | No
         F.coalesce(raw["voltage"], raw["voltage_abs"] * sign, raw["voltage_rms"] / ROOT2, NOMINAL_VOLTAGE * sign),
     )
     current = F.coalesce(
-        raw["current"], raw["current_abs"] * sign, raw["current_rms"] / ROOT2, F.try_divide(F.col("voltage"), raw["resistance"])
+        raw["current"], raw["current_abs"] * sign, raw["current_rms"] / ROOT2, divide(F.col("voltage"), raw["resistance"])
     )
     out = out.withColumn("_current", current).withColumn("current", scaled(F.col("_current"))).drop("_current")
-    out = out.withColumn("resistance", F.coalesce(raw["resistance"], F.try_divide(F.col("voltage"), F.col("current"))))
+    out = out.withColumn("resistance", F.coalesce(raw["resistance"], divide(F.col("voltage"), F.col("current"))))
     reading = F.coalesce(F.abs(raw["temperature"] * t_factor), set_temp)
     out = out.withColumn("_reading", reading).withColumn(
         "temperature",

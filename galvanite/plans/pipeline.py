@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galvanite.functions.ieee import finite
 from galvanite.functions.standard import RAW, raw_to_standard
 from galvanite.keyed import Ordered, attach, checked_once, has_hot_group, quantiles, with_group
 from galvanite.operators.aggregates import decay_verdict, group_points, polarity_aggregate, rank_periods, settled_mean, stats_summary
@@ -137,6 +138,11 @@ def standardise_runs(samples: DataFrame, run: Sequence[str], ts: str, **options)
         return _standardise(samples, list(run), ts, **options)
 
 
+def _finite_channels(df: DataFrame) -> DataFrame:
+    """Readings without a value where a zero current or resistance leaves none."""
+    return df.withColumns({c: finite(F.col(c)) for c in ("current", "resistance", "current_rms", "current_abs")})
+
+
 def _standardise(
     samples: DataFrame, run: Sequence[str], ts: str, sample: str = "sample_name", condition: str = "condition", temp: str = "temp",
     smooth: float | None = None, min_slope: float = 0.0, clean: dict | None = None,
@@ -155,12 +161,12 @@ def _standardise(
     traits = cut_lineage(channel_traits(means, run, ["segment"]))
     roles = cut_lineage(resolve_channels(traits, means, run, ["segment"], temp, trend=[c for c in run if c in (sample, condition)]))
     mapping = roles.where(F.col("std_channel").isNotNull()).select(*run, F.col("channel").alias("raw_channel"), "std_channel", "multiplier")
-    points = cut_lineage(raw_to_standard(map_channels(means, mapping, run, ["segment"], sorted(RAW.values())), temp))
+    points = cut_lineage(_finite_channels(raw_to_standard(map_channels(means, mapping, run, ["segment"], sorted(RAW.values())), temp)))
     factors = cut_lineage(infer_multiplier(points, sample, condition, temp))
     points = cut_lineage(enforce_trend(factors, sample, condition, temp))
     factor = points.select(*seg, F.col("multiplier").alias("decade"))
     wide = map_channels(rows, mapping, run, ["segment", "row_idx", "t"], sorted(RAW.values()))
-    std = cut_lineage(raw_to_standard(attach(wide, factor, seg), temp, "decade"))
+    std = cut_lineage(_finite_channels(raw_to_standard(attach(wide, factor, seg), temp, "decade")))
     cleaned = clean_segments(std, seg, ["row_idx"], "voltage", "current", "t", **(clean or {}))
     if smooth:
         for c in ("voltage", "current", "resistance"):

@@ -51,6 +51,12 @@ def test_number_text_of_ties(spark):
     assert got == ["1.98E+05", "6.54E+04", "9.72E+03", "1.00E+00", None]
 
 
+def test_resistance_without_current(spark):
+    df = spark.createDataFrame([(0.0, 0.0, None), (2.0, 0.0, None), (2.0, None, 0.0)], "raw_voltage double, raw_current double, raw_resistance double")
+    got = raw_to_standard(df).select("current", "resistance").collect()
+    assert math.isnan(got[0]["resistance"]) and got[1]["resistance"] == math.inf and got[2]["current"] == math.inf
+
+
 def test_form_expressions_at_zero(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "f double, re double, im double")
     got = one(M.with_forms(df, "f", "re", "im", {"lg": "log10(abs(Z.mag)) * 2", "y": "Y.real"}))
