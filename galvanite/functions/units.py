@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,9 +147,22 @@ def log_grid(lo: Column, hi: Column, count: Column) -> Column:
 
 def decade_grid(df: DataFrame, lo: str, hi: str, per_decade: int, name: str = "freq") -> DataFrame:
     """One row per grid frequency between two columns of each dataset."""
-    a, b = F.log10(F.col(lo)), F.log10(F.col(hi))
-    count = F.floor(1 + per_decade * F.abs(a - b)).cast("int")
-    return df.withColumn(name, F.explode(log_grid(a, b, count)))
+
+    @F.pandas_udf("array<double>")
+    def grid(low: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series([_decade_points(x, y, per_decade) for x, y in zip(low, high)], dtype=object)
+
+    return df.withColumn(name, F.explode(grid(F.col(lo).cast("double"), F.col(hi).cast("double"))))
+
+
+def _decade_points(lo: float, hi: float, per_decade: int) -> list[float] | None:
+    """The count is cut to a whole number, so the last bit of a logarithm decides about
+    a point: the C library's one is taken, not Java's."""
+    if not (0 < lo < math.inf and 0 < hi < math.inf):
+        return None
+    a, b = math.log10(lo), math.log10(hi)
+    n = int(1 + per_decade * abs(a - b))
+    return [10.0 ** (a + i * (b - a) / (n - 1)) for i in range(n)] if n > 1 else [10.0 ** a]
 
 
 def time_to_frequency(dt: Column, t_max: Column) -> tuple[Column, Column]:

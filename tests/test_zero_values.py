@@ -66,3 +66,9 @@ def test_form_expressions_at_zero(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "f double, re double, im double")
     got = one(M.with_forms(df, "f", "re", "im", {"lg": "log10(abs(Z.mag)) * 2", "y": "Y.real"}))
     assert got["lg"] == -math.inf and math.isnan(got["y"])
+
+
+def test_decade_grid_counts(spark):
+    df = spark.range(1, 300).select((F.col("id") + 1.0).alias("lo"), ((F.col("id") + 1.0) * 100).alias("hi"))
+    counts = {r["lo"]: r["n"] for r in U.decade_grid(df, "lo", "hi", 4).groupBy("lo").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts == {x: int(1 + 4 * abs(math.log10(x) - math.log10(x * 100))) for x in (i + 1.0 for i in range(1, 300))}
