@@ -198,7 +198,8 @@ def common_text(spark, sf):
 SELECT s_suppkey, round(pow(10, a + i * (b - a) / (n - 1)), 6) AS freq FROM e""")
 def frequency_grid(spark, sf):
     df = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") + 1.0).alias("lo"), ((F.col("s_suppkey") + 1.0) * 100).alias("hi"))
-    return rounded(U.decade_grid(df, "lo", "hi", 4).select("s_suppkey", "freq"), 6)
+    # Rounded as the product, like the SQL: a decimal text of the number rounds other ties.
+    return U.decade_grid(df, "lo", "hi", 4).select("s_suppkey", (F.round(F.col("freq") * 1e6) / 1e6).alias("freq"))
 
 
 def _poly(x: str, coef) -> str:
