@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from galvanite.functions import units
 from galvanite.functions.standard import ordered_bounds
-from galvanite.keyed import Ordered, attach, quantiles, with_group
+from galvanite.keyed import Ordered, attach, has_hot_group, quantiles, with_group
 from galvanite.operators.metrics import error_metrics
 from galvanite.operators.select import target_rows
 from galvanite.operators.windows import bias_to_group
@@ -374,6 +374,148 @@ def _square(flat: np.ndarray, k: int) -> np.ndarray:
     return a + np.triu(a, 1).T
 
 
+def _rounds_as_jobs(df: DataFrame, keys: list[str], t: str, y: str, model, state: DataFrame, weight: str | None, loss, update: Callable, schema: str, most: int) -> DataFrame:
+    """The rounds of `gauss_newton`, each one aggregation over all rows of the open segments."""
+    closed: list[DataFrame] = []
+    for _ in range(most):
+        eq = normal_equations(df, keys, t, y, model, state, weight, loss)
+        # Plans grow by one scan per round; materialise the small state table.
+        moved = cut_lineage(attach(state, eq, keys).mapInPandas(update, schema))
+        left = moved.agg(F.count(F.when(F.col("open"), 1)), F.count(F.when(~F.col("open"), 1))).first()
+        state = moved.where("open")
+        if left[1]:
+            closed.append(moved.where("NOT open"))
+            if len(closed) > 16:
+                closed = [cut_lineage(reduce(DataFrame.unionByName, closed))]
+        if not left[0]:
+            break
+    return reduce(DataFrame.unionByName, [*closed, state])
+
+
+# The named models for arrays.
+def _decayed(t: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    return np.exp(-t / np.where(tau == 0, units.TAU_GUARD, tau))
+
+
+CURVES: dict[str, Callable] = {
+    "linear": lambda t, a, b: a * t + b,
+    "power": lambda t, a, tau, b: a * np.power(np.where(t == 0, units.TAU_GUARD, t), -tau) + b,
+    "exp": lambda t, a, tau, b: a * _decayed(t, tau) + b,
+    "double_exp": lambda t, a, tau, c, late, b: a * _decayed(t, tau) + c * _decayed(t, late) + b,
+    "stretch_exp": lambda t, a, tau, beta, b: a * np.exp(-np.power(t / np.where(tau == 0, units.TAU_GUARD, tau), beta)) + b,
+}
+CHUNK_POINTS = 100_000
+
+
+def combined_points(df: DataFrame, keys: Sequence[str], t: str, y: str, weight: str | None) -> DataFrame:
+    """Rows of equal time and weight as one point: their number, mean and sum of squares about it.
+
+    A sum of squared residuals of the rows follows from these exactly.
+    """
+    rows = df.select(*keys, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    rows = rows.where(F.col("_y").isNotNull() & F.col("_t").isNotNull() & F.col("_w").isNotNull())
+    return rows.groupBy(*keys, "_t", "_w").agg(
+        F.count(F.lit(1)).alias("_m"), F.avg("_y").alias("_y"), (F.var_pop("_y") * F.count(F.lit(1))).alias("_sq"))
+
+
+def rounds_in_tasks(points: DataFrame, state: DataFrame, keys: list[str], fields: Sequence[str], schema: str, curve: Callable, k: int, most: int, ftol: float, xtol: float) -> DataFrame:
+    """The rounds of `gauss_newton` for segments whose points fit into a task.
+
+    The points of a segment come sorted behind its line of the state table.
+    A task reads them in chunks of whole segments and moves all open segments
+    of a chunk by one round at a time.
+    """
+    data = ["_t", "_w", "_m", "_y", "_sq"]
+    lines = state.select(*keys, "p", "lb", "ub", F.lit(0).alias("_kind"))
+    both = lines.unionByName(points.select(*keys, *data, F.lit(1).alias("_kind")), allowMissingColumns=True)
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def starts_of(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(pdf), bool)
+        for c in keys:
+            now, last = pdf[c], pdf[c].shift()
+            new |= ((now != last) & ~(now.isna() & last.isna())).to_numpy(bool)
+        new[:1] = True
+        return np.flatnonzero(new)
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = starts_of(pdf)
+        known = pdf["_kind"].to_numpy()[at] == 0
+        sizes = np.diff(np.append(at, len(pdf)))
+        pdf, heads, sizes = pdf[np.repeat(known, sizes)], pdf.iloc[at[known]], sizes[known] - 1
+        t, w, m, y, sq = (pdf.loc[pdf["_kind"] == 1, c].to_numpy(float) for c in data)
+        m0, m1 = w * w * m, w * w * sq
+        n = len(heads)
+        p, lb, ub = (np.array([np.asarray(v, float) for v in heads[c]]).reshape(n, k) for c in ("p", "lb", "ub"))
+        best, damp, rounds = p.copy(), np.full(n, 1e-3), np.zeros(n, int)
+        best_cost, best_rss, count = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, int)
+        a, g = np.full((n, k, k), np.nan), np.full((n, k), np.nan)
+        open_, converged = np.ones(n, bool), np.zeros(n, bool)
+        for _ in range(most):
+            now = np.flatnonzero(open_)
+            if not len(now):
+                break
+            rounds[now] += 1
+            full = now[sizes[now] > 0]
+            cost, rss, jtj, jtr = np.full(n, np.nan), np.full(n, np.nan), np.full((n, k, k), np.nan), np.full((n, k), np.nan)
+            if len(full):
+                use = np.repeat(np.isin(np.arange(n), full), sizes)
+                first = np.append(0, np.cumsum(sizes[full])[:-1])
+                total = lambda v: np.add.reduceat(v, first)
+                x, ps = t[use], [np.repeat(p[full, j], sizes[full]) for j in range(k)]
+                r = y[use] - curve(x, *ps)
+                jac = []
+                for j in range(k):
+                    h = np.maximum(np.abs(ps[j]) * 1e-6, 1e-14)
+                    up, down = [*ps], [*ps]
+                    up[j], down[j] = ps[j] + h, ps[j] - h
+                    jac.append((curve(x, *up) - curve(x, *down)) / (2 * h))
+                mw = m0[use]
+                cost[full], rss[full] = total(mw * r * r + m1[use]), total(m[use] * r * r + sq[use])
+                for i, j in pairs:
+                    jtj[full, i, j] = jtj[full, j, i] = total(mw * jac[i] * jac[j])
+                for j in range(k):
+                    jtr[full, j] = total(mw * jac[j] * r)
+                rows = total(m[use])
+            gain = np.isfinite(cost) & (cost < best_cost) & open_
+            done = gain & ((np.isfinite(best_cost) & (best_cost - cost <= ftol * np.maximum(cost, 1e-300))) | (cost == 0))
+            best[gain], best_cost[gain], best_rss[gain], a[gain], g[gain] = p[gain], cost[gain], rss[gain], jtj[gain], jtr[gain]
+            if len(full):
+                count[full] = np.where(gain[full], rows, count[full])
+            damp = np.where(gain, np.maximum(damp / 6, 1e-12), np.where(open_, damp * 8, damp))
+            done |= open_ & ~gain & (damp > 1e10)
+            solid = np.isfinite(a).all((1, 2)) & np.isfinite(g).all(1)
+            go = np.flatnonzero(open_ & solid & ~done)
+            if len(go):
+                d = np.einsum("nii->ni", a[go])
+                lifted = a[go] + (damp[go, None] * np.where(d > 0, d, 1.0))[:, :, None] * np.eye(k)
+                step = (np.linalg.pinv(lifted, rcond=np.finfo(float).eps * k) @ g[go][:, :, None])[:, :, 0]
+                p[go] = np.clip(best[go] + step, lb[go], ub[go])
+                done[go] = (np.abs(p[go] - best[go]) <= xtol * np.abs(best[go])).all(1)
+            converged |= open_ & solid & done
+            open_ &= solid & ~done
+        out = heads[keys].reset_index(drop=True)
+        upper = [[] if np.isinf(c) else [m_[i, j] for i, j in pairs] for c, m_ in zip(best_cost, a)]
+        return out.assign(
+            p=list(p), lb=list(lb), ub=list(ub), best=list(best), best_cost=best_cost, damp=damp, a=upper, g=[[] if np.isinf(c) else v for c, v in zip(best_cost, g)],
+            best_rss=best_rss, rows=count, rounds=rounds, open=open_, converged=converged)[[*keys, *fields]]
+
+    def run(batches):
+        held = None
+        with np.errstate(all="ignore"):
+            for pdf in batches:
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                if len(held) >= CHUNK_POINTS:
+                    cut = starts_of(held)[-1]
+                    if cut:
+                        yield solved(held.iloc[:cut])
+                        held = held.iloc[cut:].reset_index(drop=True)
+            if held is not None and len(held):
+                yield solved(held)
+
+    return cut_lineage(both.repartition(*keys).sortWithinPartitions(*keys, "_kind").mapInPandas(run, schema))
+
+
 MOST_ROUNDS = 500
 
 
@@ -383,9 +525,11 @@ def gauss_newton(
 ) -> DataFrame:
     """Damped Gauss-Newton for all segments together.
 
-    `start` has (keys, p array<double>) and optional bound arrays. Each round
-    is one aggregation over the rows of the segments that are still open and
-    a small solve per key on the state table. A segment is done when a round
+    `start` has (keys, p array<double>) and optional bound arrays. Segments of
+    a named model with the linear loss, whose distinct times are within the
+    group limit, go through all rounds in one job (`rounds_in_tasks`). Else each
+    round is one aggregation over the rows of the segments that are still open
+    and a small solve per key on the state table. A segment is done when a round
     gains less than `ftol` of its cost, when its step is below `xtol` of the
     parameters, or when no step lowers the cost any more. Result: (keys, p,
     std, cost, rss, n, rounds, converged); segments that stay open for
@@ -440,20 +584,12 @@ def gauss_newton(
                 new.append({c: row[c] for c in [*keys, *fields]})
             yield pd.DataFrame(new, columns=[*keys, *fields])
 
-    closed: list[DataFrame] = []
-    for r in range(MOST_ROUNDS if iterations is None else iterations):
-        eq = normal_equations(df, keys, t, y, model, state, weight, loss)
-        # Plans grow by one scan per round; materialise the small state table.
-        moved = cut_lineage(attach(state, eq, keys).mapInPandas(update, schema))
-        left = moved.agg(F.count(F.when(F.col("open"), 1)), F.count(F.when(~F.col("open"), 1))).first()
-        state = moved.where("open")
-        if left[1]:
-            closed.append(moved.where("NOT open"))
-            if len(closed) > 16:
-                closed = [cut_lineage(reduce(DataFrame.unionByName, closed))]
-        if not left[0]:
-            break
-    state = reduce(DataFrame.unionByName, [*closed, state])
+    most = MOST_ROUNDS if iterations is None else iterations
+    points = combined_points(df, keys, t, y, weight) if isinstance(model, str) and model in CURVES and loss == "linear" else None
+    if points is not None and not has_hot_group(points, keys):
+        state = rounds_in_tasks(points, state, keys, fields, schema, CURVES[model], k, most, ftol, xtol)
+    else:
+        state = _rounds_as_jobs(df, keys, t, y, model, state, weight, loss, update, schema, most)
 
     def finish(batches):
         for pdf in batches:

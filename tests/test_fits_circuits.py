@@ -85,3 +85,31 @@ def test_circuits_without_a_second_pole(spark):
     assert df.select(*C.voigt_to_maxwell(*cols)).first()[:] == (8.0, 0.75, 0.0, 0.75)
     for rb, cb in ((0.0, 0.75), (5.0, 0.0)):
         assert df.select(*C.maxwell_to_voigt(F.lit(8.0), F.lit(0.75), F.lit(rb), F.lit(cb))).first()[:] == (4.0, 1.5, 4.0, 1.5)
+
+
+def test_rounds_in_tasks_equal_rounds_as_jobs(spark, monkeypatch):
+    """Small segments of a named model take one job for all rounds; a line fitted by an exponential needs hundreds."""
+    from pyspark.sql import functions as F
+
+    from galvanite.plans import fits as T
+    from galvanite.session import GROUP_LIMIT_KEY
+
+    rows = spark.range(400).select((F.col("id") % 3).alias("k"), (F.col("id") % 40 / 40.0).alias("t"), (2 * F.exp(-(F.col("id") % 40) / 15.0) + F.col("id") % 7 / 50.0).alias("y"))
+    start = spark.createDataFrame([(k, [1.0, 0.3, 0.1]) for k in (0, 1, 2, 9)], "k long, p array<double>")
+    fit = lambda: {r["k"]: r for r in T.gauss_newton(rows, ["k"], "t", "y", "exp", start, 12).collect()}
+    spark.conf.set(GROUP_LIMIT_KEY, "16")
+    try:
+        want = fit()
+    finally:
+        spark.conf.unset(GROUP_LIMIT_KEY)
+
+    def refused(*args):
+        raise AssertionError("a job per round")
+
+    monkeypatch.setattr(T, "_rounds_as_jobs", refused)
+    monkeypatch.setattr(T, "CHUNK_POINTS", 50)
+    got = fit()
+    assert got.keys() == want.keys() == {0, 1, 2, 9}
+    for k, r in got.items():
+        assert (r["n"], r["rounds"], r["converged"]) == (want[k]["n"], want[k]["rounds"], want[k]["converged"])
+        assert r["p"] == pytest.approx(want[k]["p"], rel=1e-8) and r["rss"] == pytest.approx(want[k]["rss"], rel=1e-9)
