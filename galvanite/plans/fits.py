@@ -24,7 +24,7 @@ from galvanite.operators.metrics import error_metrics
 from galvanite.operators.select import target_rows
 from galvanite.operators.windows import bias_to_group
 from galvanite.plans.kernels import t_quantile
-from galvanite.session import cut_lineage
+from galvanite.session import cut_lineage, cut_to_files
 
 # Model name -> (column function, parameter names).
 MODELS: dict[str, tuple[Callable, list[str]]] = {
@@ -380,7 +380,7 @@ def _rounds_as_jobs(df: DataFrame, keys: list[str], t: str, y: str, model, state
     for _ in range(most):
         eq = normal_equations(df, keys, t, y, model, state, weight, loss)
         # Plans grow by one scan per round; materialise the small state table.
-        moved = cut_lineage(attach(state, eq, keys).mapInPandas(update, schema))
+        moved = cut_to_files(attach(state, eq, keys).mapInPandas(update, schema))
         left = moved.agg(F.count(F.when(F.col("open"), 1)), F.count(F.when(~F.col("open"), 1))).first()
         state = moved.where("open")
         if left[1]:

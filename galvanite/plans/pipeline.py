@@ -20,7 +20,7 @@ from galvanite.operators.joins import map_channels, split_by_verdict
 from galvanite.operators.regress import arrhenius_points, arrhenius_rollup, temperature_moments, group_trend
 from galvanite.operators.windows import polarity, savgol, savgol_fraction, segments_from_breakpoints, time_axis
 from galvanite.plans.spectra import detect_period
-from galvanite.session import cut_lineage
+from galvanite.session import cut_lineage, cut_to_files
 
 
 def find_runs_period(samples: DataFrame, run: Sequence[str], order: Sequence[str], channel: str = "channel", value: str = "value") -> DataFrame:
@@ -132,7 +132,7 @@ def standardise_runs(samples: DataFrame, run: Sequence[str], ts: str, **options)
     all runs go through together. Options: the column names `sample`,
     `condition`, `temp`; `smooth` (share of a segment), `min_slope`, `clean`.
     """
-    samples = cut_lineage(samples)
+    samples = cut_to_files(samples)
     # No step makes more than two rows of one, counted over all channels.
     with checked_once(samples, run, growth=2):
         return _standardise(samples, list(run), ts, **options)
@@ -148,31 +148,31 @@ def _standardise(
     smooth: float | None = None, min_slope: float = 0.0, clean: dict | None = None,
 ) -> dict[str, DataFrame]:
     axis = samples.select(*run, "row_idx", ts).distinct()
-    axis = cut_lineage(time_axis(axis, run, ["row_idx"], ts, "t"))
-    period = cut_lineage(find_runs_period(samples, run, ["row_idx"]))
+    axis = cut_to_files(time_axis(axis, run, ["row_idx"], ts, "t"))
+    period = cut_to_files(find_runs_period(samples, run, ["row_idx"]))
     lead = attach(samples, period.select(*run, "channel"), [*run, "channel"], "left_semi")
-    breaks = cut_lineage(refine_breakpoints(lead, run, ["row_idx"], "value", period))
-    seg_axis = cut_lineage(segments_from_breakpoints(axis, breaks, run, ["row_idx"], "t"))
+    breaks = cut_to_files(refine_breakpoints(lead, run, ["row_idx"], "value", period))
+    seg_axis = cut_to_files(segments_from_breakpoints(axis, breaks, run, ["row_idx"], "t"))
     seg = [*run, "segment"]
     rows = attach(samples.drop(ts), seg_axis.select(*run, "row_idx", "segment", "t", ts), [*run, "row_idx"])
     # Each cut writes a table that several later steps read.
-    rows = cut_lineage(rows)
-    means = cut_lineage(settled_mean(rows, [*seg, "channel"], ["row_idx"], ["value"]))
-    traits = cut_lineage(channel_traits(means, run, ["segment"]))
-    roles = cut_lineage(resolve_channels(traits, means, run, ["segment"], temp, trend=[c for c in run if c in (sample, condition)]))
+    rows = cut_to_files(rows)
+    means = cut_to_files(settled_mean(rows, [*seg, "channel"], ["row_idx"], ["value"]))
+    traits = cut_to_files(channel_traits(means, run, ["segment"]))
+    roles = cut_to_files(resolve_channels(traits, means, run, ["segment"], temp, trend=[c for c in run if c in (sample, condition)]))
     mapping = roles.where(F.col("std_channel").isNotNull()).select(*run, F.col("channel").alias("raw_channel"), "std_channel", "multiplier")
-    points = cut_lineage(_finite_channels(raw_to_standard(map_channels(means, mapping, run, ["segment"], sorted(RAW.values())), temp)))
-    factors = cut_lineage(infer_multiplier(points, sample, condition, temp))
-    points = cut_lineage(enforce_trend(factors, sample, condition, temp))
+    points = cut_to_files(_finite_channels(raw_to_standard(map_channels(means, mapping, run, ["segment"], sorted(RAW.values())), temp)))
+    factors = cut_to_files(infer_multiplier(points, sample, condition, temp))
+    points = cut_to_files(enforce_trend(factors, sample, condition, temp))
     factor = points.select(*seg, F.col("multiplier").alias("decade"))
     wide = map_channels(rows, mapping, run, ["segment", "row_idx", "t"], sorted(RAW.values()))
-    std = cut_lineage(_finite_channels(raw_to_standard(attach(wide, factor, seg), temp, "decade")))
+    std = cut_to_files(_finite_channels(raw_to_standard(attach(wide, factor, seg), temp, "decade")))
     cleaned = clean_segments(std, seg, ["row_idx"], "voltage", "current", "t", **(clean or {}))
     if smooth:
         for c in ("voltage", "current", "resistance"):
             cleaned = savgol_fraction(cleaned, seg, ["row_idx"], c, smooth, 2, name="_s").withColumn(c, F.col("_s")).drop("_s")
-    cleaned = cut_lineage(cleaned)
-    verdict = cut_lineage(decay_verdict(cleaned, seg, ["row_idx"], "t", "resistance", "voltage", [sample, condition, temp], min_slope))
+    cleaned = cut_to_files(cleaned)
+    verdict = cut_to_files(decay_verdict(cleaned, seg, ["row_idx"], "t", "resistance", "voltage", [sample, condition, temp], min_slope))
     good, bad = split_by_verdict(cleaned, verdict, seg)
     return {"points": points, "channel_map": mapping, "segments": good, "rejected": bad, "verdict": verdict}
 
