@@ -118,3 +118,22 @@ def test_suffix_medians(spark, small_groups):
     rows = [(k, i, float(rng.choice([1, 1, 2, 3, 5, 8]) * rng.choice([1, -1]))) for k in "ab" for i in range(50 if k == "a" else 1)]
     got = {(r["k"], r["i"]): r["median"] for r in W.suffix_medians(spark.createDataFrame(rows, "k string, i long, v double"), ["k"], "i", "v").collect()}
     assert got == {(k, i): statistics.median([v for q, j, v in rows if q == k and j >= i]) for k, i, _ in rows}
+
+
+@pytest.mark.parametrize("values, first", [
+    ([60.94, 25.38, 74.74, 84.26, 5.7, 16.91, 39.59, 15.89, 21.31, 3.52, 39.72, 49.5, 67.57], True),
+    ([125.05, 141.77, 15.94, 12.26, 103.57, 4.51, 0.1, 12.35, 27.16, 78.76, 127.7, 172.91, 0.69, 39.75, 10.11, 3.18], False),
+])
+def test_skew_limit_sums_ties_in_frame_order(spark, values, first):
+    """Mean/median of all steps is 1.3 but for rounding; summed from the first step on it is below, or not, as in the SQL."""
+    import duckdb
+
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, i long, v double")
+    got = W.skew_limit(df, ["k"], ["i"], "v", 1.3).first()["skew_limit"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(range(?)) AS i, unnest(?) AS v", [len(values), values])
+    want = con.execute("""WITH d AS (SELECT i, abs(lead(v) OVER (ORDER BY i) - v) AS a FROM t),
+r AS (SELECT i, avg(a) OVER w / quantile_cont(a, 0.5) OVER w AS r FROM d WHERE a IS NOT NULL WINDOW w AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT coalesce(min(CASE WHEN r < 1.3 AND i < ? - 2 THEN i END), ? - 1) FROM r""", [len(values), len(values)]).fetchone()[0]
+    assert got == want
+    assert (got == 0) == first
