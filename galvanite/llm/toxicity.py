@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from galvanite.llm.shared import staged
+from galvanite.llm.shared import small_batches, staged
 
 # Identity terms; each is swapped for the next of its line.
 IDENTITY = [
@@ -65,14 +65,14 @@ def slots(words: list[str]) -> np.ndarray:
 
 
 def features_column(text: Column) -> Column:
-    """Struct of two feature lists: the text, and its copy with swapped identity terms."""
+    """Struct of two feature lists: the text, and its copy with swapped identity terms (null for a text without any)."""
 
     @pandas_udf("own array<int>, other array<int>")
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             for at in range(0, len(texts), 128):  # feature lists are long: they leave in small parts
                 sets = [words_of(t) for t in texts.iloc[at:at + 128]]
-                yield pd.DataFrame({"own": [slots(s).astype(np.int32) for s in sets], "other": [slots([SWAP.get(w, w) for w in s]).astype(np.int32) for s in sets]})
+                yield pd.DataFrame({"own": [slots(s).astype(np.int32) for s in sets], "other": [None if SWAP.keys().isdisjoint(s) else slots([SWAP.get(w, w) for w in s]).astype(np.int32) for s in sets]})
 
     return make(F.coalesce(text, F.lit("")))
 
@@ -106,6 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, rounds: in
     without id, held-out rows and null labels are left out; without any row
     the weights give a score of one half everywhere below the threshold.
     """
+    small_batches(docs.sparkSession)
     use = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id")  # at most max_rows lines of two numbers
@@ -124,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, rounds: in
     scale = F.log((F.col("pos") + 0.5) / n1) - F.log((F.col("n") - F.col("pos") + 0.5) / n0)
     found = seen.where(F.col("n") >= 5).select("f", scale.alias("scale")).where(F.abs("scale") >= 2.0).toArrow().sort_by("f")  # fewer than 2^BITS lines of two numbers
     kept, scale = found["f"].to_numpy(), found["scale"].to_numpy()
-    table = rows.orderBy("doc_id").select("toxic", only_column(F.col("own"), kept).alias("own"), only_column(F.col("other"), kept).alias("other")).toArrow()
+    table = rows.orderBy("doc_id").select("toxic", only_column(F.col("own"), kept).alias("own"), only_column(F.coalesce("other", "own"), kept).alias("other")).toArrow()
     y = (table["toxic"].to_numpy() > 0).astype(float)
     k = len(kept)
     full, weights = weights, np.zeros(k + 1)

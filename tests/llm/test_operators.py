@@ -474,3 +474,14 @@ def test_pagerank_brute_force(spark):
     want = 0.15 * np.linalg.solve(np.eye(n) - 0.85 * walk.T, start)
     got = {r.host: r.rank for r in host_trust.propagate(edges, seeds, tolerance=1e-9).collect()}
     assert all(abs(got.get(f"h{i}", 0.0) - want[i]) < 1e-6 for i in range(n))
+
+
+def test_toxicity_swapped_copies(spark):
+    """Only a text with identity words has a swapped copy, and texts go to Python in small batches."""
+    df = spark.createDataFrame([(0, "plain words only"), (1, "the old woman"), (2, None)], "id int, text string").coalesce(1)
+    got = {r["id"]: r for r in df.select("id", toxicity.features_column(df["text"]).alias("f")).select("id", "f.*").collect()}
+    assert got[0]["other"] is None and got[2]["other"] is None
+    assert got[1]["other"] == toxicity.slots(["the", "young", "man"]).tolist() and got[1]["own"] == toxicity.slots(["the", "old", "woman"]).tolist()
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} old text {i}") for i in range(40)], "doc_id long, text string")
+    toxicity.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
