@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galvanite.keyed import Ordered, attach, has_hot_group, quantiles, weighted_median, with_group, with_total
+from galvanite.keyed import Ordered, attach, counted_quantiles, counted_values, has_hot_group, quantiles, weighted_median, with_group, with_total
 
 
 def settled_mean(
@@ -108,6 +108,10 @@ def stats_summary(
     for v in values:
         measured = measured.withColumn(f"_u_{v}", F.when(F.col("_u"), F.col(v)))
 
+    # A key of the finer level is never larger than one of the coarser.
+    hot = has_hot_group(df, [measurement])
+    counted = {v: counted_values(measured, [fit, measurement, "_u"], v).withColumn(f"_u_{v}", F.when(F.col("_u"), F.col(v))) for v in values} if hot else {}
+
     def stats(keys: list[str], std) -> DataFrame:
         aggs = [F.sum(flag.cast("long")).alias("updated")]
         wanted = []
@@ -119,13 +123,13 @@ def stats_summary(
                     F.min(src).alias(f"{v}_{tag}min"),
                     F.max(src).alias(f"{v}_{tag}max"),
                 ]
-                wanted.append((src, f"{v}_{tag}median"))
-        if not has_hot_group(measured, keys):
-            aggs += [F.percentile(src, 0.5).alias(n) for src, n in wanted]
+                wanted.append((v, src, f"{v}_{tag}median"))
+        if not hot:
+            aggs += [F.percentile(src, 0.5).alias(n) for _, src, n in wanted]
             return measured.groupBy(*keys).agg(*aggs)
         out = measured.groupBy(*keys).agg(*aggs)
-        for src, n in wanted:
-            out = attach(out, quantiles(measured, keys, src, {n: 0.5}), keys)
+        for v, src, n in wanted:
+            out = attach(out, counted_quantiles(counted[v], keys, src, {n: 0.5}), keys)
         return out
 
     per_fit = stats([fit, measurement], F.stddev_samp)
@@ -156,10 +160,13 @@ def trimmed_midpoint(
     )
     mag = F.abs("_raw")
     usable = F.when(mag > 0, F.log10(mag)) if logspace else mag
-    long = long.withColumn("_v", usable)
     gk = [*keys, "_c"]
+    if has_hot_group(long, gk):
+        counted, of = counted_values(long, gk, "_raw"), counted_quantiles
+    else:
+        counted, of = long, quantiles
     part = attach(
-        quantiles(long, gk, "_v", {"_lo": q, "_hi": 1 - q}), quantiles(long, gk, "_raw", {"_med": 0.5}), gk
+        of(counted.withColumn("_v", usable), gk, "_v", {"_lo": q, "_hi": 1 - q}), of(counted, gk, "_raw", {"_med": 0.5}), gk
     )
     out = part.groupBy(*keys).agg(
         F.avg((F.col("_lo") + F.col("_hi")) / 2).alias("_mid"), F.percentile("_med", 0.5).alias("_fallback")

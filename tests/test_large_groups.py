@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galvanite.keyed import Ordered, has_hot_group, quantiles, weighted_median
+from galvanite.operators import aggregates
 from galvanite.operators import cleaning as CL
 from galvanite.operators import windows as W
 from galvanite.plans.interpolation import interpolate_at
@@ -133,3 +134,27 @@ def test_trend_candidates_of_large_groups(spark):
 
     df = spark.range(80).select(F.lit("a").alias("k"), (F.col("id") % 5).alias("temp"), (F.col("id") * 37 % 101 + 1.0).alias("f"), (F.col("id") % 9 / 9.0).alias("w"))
     assert len(both(spark, lambda: trend_candidates(df, ["k"], "temp", "f", "w", ["weight"]))) == 5
+
+
+@pytest.mark.parametrize("of, reads", [
+    (lambda df: quantiles(df, ["k"], "v", {"m": 0.5, "hi": 0.9}), 1),
+    (lambda df: aggregates.trimmed_midpoint(df, ["k"], ["v"]), 1),
+    (lambda df: aggregates.stats_summary(df, "f", "k", ["v"], "up"), 3),
+])
+def test_quantiles_of_large_groups_read_values_once(spark, runs, of, reads):
+    """Values of groups above the limit are read once for all quantiles (moments of both levels read them too)."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(v):
+        seen.add(1)
+        return v
+
+    df = runs.withColumn("v", F.udf(noted, "double").asNondeterministic()("v")).withColumn("f", F.lit("x")).withColumn("up", F.col("id") % 2 == 0)
+    plain = rows(of(runs.withColumn("f", F.lit("x")).withColumn("up", F.col("id") % 2 == 0)))
+    spark.conf.set(GROUP_LIMIT_KEY, "16")
+    try:
+        got = rows(of(df))
+    finally:
+        spark.conf.unset(GROUP_LIMIT_KEY)
+    assert seen.value <= reads * runs.count()
+    assert got == plain
