@@ -22,8 +22,17 @@ DEFAULT_DIMS = (25.0, 0.045)
 def uniform_grid(start: Column, stop: Column, dt: Column) -> Column:
     """Array of round((stop - start) / dt) + 1 evenly spaced times."""
     n = F.round((stop - start) / dt).cast("int")
-    step = F.try_divide(stop - start, n.cast("double"))
-    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: start + i * F.coalesce(step, F.lit(0.0)))
+    # Read by the inner function, so that they are worked out once a grid: rounding at every point would be most of the work.
+    facts = F.struct(start.alias("a"), n.alias("n"), F.coalesce(F.try_divide(stop - start, n.cast("double")), F.lit(0.0)).alias("step"))
+    grid = F.transform(F.array(facts), lambda g: F.transform(F.sequence(F.lit(0), F.greatest(g["n"], F.lit(0))), lambda i: g["a"] + i * g["step"]))
+    return grid[0]
+
+
+def spread_by_points(rows: DataFrame, points: Column, per_task: int = 500_000) -> DataFrame:
+    """Rows dealt to as many tasks as their grids need: a small table in one task would make all points there."""
+    total = rows.agg(F.sum(points)).first()[0] or 0
+    parts = math.ceil(total / per_task)
+    return rows.repartition(parts) if parts > 1 else rows
 
 
 def _derived(df: DataFrame) -> DataFrame:
@@ -53,6 +62,7 @@ def decay_from_data(
     least = significant(F.lit(1.0 / (2.0 * max_f_max)), 3)
     ends = ends.withColumn("dt", significant(F.greatest(F.col("_dt"), least), 3))
     stop = F.rint(F.least(F.col("_t1"), F.col("_t0") + 1.0 / min_f_min))
+    ends = spread_by_points(cut_lineage(ends), F.try_divide(stop - F.col("_t0"), F.col("dt")))
     grid = ends.withColumn("_grid", uniform_grid(F.col("_t0"), stop, F.col("dt")))
     grid = cut_lineage(grid.select(*keys, "dt", F.posexplode("_grid").alias("i", "t")))
     out = attach(grid, interpolate_at(rows, grid, keys, "t", ["_i", "_v"], method), [*keys, "t"])
@@ -79,6 +89,7 @@ def decay_from_fit(
     rows = rows.withColumn("dt", significant(F.greatest(F.least(raw_dt, dt_max), dt_min), 3))
     raw_end = F.coalesce(F.when(F.size("_taus") == 1, 7).otherwise(5) * F.array_max("_taus"), F.lit(0.0))
     rows = rows.withColumn("_end", F.least(F.greatest(F.rint(raw_end), F.lit(1 / max_f_min)), F.lit(1 / min_f_min)))
+    rows = spread_by_points(rows, F.col("_end") / F.col("dt"))
     grid = rows.withColumn("_grid", uniform_grid(F.lit(0.0), F.col("_end"), F.col("dt")))
     out = grid.select(*keys, "dt", current, voltage, F.posexplode("_grid").alias("i", "t"))
     out = out.withColumn("flux", multi_exponential_curve(F.col("t"), F.col(current)) / area).withColumn(

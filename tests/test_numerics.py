@@ -166,3 +166,17 @@ def test_names(spark):
 def test_general_number(spark):
     df = spark.createDataFrame([(1234.5,), (12.5,), (7.0,), (0.00012,)], "x double")
     assert [r[0] for r in df.select(X.general_number(F.col("x"))).collect()] == ["1.23e3", "12.5", "7", "1.2e-4"]
+
+
+def test_decay_from_fit_spreads_its_points(spark):
+    """Parameters in one part: the points of twelve long segments are made in several tasks."""
+    rows = [(k, [1.0, 0.5 + k * 1200.0, 0.1], [0.0, 1.0, 2.0]) for k in range(12)]
+    fits = spark.createDataFrame(rows, "k int, c array<double>, v array<double>").coalesce(1)
+    out = D.decay_from_fit(fits, ["k"], "c", "v")
+    got = {r["k"]: r for r in out.groupBy("k").agg(F.count("i").alias("n"), F.max("t").alias("end"), F.max("dt").alias("dt")).collect()}
+    assert all(r["n"] == round(r["end"] / r["dt"]) + 1 for r in got.values()) and len(got) == 12
+    assert out.rdd.getNumPartitions() > 1
+    plan = spark.range(1).select(D.uniform_grid(F.col("id").cast("double"), F.col("id") + 1.0, F.lit(0.1)).alias("g"))
+    assert plan.first()["g"] == [0.0 + i * (1.0 / 10) for i in range(11)]
+    inner = plan._jdf.queryExecution().analyzed().toString()
+    assert "round(" not in inner.split("lambdafunction(", 1)[1]  # not at every point again
