@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galvanite.keyed import Ordered, attach, quantiles, with_group
+from galvanite.keyed import Ordered, attach, map_keys, quantiles, with_group
 
 # The influence of a knot on a cubic spline falls by at least one half per
 # knot, so 64 rows of context leave an error below the last double digit.
@@ -70,8 +70,11 @@ def spline_slopes(
 
     Each block of a key is solved with its neighbours' rows as context.
     """
+    seq = Ordered(df, keys, [x], split=split)
+    if not seq.split:
+        return map_keys(df, keys, [x], [x, y], lambda xs, ys: (None, [spline_derivatives(xs, ys, natural)]), f"`{name}` double")
     types = dict(df.dtypes)
-    spread = Ordered(df, keys, [x], split=split).spread_blocks(SPLINE_HALO)
+    spread = seq.spread_blocks(SPLINE_HALO)
     rest = [c for c in df.columns if c not in keys]
     schema = "".join(f"`{c}` {types[c]}, " for c in [*keys, *rest]) + f"`{name}` double"
 

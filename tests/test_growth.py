@@ -32,3 +32,14 @@ def test_grubbs_clip_of_many_short_keys(spark):
     rows = [(k or None, i, 1000.0 if i == 5 else float(i % 3)) for k in range(30) for i in range(20)]
     got = CL.grubbs_clip(spark.createDataFrame(rows, "k int, i int, v double"), ["k"], ["i"], "v")
     assert sorted((r["k"] or 0, r["i"]) for r in got.where("outlier").collect()) == [(k, 5) for k in range(30)]
+
+
+def test_splines_of_many_short_keys_share_a_call(spark):
+    df = many_keys(spark)
+    got = I.spline_slopes(df, ["k"], "x", "y")
+    assert "FlatMapGroupsInPandas" not in plan_of(got)
+    found = {(r["k"], r["x"]): r["_d"] for r in got.collect()}
+    assert len(found) == df.count()
+    for k in {r["k"] for r in df.select("k").distinct().collect()}:
+        xs, ys = map(np.array, zip(*sorted((r["x"], r["y"]) for r in df.where(F.col("k").eqNullSafe(F.lit(k))).collect())))
+        assert [found[k, x] for x in xs] == [float(d) for d in I.spline_derivatives(xs, ys)]
