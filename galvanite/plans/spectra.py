@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galvanite.functions.units import log_grid
-from galvanite.keyed import Ordered, attach, checked_once, has_hot_group, quantiles, with_group
+from galvanite.keyed import Ordered, attach, checked_once, has_hot_group, map_keys, quantiles, with_group
 from galvanite.operators.windows import downsample
 from galvanite.plans.interpolation import interpolate_at
 from galvanite.session import cut_lineage, group_limit
@@ -49,21 +49,21 @@ def spectrum(df: DataFrame, keys: Sequence[str], i: str, value: str, limit: int
     keys = list(keys)
     limit = limit or group_limit(df.sparkSession)
     rows = df.select(*keys, F.col(i).cast("long").alias("_i"), F.col(value).cast("double").alias("_v"))
-    schema = _fields(df, keys) + "bin long, re double, im double"
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        z = np.fft.fft(pdf["_v"].to_numpy())
-        out = pdf[keys].copy()
-        out["bin"], out["re"], out["im"] = np.arange(len(z)), z.real, z.imag
-        return out
+    def whole(_: np.ndarray, v: np.ndarray) -> tuple[None, list[np.ndarray]]:
+        z = np.fft.fft(v)
+        return None, [np.arange(len(z)), z.real, z.imag]
+
+    def fft(part: DataFrame) -> DataFrame:
+        out = map_keys(part, keys, ["_i"], ["_i", "_v"], whole, "bin double, re double, im double")
+        return out.select(*keys, F.col("bin").cast("long").alias("bin"), "re", "im")
 
     if not has_hot_group(df, keys, limit):
-        return rows.groupBy(*keys).applyInPandas(whole, schema)
+        return fft(rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     short = attach(rows, sizes.where(F.col("_n") <= limit), keys, "left_semi")
     long = attach(rows, sizes.where(F.col("_n") > limit), keys, "inner")
-    return short.groupBy(*keys).applyInPandas(whole, schema).unionByName(_chirp(long, keys))
+    return fft(short).unionByName(_chirp(long, keys))
 
 
 def _chirp(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,3 +43,20 @@ def test_splines_of_many_short_keys_share_a_call(spark):
     for k in {r["k"] for r in df.select("k").distinct().collect()}:
         xs, ys = map(np.array, zip(*sorted((r["x"], r["y"]) for r in df.where(F.col("k").eqNullSafe(F.lit(k))).collect())))
         assert [found[k, x] for x in xs] == [float(d) for d in I.spline_derivatives(xs, ys)]
+
+
+def test_peaks_and_spectra_of_many_short_keys_share_a_call(spark):
+    df = many_keys(spark)
+    peaks, spec = K.local_maxima(df, ["k"], "x", "y"), S.spectrum(df, ["k"], "x", "y")
+    assert "FlatMapGroupsInPandas" not in plan_of(peaks) + plan_of(spec)
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r["k"], []).append((r["x"], r["y"]))
+    want_peaks, want_spec = set(), {}
+    for k, points in rows.items():
+        xs, ys = map(np.array, zip(*sorted(points)))
+        at, prom, width = N.peak_properties(ys)
+        want_peaks |= {(k, float(xs[p]), float(ys[p]), float(w), float(q)) for p, q, w in zip(at, prom, width)}
+        want_spec |= {(k, b): complex(z) for b, z in enumerate(np.fft.fft(ys))}
+    assert {tuple(r) for r in peaks.select("k", "peak_freq", "peak_value", "points", "prominence").collect()} == want_peaks
+    assert {(r["k"], r["bin"]): complex(r["re"], r["im"]) for r in spec.collect()} == want_spec
