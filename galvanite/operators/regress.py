@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galvanite.functions.ieee import finite, log10
-from galvanite.keyed import Ordered, attach, with_group
+from galvanite.keyed import Ordered, attach, with_few, with_group
 from galvanite.operators.metrics import aicc
 
 # Boltzmann constant in eV/K, zero of the Celsius scale in K,
@@ -216,7 +216,7 @@ def general_fit(
 
 def error_weights(df: DataFrame, keys: Sequence[str], error: str, name: str = "weight") -> DataFrame:
     """clip((max E - E) / max(max E - E), 1e-32, 1) within each key."""
-    rows = with_group(df, keys, F.max(error).alias("_hi"), F.min(error).alias("_lo"))
+    rows = with_few(df, keys, F.max(error).alias("_hi"), F.min(error).alias("_lo"))
     share = F.try_divide(F.col("_hi") - F.col(error), F.col("_hi") - F.col("_lo"))
     w = F.least(F.greatest(share, F.lit(MIN_READING)), F.lit(1.0))
     return rows.withColumn(name, F.coalesce(w, F.lit(1.0))).drop("_hi", "_lo")
@@ -249,21 +249,20 @@ def group_trend(
     into |value| * sign_default; `fixed_ea` gives an activation energy per
     column for the Arrhenius form.
     """
-    ids = [*keys, x, *([error] if error else [])]
+    weight = None
+    if error:  # errors do not differ by column
+        df, weight = error_weights(df, keys, error, "_weight"), "_weight"
+    ids = [*keys, x, *([weight] if weight else [])]
     long = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         ids, list(columns), "column", "value"
     )
     gk = [*keys, "column"]
     if sign_default:
-        long = with_group(long, gk, F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        long = with_few(long, gk, F.min("value").alias("_lo"), F.max("value").alias("_hi"))
         mixed = (F.col("_lo") < 0) & (F.col("_hi") > 0)
         long = long.withColumn(
             "value", F.when(mixed, F.abs("value") * sign_default).otherwise(F.col("value"))
         ).drop("_lo", "_hi")
-    weight = None
-    if error:
-        long = error_weights(long, gk, error, "_weight")
-        weight = "_weight"
     if kind == "linear":
         return linear_fit(long, gk, x, "value", weight)
     if kind == "exponential":

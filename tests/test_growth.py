@@ -3,7 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from galvanite import keyed
+from galvanite.operators import channels as C
 from galvanite.operators import cleaning as CL
+from galvanite.operators import regress as R
 from galvanite.plans import interpolation as I
 from galvanite.plans import kernels as N
 from galvanite.plans import peaks as K
@@ -60,3 +63,12 @@ def test_peaks_and_spectra_of_many_short_keys_share_a_call(spark):
         want_spec |= {(k, b): complex(z) for b, z in enumerate(np.fft.fft(ys))}
     assert {tuple(r) for r in peaks.select("k", "peak_freq", "peak_value", "points", "prominence").collect()} == want_peaks
     assert {(r["k"], r["bin"]): complex(r["re"], r["im"]) for r in spec.collect()} == want_spec
+
+
+def test_weights_of_few_large_keys_leave_the_rows_in_place(spark):
+    df = spark.createDataFrame([(k or None, float(i), 2.0 * i + k, float(i % 5)) for k in range(3) for i in range(50)], "k int, x double, y double, e double")
+    got = R.error_weights(df, ["k"], "e")
+    assert "BroadcastHashJoin" in plan_of(got) and "SortMergeJoin" not in plan_of(got)
+    got.collect()
+    lines = R.group_trend(df, ["k"], "x", ["y"], "linear", error="e").collect()
+    assert sorted((r["k"] or 0, r["n"], round(r["m"], 9), round(r["b"], 9)) for r in lines) == [(k, 50, 2.0, float(k)) for k in range(3)]
