@@ -378,21 +378,25 @@ def _into_range() -> Column:
 def column_traits(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Traits of every candidate column of a sweep, one line per column."""
     keys = list(keys)
-    long = df.select(*keys, *order, *[F.col(c).cast("double").alias(f"_c_{c}") for c in columns]).unpivot(
-        [*keys, *order], [f"_c_{c}" for c in columns], "column", "_v"
-    ).withColumn("column", F.regexp_replace("column", "^_c_", ""))
-    gk = [*keys, "column"]
-    v = F.col("_v")
-    lg = F.when(v > 0, F.log10(F.when(v > 0, v)))
-    rows = Ordered(long, gk, list(order)).frame({"_d": lambda w: v - F.lag(v).over(w), "_ld": lambda w: lg - F.lag(lg).over(w)})
-    base = rows.groupBy(*gk).agg(
-        F.count("_v").alias("n"), F.avg((v >= 0).cast("double")).alias("positive"), F.max(F.abs(v)).alias("max_abs"), F.min(F.abs(v)).alias("min_abs"),
-        F.abs(F.avg(F.signum("_d"))).alias("monotone"), F.avg("_ld").alias("_lm"), F.stddev_pop("_ld").alias("_ls"),
-    )
-    spacing = F.when(F.col("_lm") != 0, F.abs(F.try_divide(F.col("_ls"), F.col("_lm"))))
-    return base.withColumn("log_spread", spacing).drop("_lm", "_ls").withColumn(
-        "position", F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
-    )
+    rows = df.select(*keys, *order, *[F.col(c).cast("double").alias(f"_c_{c}") for c in columns])
+    logs = {c: F.when(F.col(f"_c_{c}") > 0, F.log10(F.when(F.col(f"_c_{c}") > 0, F.col(f"_c_{c}")))) for c in columns}
+    steps = {}
+    for c in columns:
+        steps[f"_d_{c}"] = lambda w, v=F.col(f"_c_{c}"): v - F.lag(v).over(w)
+        steps[f"_l_{c}"] = lambda w, lg=logs[c]: lg - F.lag(lg).over(w)
+    rows = Ordered(rows, keys, list(order)).frame(steps)
+
+    def traits(c: str, position: int) -> Column:
+        v, step = F.col(f"_c_{c}"), F.col(f"_l_{c}")
+        return F.struct(
+            F.lit(c).alias("column"), F.count(v).alias("n"), F.avg((v >= 0).cast("double")).alias("positive"), F.max(F.abs(v)).alias("max_abs"),
+            F.min(F.abs(v)).alias("min_abs"), F.abs(F.avg(F.signum(f"_d_{c}"))).alias("monotone"),
+            F.when(F.avg(step) != 0, F.abs(F.try_divide(F.stddev_pop(step), F.avg(step)))).alias("log_spread"), F.lit(position).cast("long").alias("position"),
+        )
+
+    # All columns share the order of the rows, so these are sorted once and not once a column.
+    base = rows.groupBy(*keys).agg(F.array(*[traits(c, k) for k, c in enumerate(columns, 1)]).alias("_t"), F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
+    return base.select(*keys, F.explode("_t").alias("_t")).select(*keys, "_t.*")
 
 
 def infer_roles(traits: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -72,3 +72,22 @@ def test_weights_of_few_large_keys_leave_the_rows_in_place(spark):
     got.collect()
     lines = R.group_trend(df, ["k"], "x", ["y"], "linear", error="e").collect()
     assert sorted((r["k"] or 0, r["n"], round(r["m"], 9), round(r["b"], 9)) for r in lines) == [(k, 50, 2.0, float(k)) for k in range(3)]
+
+
+def test_traits_sort_the_rows_once_for_all_columns(spark):
+    df = spark.createDataFrame([(k, i, 10.0 ** i, -float(i), None if i == 2 else 5.0) for k in "ab" for i in range(6)], "k string, i int, f double, b double, c double")
+    got = C.column_traits(df, ["k"], ["i"], ["f", "b", "c"])
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Expand" not in plan and plan.count("Window [") == 1
+    rows = {(r["k"], r["column"]): r for r in got.collect()}
+    assert len(rows) == 6 and rows["a", "c"]["n"] == 5 and rows["a", "b"]["monotone"] == 1 and rows["b", "f"]["log_spread"] < 1e-9
+    assert [rows["a", c]["position"] for c in "fbc"] == [1, 2, 3] and rows["a", "b"]["log_spread"] is None
+
+
+def test_blocks_of_a_split_key_are_smaller_than_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "BLOCK_ROWS", 10)
+    df = spark.createDataFrame([("a", i, float(i % 7)) for i in range(95)], "k string, i int, v double")
+    seq = keyed.Ordered(df, ["k"], ["i"], limit=40)
+    assert seq._blocks().select("_kx_b").distinct().count() == 10
+    got = seq.running({"s": ("sum", F.col("v"))}).collect()
+    assert all(r["s"] == sum(float(j % 7) for j in range(r["i"] + 1)) for r in got)
