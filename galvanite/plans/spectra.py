@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from galvanite.functions.units import log_grid
 from galvanite.keyed import Ordered, attach, checked_once, has_hot_group, map_keys, quantiles, with_group
 from galvanite.operators.windows import downsample
+from galvanite.plans.decays import spread_by_points
 from galvanite.plans.interpolation import interpolate_at
 from galvanite.session import cut_lineage, group_limit
 
@@ -202,6 +203,7 @@ def _permittivity(decay: DataFrame, keys: Sequence[str], resample: str | None, m
             at = F.pow(F.lit(10.0), lo + F.col("_j") * step)
         else:
             at = F.col("_lo") + F.col("_j") * F.try_divide(F.col("_hi") - F.col("_lo"), (F.col("n") - 1).cast("double"))
+        ends = spread_by_points(cut_lineage(ends), F.col("n"))
         j = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))
         grid = ends.withColumn("_j", j).select(*keys, "n", "dt", at.alias("freq"))
         values = interpolate_at(spec, grid, keys, "freq", ["re", "im", "mag", "phase"], method)

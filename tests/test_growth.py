@@ -91,3 +91,12 @@ def test_blocks_of_a_split_key_are_smaller_than_the_limit(spark, monkeypatch):
     assert seq._blocks().select("_kx_b").distinct().count() == 10
     got = seq.running({"s": ("sum", F.col("v"))}).collect()
     assert all(r["s"] == sum(float(j % 7) for j in range(r["i"] + 1)) for r in got)
+
+
+def test_grids_of_a_small_table_are_made_in_several_tasks(spark, monkeypatch):
+    seen = []
+    real = S.spread_by_points
+    monkeypatch.setattr(S, "spread_by_points", lambda rows, points: seen.append(rows.count()) or real(rows, points, per_task=10))
+    rows = spark.createDataFrame([(k, i, 1.0, float(16 - i)) for k in range(3) for i in range(16)], "k int, i int, dt double, decay double")
+    assert S.permittivity(rows, ["k"], "log", 0, "pchip").select("k", "freq").distinct().count() == 48
+    assert seen == [3]
