@@ -111,18 +111,15 @@ def sketch_estimate(a, b, k: int):
     return both / F.size(union)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, width: int, slack: float, cache_shingles: int = 4_000_000) -> DataFrame:
-    """Pairs (a, b) that the sketches allow and the full sets confirm."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("id0").alias(f"i{x}"), F.col("h").alias(f"h{x}"))
+def verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, width: int, slack: float, cache_shingles: int = 1_000_000) -> DataFrame:
+    """Pairs (a, b) that the sketches of `members` (node, sketch) allow and the full sets of `texts` (node, text) confirm."""
+    side = lambda x: members.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
     # Hashes are ordered as unsigned numbers; flipping the sign bit keeps that order for signed ones.
     flip = lambda c: F.transform(c, lambda v: v.bitwiseXOR(F.lit(NO_ID)))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(sketch_estimate(flip("sa"), flip("sb"), k) >= percent / 100 - slack)
-    likely = staged(likely.select("a", "b", "ia", "ha", "ib", "hb"), "pairs")
-    wanted = likely.select(F.col("ia").alias("id0"), F.col("ha").alias("h")).unionByName(likely.select(F.col("ib").alias("id0"), F.col("hb").alias("h"))).distinct()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64("text").alias("h"), "text").join(wanted, ["id0", "h"])
-    texts = staged(texts.dropDuplicates(["id0", "h"]), "texts")
-    of = lambda x: texts.select(F.col("id0").alias(f"i{x}"), F.col("h").alias(f"h{x}"), F.col("text").alias(f"t{x}"))
-    full = likely.join(of("b"), ["ib", "hb"]).join(of("a"), ["ia", "ha"]).select("a", "b", "ta", "tb")
+    likely = staged(likely.select("a", "b"), "pairs")
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    full = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
@@ -150,7 +147,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     return full.mapInArrow(check, "a binary, b binary")
 
 
-def own_shingles(long_nodes: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def own_shingles(long_nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """node, own: how many shingles of its full set no other node of `long_nodes` (node) has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +158,39 @@ def own_shingles(long_nodes: DataFrame, nodes: DataFrame, docs: DataFrame, width
                     part = s[at:at + (1 << 20)]
                     yield pa.record_batch([pa.array(np.full(len(part), nid.as_py(), dtype=np.int64)), pa.array(part)], names=["nid", "s"])
 
-    some = nodes.join(long_nodes.select("node").distinct(), "node").select("node", "id0", "h")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64("text").alias("h"), "text").join(some, ["id0", "h"]).dropDuplicates(["node"])
-    rows = texts.select(F.xxhash64("node").alias("nid"), "text").mapInArrow(run, "nid long, s long")
+    some = texts.join(long_nodes.select("node").distinct(), "node")
+    rows = some.select(F.xxhash64("node").alias("nid"), "text").mapInArrow(run, "nid long, s long")
     single = rows.groupBy("s").agg(F.count("*").alias("f"), F.bit_xor("nid").alias("nid")).where("f = 1")
     own = single.groupBy("nid").agg(F.count("*").alias("own"))
-    return staged(some.withColumn("nid", F.xxhash64("node")).join(own, "nid").select("node", "own"), "own")
+    return staged(some.select("node", F.xxhash64("node").alias("nid")).join(own, "nid").select("node", "own"), "own")
+
+
+def node_rows(base: DataFrame) -> DataFrame:
+    """node, id0, h, n, sketch: one line per node, with the least of its rows."""
+    rows = base.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id0", "h")).alias("x"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    return rows.select("node", "x.*", "n", "sketch")  # size and sketch are the same in all rows of a node
+
+
+def text_rows(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text: the texts of `members` (node, id0, h), so that whole tables of texts are read and dealt once and not at every turn."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id0"), F.xxhash64("text").alias("h"), "text")
+    return rows.join(members.select("node", "id0", "h"), ["id0", "h"]).dropDuplicates(["id0", "h"]).select("node", "text")
+
+
+def cross_pairs(marked: DataFrame, near, short: int) -> DataFrame:
+    """a, b: all pairs of nodes across the components of each list.
+
+    Two nodes share many lists if they share one: in lists of over `short`
+    members a pair is made in the first of its long lists only, so that the
+    rows made are the pairs themselves. Short lists may repeat a pair.
+    """
+    long_rows = F.col("members") > short
+    per = marked.where(long_rows).groupBy("node").agg(F.sort_array(F.collect_set("v")).alias("vs"))  # at most k values
+    rows = marked.join(per, "node", "left").withColumn("vs", F.when(long_rows, F.col("vs")))
+    few = rows.where("label != most").select("v", F.col("node").alias("x"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("label").alias("lx"), F.col("vs").alias("vx"))
+    every = rows.select("v", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("label").alias("ly"), F.col("vs").alias("vy"), (F.col("label") == F.col("most")).alias("head"))
+    once = (F.col("head") | (F.col("x") < F.col("y"))) & (F.col("vx").isNull() | (F.get(F.array_intersect("vx", "vy"), F.lit(0)) == F.col("v")))
+    return few.join(every, "v").where((F.col("lx") != F.col("ly")) & near & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,14 +217,12 @@ def find_groups(docs: DataFrame, k: int = 48, percent: int = 85, width: int = 5,
     `short` members also use the nodes' own shingles to rule pairs out.
     """
     base = staged(sketches(docs, k, width), "sketches")
-    first = base.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id0", "h")).alias("x")).select("node", "x.*")
-    nodes = base.join(first, ["node", "id0", "h"]).select("node", "id0", "h", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
-    nodes = staged(nodes, "nodes")
+    nodes = staged(node_rows(base), "nodes")
     lists = staged(inverted_lists(nodes, k, percent), "lists")
     # What two sets can share at most, as their own shingles are not shared.
     most_shared = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (100 * most_shared >= percent * (F.col("na") + F.col("nb") - most_shared))
-    total, label, edges, tested, own, before, turn = nodes.count(), None, None, None, None, math.inf, 0
+    total, label, edges, tested, own, members, texts, before, turn = nodes.count(), None, None, None, None, None, None, math.inf, 0
     while True:
         marked = lists.withColumn("label", F.col("node")) if label is None else lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         sizes = marked.groupBy("v", "label").agg(F.count("*").alias("c"))
@@ -209,24 +231,27 @@ def find_groups(docs: DataFrame, k: int = 48, percent: int = 85, width: int = 5,
         if label is None:
             marked = marked.withColumn("own", F.lit(0).cast("long"))
         else:  # counted once: later rounds have no other nodes in their long lists
-            own = own_shingles(marked.where(F.col("members") > short), nodes, docs, width) if own is None else own
+            own = own_shingles(marked.where(F.col("members") > short), texts, width) if own is None else own
             counted = F.when(F.col("members") > short, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).cast("long")
             marked = staged(marked.join(own, "node", "left").withColumn("own", counted), "marked")
         left = marked.groupBy("v").agg(F.max("open").alias("open")).agg(F.sum("open")).first()[0] or 0
         if not left:
             break
+        if members is None:  # later turns have no other nodes
+            members = staged(nodes.join(marked.select("node").distinct(), "node").select("node", "id0", "h", "sketch"), "members")
+            texts = staged(text_rows(members, docs), "texts")
         # Pairs across components are few, or turns no longer lessen them: compare all of them.
         last = left <= 2 * total or left > 0.8 * before
         if last:
-            few = marked.where("label != most").select("v", F.col("node").alias("x"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("label").alias("lx"))
+            pairs = cross_pairs(marked, near, short).distinct()
         else:  # lists differ in their heads, so that a node of a large group meets several others
             o = F.xxhash64("node", F.pmod("v", F.lit(heads)) + turn * heads) if turn else -F.col("typical")
             few = marked.groupBy("v").agg(F.min(F.struct(o.alias("o"), "node", "n", "own", "label")).alias("x"))
             few = few.select("v", F.col("x.node").alias("x"), F.col("x.n").alias("na"), F.col("x.own").alias("oa"), F.col("x.label").alias("lx"))
-        every = marked.select("v", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("label").alias("ly"))
-        pairs = few.join(every, "v").where((F.col("lx") != F.col("ly")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            every = marked.select("v", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("label").alias("ly"))
+            pairs = few.join(every, "v").where((F.col("lx") != F.col("ly")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
-        found = staged(verified(pairs, nodes, docs, k, percent, width, slack), "edges")
+        found = staged(verified(pairs, members, texts, k, percent, width, slack), "edges")
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         label = components(edges)

@@ -337,6 +337,30 @@ def test_near_duplicates_brute_force(spark, short):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_read_texts_once(spark, monkeypatch):
+    rng, rows, names, plain = np.random.default_rng(6), [], [], near_dup.staged
+    for g in range(6):
+        words = sentence(g, 200).split()
+        for _ in range(40):
+            w = list(words)
+            for _ in range(int(rng.integers(0, 6))):
+                w[int(rng.integers(len(w)))] = f"x{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(near_dup, "staged", lambda df, name: names.append(name) or plain(df, name))
+    got = near_dup.find_groups(docs_of(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows)
+    assert names.count("pairs") > 1 and names.count("texts") == 1
+
+
+def test_cross_pairs_come_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(v, bytes([i]), bytes([i]), bytes([0]), 40, 100, 0) for v in (3, -5, 9) for i in range(40)]
+    marked = spark.createDataFrame(rows, "v long, node binary, label binary, most binary, members long, n long, own long")
+    assert near_dup.cross_pairs(marked, F.lit(True), 32).count() == 40 * 39 // 2
+    assert near_dup.cross_pairs(marked, F.lit(True), 100).distinct().count() == 40 * 39 // 2
+
+
 def test_keep_one(spark, odd, none):
     kept = near_dup.keep_one(odd)
     assert kept.columns == odd.columns
