@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galvanite.llm.decontam import NO_ID
-from galvanite.llm.shared import LOWER, UPPER, staged
+from galvanite.llm.shared import LOWER, UPPER, lean, staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOW = str.maketrans(UPPER, LOWER)
@@ -69,6 +69,7 @@ SKETCH = "doc_id long, id0 long, h long, node binary, n_shingles long, sketch ar
 def sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
     """Per row: node (digest of the shingle set, null if empty), set size, k smallest hashes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, kept = [], [], []
@@ -121,6 +122,7 @@ def verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, per
     of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     full = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb")
 
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
         held = 0
@@ -150,6 +152,7 @@ def verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, per
 def own_shingles(long_nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """node, own: how many shingles of its full set no other node of `long_nodes` (node) has."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for nid, text in zip(batch.column(0), batch.column(1)):

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvanite.llm.shared import staged
+from galvanite.llm.shared import lean, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SEGMENTS = "seg_length long, rank_from long, rank_to long, bin_from long, per_bin long, at long"
@@ -94,6 +94,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
     every worker can read; unset, the installed byte_bpe_50k.json.
     """
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = tokenizer

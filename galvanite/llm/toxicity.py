@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from galvanite.llm.shared import small_batches, staged
+from galvanite.llm.shared import lean, small_batches, staged
 
 # Identity terms; each is swapped for the next of its line.
 IDENTITY = [
@@ -68,11 +68,13 @@ def features_column(text: Column) -> Column:
     """Struct of two feature lists: the text, and its copy with swapped identity terms (null for a text without any)."""
 
     @pandas_udf("own array<int>, other array<int>")
+    @lean
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             for at in range(0, len(texts), 128):  # feature lists are long: they leave in small parts
                 sets = [words_of(t) for t in texts.iloc[at:at + 128]]
                 yield pd.DataFrame({"own": [slots(s).astype(np.int32) for s in sets], "other": [None if SWAP.keys().isdisjoint(s) else slots([SWAP.get(w, w) for w in s]).astype(np.int32) for s in sets]})
+        word_slots.cache_clear()
 
     return make(F.coalesce(text, F.lit("")))
 
@@ -84,6 +86,7 @@ def only_column(features: Column, kept: np.ndarray) -> Column:
     packed = np.packbits(wanted)
 
     @pandas_udf("array<int>")
+    @lean
     def only(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bits = np.unpackbits(packed).astype(bool)
         for lists in batches:
@@ -168,6 +171,7 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
     table = {f: tuple(w) for f, *w in zip(numbers.tolist(), *(x.tolist() for x in (per[numbers], *(per[mark(numbers, k)] for k in range(4)))))}
 
     @pandas_udf("double")
+    @lean
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, ...]] = {}
         for texts in batches:
@@ -187,6 +191,7 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
                     z += one + (n >= 2 and two + (n >= 4) * four + (n * 100 >= size) * some + (n * 30 >= size) * much)
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
             yield pd.Series(out, dtype=float)
+        word_slots.cache_clear()
 
     return score(F.coalesce(text, F.lit("")))
 

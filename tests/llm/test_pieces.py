@@ -37,3 +37,22 @@ def test_pieces_of_all_documents(spark):
         cuts = [0, *range(len(ids) % 2048 or min(2048, len(ids)), len(ids) + 1, 2048)]
         want += [(r["doc_id"], k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
     assert sorted(map(tuple, packing.token_pieces(docs).collect())) == sorted(want)
+
+
+def test_lean_steps_give_memory_back():
+    from galvanite.llm import shared
+
+    kept = []
+
+    def run(batches):
+        blocks = [np.ones(12_000) for _ in range(3_000)]  # 96 KB each, in the common heap
+        kept.extend(blocks[::50])
+        yield from batches
+
+    def resident() -> float:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    before = resident()
+    assert list(shared.lean(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 100
