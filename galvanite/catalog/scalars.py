@@ -111,9 +111,9 @@ SELECT l_orderkey, l_linenumber, round(r1 + r2, 5) AS ra, round(c1 * c2 / (c1 +
 def circuit_equivalents(spark, sf):
     r1, c1 = F.col("l_extendedprice"), F.col("l_quantity")
     ra, ca, rb, cb = C.voigt_to_maxwell(r1, c1, r1 / 3, c1 * 5)
-    back = C.maxwell_to_voigt(F.col("ra"), F.col("ca"), F.col("rb"), F.col("cb"))
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ra.alias("ra"), ca.alias("ca"), rb.alias("rb"), cb.alias("cb"))
-    return rounded(df.select("*", back[0].alias("back_r1"), back[1].alias("back_c1")), {"ra": 5, "ca": 7, "rb": 3, "cb": 7, "back_r1": 5, "back_c1": 5})
+    df = C.with_voigt(df, ["ra", "ca", "rb", "cb"], ["back_r1", "back_c1", "back_r2", "back_c2"]).drop("back_r2", "back_c2")
+    return rounded(df, {"ra": 5, "ca": 7, "rb": 3, "cb": 7, "back_r1": 5, "back_c1": 5})
 
 
 @query("split_rc", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * 10 / 11, 6) AS r1, round(l_quantity * 11 / 10, 6) AS c1, round(l_extendedprice / 11, 6) AS r2, round(l_quantity * 11, 6) AS c2 FROM lineitem""")

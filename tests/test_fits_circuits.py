@@ -113,3 +113,14 @@ def test_rounds_in_tasks_equal_rounds_as_jobs(spark, monkeypatch):
     for k, r in got.items():
         assert (r["n"], r["rounds"], r["converged"]) == (want[k]["n"], want[k]["rounds"], want[k]["converged"])
         assert r["p"] == pytest.approx(want[k]["p"], rel=1e-8) and r["rss"] == pytest.approx(want[k]["rss"], rel=1e-9)
+
+
+def test_equivalents_share_terms(spark):
+    rows = [(8.0, 0.75, 3.0, 0.5), (100.0, 0.02, 40.0, 0.3), (5.0, 0.0, 2.0, 1.0), (5.0, 1.0, 0.0, 1.0), (None, 1.0, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "ra double, ca double, rb double, cb double")
+    names = ["r1", "c1", "r2", "c2"]
+    want = df.select("*", *[x.alias(n) for n, x in zip(names, C.maxwell_to_voigt(*[F.col(c) for c in df.columns]))])
+    got = C.with_voigt(df, df.columns, names)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(got) < plan(want) / 3
