@@ -124,3 +124,20 @@ def test_equivalents_share_terms(spark):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
     assert plan(got) < plan(want) / 3
+
+
+def test_circuit_fits_without_a_frame_each(spark):
+    from galvanite.plans import circuit_fits
+    from galvanite.plans.kernels import circuit_impedance
+
+    model, true, f = "R0-p(R1,C1)", {"R0": 10.0, "R1": 1000.0, "C1": 1e-4}, 10.0 ** np.linspace(-2, 3, 25)
+    z = circuit_impedance(model, true, f)
+    sweeps = spark.createDataFrame([(k, float(a), float(b.real), float(b.imag)) for k in ("a", "b") for a, b in zip(f, z)], "k string, f double, re double, im double")
+    starts = [(k, no, n, v, lo, hi, n == "R0" and k == "b") for k in ("a", "b") for no, by in ((0, 1.0), (1, 3.0))
+              for n, v, lo, hi in (("R0", 10.0 if k == "b" else 4.0 * by, 0.1, 1e4), ("R1", 300.0 * by, 1.0, 1e6), ("C1", 1e-5 * by, 1e-9, 0.1))]
+    start = spark.createDataFrame(starts, "k string, start_no int, param string, value double, lb double, ub double, locked boolean")
+    out = circuit_fits.fit_circuits(sweeps, ["k"], "f", "re", "im", model, start)
+    assert "CoGroup" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.k, r.param): r for r in out.collect()}
+    assert len(got) == 6 and all(abs(r.value / true[n] - 1) < 1e-6 for (_, n), r in got.items())
+    assert got["b", "R0"].std == 0 and got["b", "R0"].value == 10.0
