@@ -20,7 +20,7 @@ from galvanite.operators.joins import map_channels, split_by_verdict
 from galvanite.operators.regress import arrhenius_points, arrhenius_rollup, temperature_moments, group_trend
 from galvanite.operators.windows import polarity, savgol, savgol_fraction, segments_from_breakpoints, time_axis
 from galvanite.plans.spectra import detect_period
-from galvanite.session import cut_lineage, cut_to_files
+from galvanite.session import cut_lineage, cut_to_files, measured_broadcasts
 
 
 def find_runs_period(samples: DataFrame, run: Sequence[str], order: Sequence[str], channel: str = "channel", value: str = "value") -> DataFrame:
@@ -134,7 +134,7 @@ def standardise_runs(samples: DataFrame, run: Sequence[str], ts: str, **options)
     """
     samples = cut_to_files(samples)
     # No step makes more than two rows of one, counted over all channels.
-    with checked_once(samples, run, growth=2):
+    with measured_broadcasts(samples.sparkSession), checked_once(samples, run, growth=2):
         return _standardise(samples, list(run), ts, **options)
 
 
@@ -173,7 +173,8 @@ def _standardise(
             cleaned = savgol_fraction(cleaned, seg, ["row_idx"], c, smooth, 2, name="_s").withColumn(c, F.col("_s")).drop("_s")
     cleaned = cut_to_files(cleaned)
     verdict = cut_to_files(decay_verdict(cleaned, seg, ["row_idx"], "t", "resistance", "voltage", [sample, condition, temp], min_slope))
-    good, bad = split_by_verdict(cleaned, verdict, seg)
+    # The caller's plan splits the rows, so it is told here that the verdict has a row for every segment.
+    good, bad = split_by_verdict(cleaned, verdict.hint("merge"), seg)
     return {"points": points, "channel_map": mapping, "segments": good, "rejected": bad, "verdict": verdict}
 
 
