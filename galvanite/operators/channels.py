@@ -11,7 +11,6 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,44 +260,115 @@ def infer_multiplier(
 
 
 class TrendWalker:
-    """Temperatures of one (sample, condition, polarity) from the lowest on, each with its distinct resistances in order.
-
-    Carries mean and least of the temperature before (ten times its own for
-    the first one) and gives the mean as a bar where the largest resistance
-    reaches the least one. Holds one temperature at a time.
+    """Rows of one (sample, condition) by polarity, temperature and resistance, negative polarity first.
+
+    A row has the columns of `TREND_ROW`. Carries mean and least of the
+    temperature before (ten times its own for the first one) and gives the
+    mean as a bar where the largest resistance reaches the least one. Every
+    temperature gives a line with its bar and the sums of its resistances;
+    the end gives a line with what the factors move by and their range. Holds
+    one temperature at a time.
     """
 
     def __init__(self, key: tuple):
-        self.key, self.temp, self.values, self.counts, self.before, self.moved = key, None, [], [], None, 0.0
+        self.key, self.point, self.rows = key, None, []
+        self.polarity, self.before, self.has = None, None, set()
+        self.fix, self.low, self.high = 0.0, None, None
+        self.able, self.rest = False, (None, None)
 
     def add(self, row: tuple) -> list[tuple]:
-        temp, value, n, moved = row[3:7]
-        out = self.end() if self.values and temp != self.temp else []
-        self.temp, self.moved = temp, moved
-        self.values.append(math.nan if value is None else value)
-        self.counts.append(n)
+        point = row[2:4]
+        out = []
+        if self.point is None or not all(a == b or (a != a and b != b) for a, b in zip(point, self.point)):
+            out = self._line()
+            if point[0] != self.polarity:
+                self._turn(point[0])
+            self.point = point
+        self.able, self.rest = row[9], row[10:12]
+        self.rows.append(row[4:9])
         return out
 
     def end(self) -> list[tuple]:
-        v, n = np.array(self.values), np.array(self.counts)
-        self.values, self.counts = [], []
-        v, n = v[~np.isnan(v)], n[~np.isnan(v)]
-        if not len(v):
-            self.before = (math.nan, math.nan)
+        out = self._line()
+        self._turn(None)
+        self._move(1, self.low, self.high)
+        return [*out, (*self.key, None, None, None, None, None, None, None, self.fix, self.low, self.high)]
+
+    def _turn(self, polarity: float | None) -> None:
+        """After the negative rows: the others, not yet shifted, count for the range too."""
+        if self.polarity == -1:
+            self._move(-1, _least(self.low, self.rest[0]), _largest(self.high, self.rest[1]))
+        self.polarity, self.before = polarity, None
+
+    def _move(self, polarity: int, low: float | None, high: float | None) -> None:
+        if self.able and polarity in self.has and low is not None:
+            low, high = low + self.fix, high + self.fix
+            self.fix += -10 - low if low < -10 else -8 - high if high > -8 else 0.0
+
+    def _line(self) -> list[tuple]:
+        if not self.rows:
             return []
-        mean, least = self.before or (10 * (v * n).sum() / n.sum(), 10 * v[0])
-        out = []
-        if v[-1] >= least:
-            out = [(*self.key, self.temp, float(mean))]
-            with np.errstate(over="ignore", divide="ignore"):
-                v = np.where(v >= mean, v / 10 ** (self.moved + _decades(v, mean)), v)
-        self.before = ((v * n).sum() / n.sum(), v.min())
-        return out
+        (polarity, temp), rows = self.point, self.rows
+        self.rows = []
+        closed = [(v, n) for v, moves, n, _, _ in rows if not moves and v is not None]
+        opened = [(v, n) for v, moves, n, _, _ in rows if moves and v is not None]
+        bar = None
+        if any(moves for _, moves, *_ in rows):
+            self.has.add(polarity)
+            bar = self._bar(opened) if temp is not None and polarity in (-1, 1) else None
+        for v, moves, _, low, high in rows:
+            if moves and low is not None:
+                by = 0.0 if bar is None or v is None or not v >= bar else _decades(v, bar)
+                self.low, self.high = _least(self.low, low + by), _largest(self.high, high + by)
+        shifted = [(_shrunk(v, _decades(v, bar)) if bar is not None and v >= bar else v, n) for v, n in opened]
+        sums = [x for part in (shifted, closed) for x in (sum((v * n for v, n in part), 0.0), sum(n for _, n in part))]
+        return [(*self.key, polarity, temp, bar, *sums, None, None, None)]
+
+    def _bar(self, values: list[tuple]) -> float | None:
+        if not values:
+            self.before = (math.nan, math.nan)
+            return None
+        mean, least = self.before or (10 * _mean(values), 10 * values[0][0])
+        bar = None
+        if values[-1][0] >= least:
+            bar = mean
+            values = [(_shrunk(v, self.fix + _decades(v, mean)) if v >= mean else v, n) for v, n in values]
+        self.before = (_mean(values), min(v for v, _ in values))
+        return bar
+
+
+#: Columns of the rows that `TrendWalker` walks; the last three are those of the (sample, condition):
+#: whether an open row has a resistance, and the factors (log10) of the open rows that are not negative.
+TREND_ROW = ("s", "c", "p", "t", "r", "open", "n", "lo", "hi", "able", "lo_rest", "hi_rest")
+
+
+def _mean(values: list[tuple]) -> float:
+    return sum(v * n for v, n in values) / sum(n for _, n in values)
+
+
+def _least(a: float | None, b: float | None) -> float | None:
+    return b if a is None else a if b is None else min(a, b)
+
+
+def _largest(a: float | None, b: float | None) -> float | None:
+    return b if a is None else a if b is None else max(a, b)
+
+
+def _decades(value: float, mean: float) -> float:
+    ratio = value / (mean * 0.99) if mean else 0.0
+    if not ratio > 0:
+        return 0.0
+    return float(math.ceil(math.log10(ratio))) if ratio < math.inf else float(2**63 - 1)
 
 
-def _decades(v: np.ndarray, mean: float) -> np.ndarray:
-    ratio = v / (mean * 0.99) if mean else np.zeros_like(v)
-    return np.ceil(np.log10(np.where(ratio > 0, ratio, 1.0)))
+def _shrunk(value: float, decades: float) -> float:
+    """value / 10^decades, also where the power is out of range."""
+    try:
+        return value / 10.0**decades
+    except OverflowError:
+        return value / math.inf
+    except ZeroDivisionError:
+        return value * math.inf
 
 
 def enforce_trend(
@@ -318,8 +388,9 @@ def enforce_trend(
     than 1 move; a temperature without values ends the comparison with what
     was before it.
 
-    The walk sees distinct resistances with their counts; everything after it
-    works on that table too, and the rows are joined with the result once.
+    The walk sees the distinct resistances with their counts, dealt once by
+    (sample, condition), and leaves a line per temperature. What follows works
+    on these lines, dealt once by sample, and the rows are joined with them.
     """
     open_ = F.coalesce(F.col(multiplier) != 1, F.lit(False))
     pol = F.signum(F.coalesce(F.col(voltage), F.lit(0.0)))
@@ -327,35 +398,32 @@ def enforce_trend(
     rows = df.select(
         F.col(sample).alias("s"), F.col(condition).alias("c"), pol.alias("p"), F.col(temp).alias("t"),
         F.when(~F.isnan(value), value).alias("r"), open_.alias("open"), lg.alias("lg"))
-    table = cut_lineage(rows.groupBy("s", "c", "p", "t", "r", "open").agg(F.count(F.lit(1)).alias("n"), F.min("lg").alias("lo"), F.max("lg").alias("hi")))
-    some = table.where("open").groupBy("s", "c").agg(
-        F.max(F.col("r").isNotNull()).alias("able"), *[F.max(F.col("p") == F.lit(float(p))).alias(f"has{k}") for k, p in enumerate((-1, 1))])
-    # A shift is what the factors of a row rise by, in decades.
-    state = attach(table, some, ["s", "c"]).select("*", F.lit(0.0).alias("shift"), F.lit(0.0).alias("fix"), F.lit(None).cast("double").alias("bar"))
-    kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
-    for k, p in enumerate((-1.0, 1.0)):
-        here = state.where(F.col("open") & F.col("able") & (F.col("p") == p) & F.col("t").isNotNull())
-        short = here.groupBy("s", "c", "p", "t", "r").agg(F.sum("n").alias("n"), F.max("fix").alias("fix")).select("s", "c", "p", "t", "r", "n", "fix")
-        bars = fold_sorted(short, ["s", "c", "p"], ["t", "r"], TrendWalker, f"s {kinds['s']}, c {kinds['c']}, p double, t {kinds['t']}, own double")
-        state = attach(state, bars, ["s", "c", "p", "t"]).withColumn("bar", F.coalesce("own", "bar")).drop("own")
-        here = F.col("open") & (F.col("p") == p) & (F.col("r") >= F.col("bar"))
-        state = state.withColumn("shift", F.when(here, _decades_column(F.col("r"), F.col("bar"))).otherwise(F.col("shift")))
-        able = F.col("able") & F.col(f"has{k}") & F.col("open")
-        at = F.col("shift") + F.col("fix")
-        lim = state.where(able).groupBy("s", "c").agg(F.min(F.col("lo") + at).alias("_lo"), F.max(F.col("hi") + at).alias("_hi"))
-        state = attach(state, lim.select("s", "c", _into_range().alias("_fix")), ["s", "c"])
-        state = cut_lineage(state.withColumn("fix", F.col("fix") + F.coalesce("_fix", F.lit(0.0))).drop("_fix"))
-    total = F.when(F.col("open"), F.col("shift") + F.col("fix")).otherwise(0.0)
-    state = state.withColumn("total", total).withColumn("now", F.try_divide(F.col("r"), F.pow(F.lit(10.0), F.col("total"))))
-    mean = lambda cond: F.try_divide(F.sum(F.when(cond, F.col("now") * F.col("n"))), F.sum(F.when(cond & F.col("now").isNotNull(), F.col("n"))))
-    per = state.where(F.col("t").isNotNull()).groupBy("s", "t").agg(mean((F.col("c") == "dh") & F.col("open")).alias("dh"), mean(F.col("c").isin("pre", "dry")).alias("rest"))
-    need = per.groupBy("s").agg(F.max(F.when(F.col("dh") >= F.col("rest"), _decades_column(F.col("dh"), F.col("rest")))).alias("need"))
-    state = attach(state, need, ["s"])
-    raised = F.when((F.col("c") == "dh") & (F.col("need") > 0), F.col("need")).otherwise(0.0)
-    last = state.where(F.col("open") & (F.col("need") > 0)).groupBy("s").agg(F.min(F.col("lo") + F.col("total") + raised).alias("_lo"), F.max(F.col("hi") + F.col("total") + raised).alias("_hi"))
-    state = attach(state, last.select("s", _into_range().alias("_last")), ["s"])
-    group = state.groupBy("s", "c", "p", "t").agg(F.max("bar").alias("_bar"), F.max(F.col("fix") + raised + F.coalesce("_last", F.lit(0.0))).alias("_all"))
-    named = group.select(F.col("s").alias(sample), F.col("c").alias(condition), F.col("p").alias("_p"), F.col("t").alias(temp), "_bar", "_all")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    sc, order = ["s", "c"], ["p", "t", "r", "open"]
+    short = rows.repartition(*sc).groupBy(*sc, *order).agg(F.count(F.lit(1)).alias("n"), F.min("lg").alias("lo"), F.max("lg").alias("hi"))
+    of_pair, rest = Window.partitionBy(*sc), F.col("open") & (F.col("p") != -1)
+    short = short.sortWithinPartitions(*sc, *order).withColumns({
+        "able": F.coalesce(F.max(F.col("open") & F.col("r").isNotNull()).over(of_pair), F.lit(False)),
+        "lo_rest": F.min(F.when(rest, F.col("lo"))).over(of_pair), "hi_rest": F.max(F.when(rest, F.col("hi"))).over(of_pair)}).select(*TREND_ROW)
+    lines = fold_sorted(
+        short, sc, order, TrendWalker,
+        f"s {kinds['s']}, c {kinds['c']}, p double, t {kinds['t']}, bar double, moving double, n_moving long, still double, n_still long, fix double, lo double, hi double", dealt=True)
+    # A line with `fix` stands for a (sample, condition), all others for a temperature.
+    of_temp, of_sample = Window.partitionBy("s", "t"), Window.partitionBy("s")
+    lines = lines.withColumn("whole", F.col("fix").isNotNull()).repartition("s").withColumn("fix", F.max("fix").over(of_pair))
+    dh, other = F.col("c") == "dh", F.col("c").isin("pre", "dry")
+    moved = F.try_divide(F.col("moving"), F.pow(F.lit(10.0), F.col("fix")))
+    mean = lambda total, n: F.try_divide(F.sum(total).over(of_temp), F.sum(n).over(of_temp))
+    lines = lines.withColumns({
+        "dh": mean(F.when(dh, moved), F.when(dh, F.col("n_moving"))),
+        "rest": mean(F.when(other, moved + F.col("still")), F.when(other, F.col("n_moving") + F.col("n_still")))})
+    least = F.when(~F.col("whole") & F.col("t").isNotNull() & (F.col("dh") >= F.col("rest")), _decades_column(F.col("dh"), F.col("rest")))
+    lines = lines.withColumn("need", F.max(least).over(of_sample))
+    lines = lines.withColumn("raised", F.when(dh & (F.col("need") > 0), F.col("need")).otherwise(0.0))
+    at = F.when(F.col("whole") & (F.col("need") > 0), F.col("fix") + F.col("raised"))
+    lines = lines.withColumns({"_lo": F.min(F.col("lo") + at).over(of_sample), "_hi": F.max(F.col("hi") + at).over(of_sample)})
+    named = lines.where(~F.col("whole")).select(
+        F.col("s").alias(sample), F.col("c").alias(condition), F.col("p").alias("_p"), F.col("t").alias(temp), F.col("bar").alias("_bar"), (F.col("fix") + F.col("raised") + _into_range()).alias("_all"))
     out = attach(df.withColumn("_p", pol), named, [sample, condition, "_p", temp])
     own = F.when(value >= F.col("_bar"), _decades_column(value, F.col("_bar"))).otherwise(0.0)
     by = F.when(open_, F.pow(F.lit(10.0), F.coalesce(own, F.lit(0.0)) + F.col("_all"))).otherwise(1.0)

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from galvanite.operators import channels as C
 from tests.conftest import SF
 
 
@@ -31,3 +32,12 @@ def test_run_pipeline_broadcasts_no_rows_by_file_size(spark, monkeypatch):
     assert joins and not any("BroadcastHashJoin" in p for p in joins)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == limit
     assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+def test_trend_deals_rows_and_lines_twice_each(spark):
+    """Every table that is dealt or kept lies on disk: the rows by group and for the join, the lines by sample and for the join."""
+    rows = [(i, f"s{i % 7}", ("pre", "dry", "dh")[i % 3], float(i % 11), 1e9 * 0.9 ** (i % 11) * (1 + i % 5), (-2.0, 2.0)[i % 2], (1e-9, 1.0)[i % 13 == 0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, sample_name string, condition string, temp double, resistance double, voltage double, multiplier double")
+    plan = C.enforce_trend(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
+    assert plan.count("Scan ExistingRDD") <= 2
