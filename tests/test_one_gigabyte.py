@@ -1,9 +1,14 @@
 """What failed or differed on tables of a gigabyte."""
 
+import inspect
+
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from galvanite.operators import channels as C
+from galvanite.plans import circuit_fits as CF
+from galvanite.plans.kernels import circuit_impedance, resample_counts
 from tests.conftest import SF
 
 
@@ -41,3 +46,33 @@ def test_trend_deals_rows_and_lines_twice_each(spark):
     plan = C.enforce_trend(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4
     assert plan.count("Scan ExistingRDD") <= 2
+
+
+def test_bootstrap_makes_all_resamples(spark, monkeypatch):
+    """The query leaves the number of resamples to the operator, which has the 500 of the reference."""
+    asked = []
+    monkeypatch.setattr(CF, "bootstrap_circuits", lambda *args, **kw: asked.append(kw))
+    entry.queries()["bootstrap_circuits"](spark, SF)
+    assert asked == [{}]
+    monkeypatch.undo()
+    assert inspect.signature(CF.bootstrap_circuits).parameters["replicates"].default == 500
+
+
+@pytest.mark.parametrize("options", [{}, {"weighted": False, "loss": "cauchy"}, {"band": (2.0, 300.0)}])
+def test_resamples_are_fitted_together_as_one_by_one(spark, options):
+    rng = np.random.default_rng(3)
+    model, rows, drawn = "R0-p(R1,C1)", [], []
+    for key in (1, 2):
+        f = np.repeat(np.logspace(0, 3, 12), 4)
+        z = circuit_impedance(model, {"R0": 10.0 * key, "R1": 900.0, "C1": 2e-6}, f)
+        mine = [(key, i, float(f[i]), float(z[i].real * (1 + rng.normal() / 50)), float(z[i].imag * (1 + rng.normal() / 50))) for i in range(len(f))]
+        rows += mine
+        drawn += [(*r, b) for b in range(5) for r, k in zip(mine, resample_counts(len(mine), b)) for _ in range(k)]
+    sweeps = spark.createDataFrame(rows, "k long, id long, f double, re double, im double")
+    starts = [(n, float(v), lb, ub) for n, v, lb, ub in (("R0", 5, 0.1, 1e4), ("R1", 500, 1.0, 1e6), ("C1", 1e-5, 1e-9, 1e-1))]
+    start = spark.createDataFrame([(k, s, n, v * (1 + s), lb, ub, False) for k in (1, 2) for s in (0, 1) for n, v, lb, ub in starts], "k long, start_no int, param string, value double, lb double, ub double, locked boolean")
+    got = {(r["k"], r["replicate"], r["param"]): r["value"] for r in CF.resampled_fits(sweeps.repartition(3), ["k"], ["id"], "f", "re", "im", model, start, 5, **options).collect()}
+    expanded = spark.createDataFrame(drawn, "k long, id long, f double, re double, im double, replicate int")
+    each = start.crossJoin(spark.range(5).selectExpr("cast(id as int) as replicate"))
+    want = {(r["k"], r["replicate"], r["param"]): r["value"] for r in CF.fit_circuits(expanded, ["k", "replicate"], "f", "re", "im", model, each, **options).collect()}
+    assert len(want) == 30 and got == pytest.approx(want, rel=1e-5)
