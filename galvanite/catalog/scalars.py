@@ -9,6 +9,7 @@ from galvanite.functions import standard as D
 from galvanite.functions import text as X
 from galvanite.functions import units as U
 from galvanite.functions.complexnum import Cx
+from galvanite.functions.ieee import finite
 
 # Complex pair used below: re = extended price, im = -1000 * tax, f = quantity.
 ZSQL = "SELECT l_orderkey, l_linenumber, l_quantity AS f, l_extendedprice AS re, -1000 * l_tax AS im FROM lineitem"
@@ -20,7 +21,9 @@ def z_rows(spark, sf):
 
 
 def scaled(col, factor: float, digits: int = 6):
-    return F.round(col * factor, digits) + F.lit(0.0)
+    """Rounded as the product, like the SQL: a decimal text of the number rounds other ties."""
+    x, shift = col * factor, 10.0**digits
+    return F.coalesce(finite(F.round(x * shift) / shift), x) + F.lit(0.0)
 
 
 @query("complex_components", f"""SELECT l_orderkey, l_linenumber, round(sqrt(re * re + im * im), 4) AS mag, round(degrees(atan2(im, re)), 8) AS phase, round(-im / re, 9) AS slope, -im + 0.0 AS imag,

@@ -137,13 +137,13 @@ def with_edge_constants(
     df: DataFrame, keys: Sequence[str], freq: Sequence[str], re: str, im: str,
     area: Column | float = 1.0, thickness: Column | float = 1.0, perc: float = 5.0,
 ) -> DataFrame:
-    """Add `sigma_dc` and `eps_inf` of each dataset from its edge rows."""
+    """Add `sigma_dc` and `eps_inf` of each dataset from its edge rows; rows without a frequency come after the highest one."""
     z = Cx(F.col(re), F.col(im))
     s = Sample(F.col(freq[0]), area, thickness)
     rows = df.withColumn("_sig", from_impedance(z, "conductivity", s).re).withColumn(
         "_eps", from_impedance(z, "relative_permittivity", s).re
     )
-    edge = edge_means(rows, keys, freq, {"_sig": "sig", "_eps": "eps"}, perc)
+    edge = edge_means(rows.withColumn("_none", F.col(freq[0]).isNull()), keys, ["_none", *freq], {"_sig": "sig", "_eps": "eps"}, perc)
     edge = edge.select(*keys, F.col("sig_zero").alias("sigma_dc"), F.col("eps_infinity").alias("eps_inf"))
     return attach(df, edge, keys)
 

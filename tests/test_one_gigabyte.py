@@ -1,11 +1,17 @@
 """What failed or differed on tables of a gigabyte."""
 
 import inspect
+from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from galvanite.catalog.scalars import scaled
 from galvanite.operators import channels as C
 from galvanite.plans import circuit_fits as CF
 from galvanite.plans.kernels import circuit_impedance, resample_counts
@@ -76,3 +82,31 @@ def test_resamples_are_fitted_together_as_one_by_one(spark, options):
     each = start.crossJoin(spark.range(5).selectExpr("cast(id as int) as replicate"))
     want = {(r["k"], r["replicate"], r["param"]): r["value"] for r in CF.fit_circuits(expanded, ["k", "replicate"], "f", "re", "im", model, each, **options).collect()}
     assert len(want) == 30 and got == pytest.approx(want, rel=1e-5)
+
+
+def matches_sql(spark, folder, name, events):
+    """The rows of a query on (event_id, user_id, event_type, value) and those of its SQL; null, NaN and infinite are told apart."""
+    at = pa.array([datetime(2024, 1, 1) + timedelta(seconds=i) for i in range(len(events))], pa.timestamp("us"))
+    columns = [pa.array(c, t) for c, t in zip(zip(*events), (pa.int64(), pa.int64(), pa.string(), pa.float64()))]
+    pq.write_table(pa.table([*columns, at], ["event_id", "user_id", "event_type", "value", "ts"]), folder / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    cur = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    plain = lambda v: v if v is None or not isinstance(v, float) else f"{v + 0.0:.12g}"
+    want = sorted((tuple(plain(v) for v in r) for r in cur.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[n]) for n in names) for r in entry.queries()[name](spark, str(folder)).collect()), key=repr) == want
+
+
+def test_scaled_numbers_round_ties_as_sql(spark):
+    x = np.random.default_rng(6).uniform(1e5, 1e6, 1_000_000)
+    ties = x[x * 1e6 - np.floor(x * 1e6) == 0.5].tolist()
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in ties]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(ties)], "i int, x double")
+    assert len(ties) > 20 and [r["y"] for r in df.select("i", scaled(F.col("x"), 1.0).alias("y")).orderBy("i").collect()] == want
+
+
+def test_edges_of_datasets_with_missing_frequencies(spark, tmp_path):
+    values = [None, 3.0, 0.0, 12.5, None, 7.25, float("nan"), 0.01]
+    matches_sql(spark, tmp_path, "dc_corrected_forms", [(i, i % 3, "view", values[i * 5 % 8]) for i in range(150)])
