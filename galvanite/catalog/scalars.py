@@ -2,14 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from galvanite.catalog.base import EV, FLAGS, USER, events, query, rounded, significant_digits, table
+from galvanite.catalog.base import EV, FLAGS, USER, events, query, round_product, rounded, significant_digits, table
 from galvanite.functions import circuits as C
 from galvanite.functions import forms as M
 from galvanite.functions import standard as D
 from galvanite.functions import text as X
 from galvanite.functions import units as U
 from galvanite.functions.complexnum import Cx
-from galvanite.functions.ieee import finite
 
 # Complex pair used below: re = extended price, im = -1000 * tax, f = quantity.
 ZSQL = "SELECT l_orderkey, l_linenumber, l_quantity AS f, l_extendedprice AS re, -1000 * l_tax AS im FROM lineitem"
@@ -21,9 +20,7 @@ def z_rows(spark, sf):
 
 
 def scaled(col, factor: float, digits: int = 6):
-    """Rounded as the product, like the SQL: a decimal text of the number rounds other ties."""
-    x, shift = col * factor, 10.0**digits
-    return F.coalesce(finite(F.round(x * shift) / shift), x) + F.lit(0.0)
+    return round_product(col * factor, digits) + F.lit(0.0)
 
 
 @query("complex_components", f"""SELECT l_orderkey, l_linenumber, round(sqrt(re * re + im * im), 4) AS mag, round(degrees(atan2(im, re)), 8) AS phase, round(-im / re, 9) AS slope, -im + 0.0 AS imag,
@@ -231,7 +228,7 @@ def raw_to_standard(spark, sf):
     kind, v = F.col("event_type"), F.col("value")
     df = events(spark, sf).select("event_id", F.when(kind == "click", v).alias("raw_voltage"), F.when(kind.isin("view", "click"), v * 1e-3).alias("raw_current"), F.when(kind == "error", v).alias("raw_resistance"))
     out = D.raw_to_standard(df).select("event_id", "voltage", "current", "resistance", "voltage_rms")
-    return rounded(out, {"voltage": 6, "current": 9, "resistance": 6, "voltage_rms": 6})
+    return rounded(out, {"voltage": 6, "current": 9, "resistance": 6, "voltage_rms": 6}, products=True)
 
 
 @query("bounds_validate", """SELECT l_orderkey, l_linenumber, round(least(l_quantity, l_discount * 400), 6) AS lb, round(greatest(l_quantity, l_discount * 400), 6) AS ub, round(least(greatest(l_tax * 400, least(l_quantity, l_discount * 400)), greatest(l_quantity, l_discount * 400)), 6) AS p0 FROM lineitem""")

@@ -30,12 +30,12 @@ RAW = {
 def raw_to_standard(df: DataFrame, temp: str | None = None, multiplier: str | None = None, t_factor: float = 1e3) -> DataFrame:
     """Fill standard channels from whatever raw channels exist.
 
-    Sign: the first of raw V, V rms, I, I rms. Voltage: raw, |raw| * sign,
+    Sign: the first of raw V, V rms, I, I rms; NaN has none (0). Voltage: raw, |raw| * sign,
     rms / sqrt 2, nominal. Current likewise, then V / R. Resistance: raw,
     then V / I (infinite or NaN at I = 0). Readings below 10 degrees are thermocouple millivolts.
     """
     raw = {k: (F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")) for k, c in RAW.items()}
-    sign = F.signum(F.coalesce(raw["voltage"], raw["voltage_rms"], raw["current"], raw["current_rms"], F.lit(1.0)))
+    sign = F.nanvl(F.signum(F.coalesce(raw["voltage"], raw["voltage_rms"], raw["current"], raw["current_rms"], F.lit(1.0))), F.lit(0.0))
     factor = F.coalesce(F.col(multiplier).cast("double"), F.lit(1.0)) if multiplier else F.lit(1.0)
     set_temp = F.col(temp).cast("double") if temp else F.lit(0.0)
 

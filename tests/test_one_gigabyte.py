@@ -84,7 +84,7 @@ def test_resamples_are_fitted_together_as_one_by_one(spark, options):
     assert len(want) == 30 and got == pytest.approx(want, rel=1e-5)
 
 
-def matches_sql(spark, folder, name, events):
+def matches_sql(spark, folder, name, events, digits=12):
     """The rows of a query on (event_id, user_id, event_type, value) and those of its SQL; null, NaN and infinite are told apart."""
     at = pa.array([datetime(2024, 1, 1) + timedelta(seconds=i) for i in range(len(events))], pa.timestamp("us"))
     columns = [pa.array(c, t) for c, t in zip(zip(*events), (pa.int64(), pa.int64(), pa.string(), pa.float64()))]
@@ -93,7 +93,7 @@ def matches_sql(spark, folder, name, events):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
     cur = con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in cur.description]
-    plain = lambda v: v if v is None or not isinstance(v, float) else f"{v + 0.0:.12g}"
+    plain = lambda v: v if v is None or not isinstance(v, float) else f"{v + 0.0:.{digits}g}"
     want = sorted((tuple(plain(v) for v in r) for r in cur.fetchall()), key=repr)
     assert sorted((tuple(plain(r[n]) for n in names) for r in entry.queries()[name](spark, str(folder)).collect()), key=repr) == want
 
@@ -110,3 +110,11 @@ def test_scaled_numbers_round_ties_as_sql(spark):
 def test_edges_of_datasets_with_missing_frequencies(spark, tmp_path):
     values = [None, 3.0, 0.0, 12.5, None, 7.25, float("nan"), 0.01]
     matches_sql(spark, tmp_path, "dc_corrected_forms", [(i, i % 3, "view", values[i * 5 % 8]) for i in range(150)])
+
+
+KINDS = ["click", "view", "error", "signup"]
+
+
+def test_raw_channels_round_ties_and_sign_as_sql(spark, tmp_path):
+    values = [None, 0.0, float("nan"), 1.1713567838937466e-06, 1.1707121269864576e-06, 1.6296052799935796e-06, 81.92, 50.0, -3.25]
+    matches_sql(spark, tmp_path, "raw_to_standard", [(i, 1, KINDS[i % 4], values[i // 4]) for i in range(4 * len(values))], 17)
