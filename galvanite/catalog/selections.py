@@ -99,7 +99,7 @@ SELECT event_id, round(sqrt(re * re + im * im), 6) AS mag, round(log10(sqrt(re *
 def forms(spark, sf):
     df = events(spark, sf).withColumn("im", -F.col("value") / 2)
     out = with_forms(df, "value", "value", "im", {"mag": "Z.mag", "log_mag": "log10(Z.mag)", "twice_y": "Y.real * 2"})
-    return rounded(out.select("event_id", "mag", "log_mag", "twice_y"), {"mag": 6, "log_mag": 8, "twice_y": 8})
+    return rounded(out.select("event_id", "mag", "log_mag", "twice_y"), {"mag": 6, "log_mag": 8, "twice_y": 8}, products=True)
 
 
 @query("drop_exclusive_runs", "SELECT p_partkey FROM part WHERE NOT (contains(p_brand || '_' || p_type, 'Brand#1') OR contains(p_brand || '_' || p_type, 'ECO'))")

@@ -118,3 +118,9 @@ KINDS = ["click", "view", "error", "signup"]
 def test_raw_channels_round_ties_and_sign_as_sql(spark, tmp_path):
     values = [None, 0.0, float("nan"), 1.1713567838937466e-06, 1.1707121269864576e-06, 1.6296052799935796e-06, 81.92, 50.0, -3.25]
     matches_sql(spark, tmp_path, "raw_to_standard", [(i, 1, KINDS[i % 4], values[i // 4]) for i in range(4 * len(values))], 17)
+
+
+def test_forms_round_ties_and_magnitudes_as_sql(spark, tmp_path):
+    big = np.random.default_rng(9).uniform(1e8, 1e9, 400).tolist()
+    values = [None, 0.0, float("nan"), 1.1108666426341752e-06, 1.861181815553247e-06, 7.73305398373164e-06, 8634769.267760696, 4038875.702981551, *big]
+    matches_sql(spark, tmp_path, "with_forms", [(i, 1, "view", v) for i, v in enumerate(values)], 17)
